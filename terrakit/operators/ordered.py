@@ -54,57 +54,58 @@ def ranked(
     )
 
 
+def _spread(df: DataFrame, index: str, reach: int, chunk: int) -> DataFrame:
+    """Send the ``reach`` rows beside a chunk border to the neighbouring chunk too."""
+    position = F.col(index).cast("bigint")
+    home = F.floor((position - 1) / chunk)
+    beside = F.floor((position - 1 + reach) / chunk)
+    return df.withColumn(
+        "chunk", F.explode(F.array_distinct(F.array(home, beside)))
+    ).withColumn("__home", F.col("chunk") == home)
+
+
 def with_previous(
-    df: DataFrame, keys: list[str], index: str, columns: dict[str, str], chunk: int = CHUNK
+    df: DataFrame, keys: list[str], index: str, columns: list[tuple], chunk: int = CHUNK
 ) -> DataFrame:
-    """Add the previous row's values, by a dense 1-based ``index`` inside each key.
+    """Add earlier rows' values, by a dense 1-based ``index`` inside each key.
 
-    The last row of every chunk is also sent to the next chunk, so one shuffle on
-    (key, chunk) is enough and no key is gathered whole.
+    ``columns`` holds (source, target) or (source, target, offset). Rows beside a chunk
+    border also go to the next chunk, so one shuffle on (key, chunk) is enough and no key
+    is gathered whole. The ``chunk`` column stays, for operators that follow.
     """
-    position = F.col(index).cast("bigint")
-    home = F.floor((position - 1) / chunk)
-    after = F.floor(position / chunk)
-    spread = df.withColumn(
-        "__chunk", F.explode(F.array_distinct(F.array(home, after)))
-    ).withColumn("__home", F.col("__chunk") == home)
-    window = Window.partitionBy(*keys, "__chunk").orderBy(index)
-    for source, target in columns.items():
-        spread = spread.withColumn(target, F.lag(source).over(window))
-    return spread.filter("__home").drop("__chunk", "__home")
+    steps = [(c[0], c[1], c[2] if len(c) > 2 else 1) for c in columns]
+    spread = _spread(df, index, max(s[2] for s in steps), chunk)
+    window = Window.partitionBy(*keys, "chunk").orderBy(index)
+    added = {target: F.lag(source, offset).over(window) for source, target, offset in steps}
+    return spread.withColumns(added).filter("__home").drop("__home")
 
 
 def with_next(
-    df: DataFrame, keys: list[str], index: str, columns: dict[str, str], chunk: int = CHUNK
+    df: DataFrame, keys: list[str], index: str, columns: list[tuple], chunk: int = CHUNK
 ) -> DataFrame:
     """Mirror image of :func:`with_previous`."""
-    position = F.col(index).cast("bigint")
-    home = F.floor((position - 1) / chunk)
-    before = F.floor((position - 2) / chunk)
-    spread = df.withColumn(
-        "__chunk", F.explode(F.array_distinct(F.array(home, before)))
-    ).withColumn("__home", F.col("__chunk") == home)
-    window = Window.partitionBy(*keys, "__chunk").orderBy(index)
-    for source, target in columns.items():
-        spread = spread.withColumn(target, F.lead(source).over(window))
-    return spread.filter("__home").drop("__chunk", "__home")
+    steps = [(c[0], c[1], c[2] if len(c) > 2 else 1) for c in columns]
+    spread = _spread(df, index, -max(s[2] for s in steps), chunk)
+    window = Window.partitionBy(*keys, "chunk").orderBy(index)
+    added = {target: F.lead(source, offset).over(window) for source, target, offset in steps}
+    return spread.withColumns(added).filter("__home").drop("__home")
 
 
 def running_total(
     df: DataFrame, keys: list[str], index: str, value: Column, out: str, chunk: int = CHUNK
 ) -> DataFrame:
     """Inclusive running sum of ``value`` along ``index`` inside each key."""
-    work = df.withColumn("__value", value).withColumn(
-        "__chunk", F.floor((F.col(index).cast("bigint") - 1) / chunk)
-    )
+    work = df.withColumn("__value", value)
+    if "chunk" not in df.columns:
+        work = work.withColumn("chunk", F.floor((F.col(index).cast("bigint") - 1) / chunk))
     inner = (
-        Window.partitionBy(*keys, "__chunk")
+        Window.partitionBy(*keys, "chunk")
         .orderBy(index)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = work.withColumn("__local", F.sum("__value").over(inner))
-    offsets = _offsets(work, keys, "__chunk", F.sum("__value"))
-    joined = _attach(local, offsets, [*keys, "__chunk"])
+    offsets = _offsets(work, keys, "chunk", F.sum("__value"))
+    joined = _attach(local, offsets, [*keys, "chunk"])
     return joined.withColumn(out, F.col("__local") + F.col("__before")).drop(
-        "__chunk", "__value", "__local", "__before"
+        "__value", "__local", "__before"
     )
