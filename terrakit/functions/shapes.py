@@ -201,6 +201,10 @@ def _clip_half(ring: Column, keep, cut) -> Column:
     return F.flatten(F.transform(pairs, emit))
 
 
+def _half_plane(keep, cut):
+    return lambda ring: _clip_half(ring, keep, cut)
+
+
 def clip_ring(ring: Column, min_e, min_n, max_e, max_n) -> Column:
     """The closed ring cut to the box; empty when fewer than three points remain."""
     def at_e(v):
@@ -216,7 +220,7 @@ def clip_ring(ring: Column, min_e, min_n, max_e, max_n) -> Column:
     doubled = (F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1))) & (F.size(ring) > 1)
     work = F.when(doubled, F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))).otherwise(ring)
     for keep, cut in sides:
-        work = let(work, lambda r, keep=keep, cut=cut: _clip_half(r, keep, cut))
+        work = let(work, _half_plane(keep, cut))
     return let(work, lambda r: F.when(F.size(r) >= 3, F.concat(r, F.slice(r, 1, 1))).otherwise(F.expr(EMPTY)))
 
 
