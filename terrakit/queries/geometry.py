@@ -229,13 +229,13 @@ def area_table(t):
     track = F.array(shapes.point(e, n), shapes.point(e + 3000, n + 1000), shapes.point(e + 4000, n - 2000))
     return t.b_points.select(
         F.floor(c("id") / 3).alias("area_id"), (c("id") % 3).alias("part"),
-        F.element_at(kinds, (c("id") * 7 % 5 + 1).cast("int")).alias("kind"), "e", "n",
+        F.element_at(kinds, (c("id") % 5 + 1).cast("int")).alias("kind"), "e", "n",
         (1 + c("id") % 4).cast("double").alias("radius_km"), F.lit(0.5).alias("buffer_km"), track.alias("points"),
         (e + 1000).alias("min_e"), n.alias("min_n"), e.alias("max_e"), (n + 500).alias("max_n"))
 
 
 AREA_SQL = """
-    with a as (select id, cast(floor(id/3) as bigint) area_id, id%3 part, (id*7)%5 k, e, n, (1+id%4)*1000e0 r from b_points),
+    with a as (select id, cast(floor(id/3) as bigint) area_id, id%3 part, id%5 k, e, n, (1+id%4)*1000e0 r from b_points),
     b as (select *, case k when 0 then e when 1 then e-r when 2 then e-r when 3 then e-500 else e end e0,
       case k when 0 then n when 1 then n-r when 2 then n-r when 3 then n-2500 else n-2000 end n0,
       case k when 0 then e+1000 when 1 then e+r when 2 then e+r when 3 then e+4500 else e+4000 end e1,
