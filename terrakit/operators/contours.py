@@ -19,3 +19,68 @@ def flag_on_ice(lines: DataFrame, key: str, ice_rings: DataFrame, size: float =
         .withColumn("on_ice", F.col("__ice").isNotNull())
         .drop("__ice")
     )
+
+
+def _to_metres(points: DataFrame, origin_e: float, origin_n: float, cell_m: float) -> DataFrame:
+    return points.withColumn("e", (F.col("e") + 0.5) * cell_m + origin_e).withColumn(
+        "n", (F.col("n") + 0.5) * cell_m + origin_n
+    )
+
+
+def contour_lines(
+    grid: DataFrame, interval_m: int = 20, major_m: int = 100, medium_m: int = 0, simplify_m: float = 8.0,
+    origin_e: float = 0.0, origin_n: float = 0.0, cell_m: float = 2.0,
+) -> DataFrame:
+    """(line, level, tier, closed, i, e, n): traced, simplified and graded contours."""
+    from terrakit.functions.relief import tier
+    from terrakit.operators.chain import chain_directed
+    from terrakit.operators.simplify import simplify_points
+    from terrakit.operators.terrain import cells2x2, interval_levels, march
+    from terrakit.session import cut_lineage
+
+    segments = march(cells2x2(grid), interval_levels(interval_m))
+    traced = cut_lineage(_to_metres(chain_directed(segments), origin_e, origin_n, cell_m))
+    kept = simplify_points(traced, "line", simplify_m)
+    heads = traced.groupBy("line").agg(F.first("level").alias("level"), F.first("closed").alias("closed"))
+    grade = tier(F.col("level"), F.lit(major_m), F.lit(medium_m))
+    return kept.join(heads, "line").select("line", "level", grade.alias("tier"), "closed", "i", "e", "n")
+
+
+def contour_stats(traced: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: lines, points before and after, and the share removed."""
+    before = traced.agg(F.count(F.lit(1)).alias("points_before"))
+    after = kept.agg(F.count(F.lit(1)).alias("points_after"), F.count_distinct("line").alias("lines"))
+    share = F.when(F.col("points_before") > 0, 1.0 - F.col("points_after") / F.greatest("points_before", F.lit(1))).otherwise(0.0)
+    # Two one-row tables.
+    return before.crossJoin(after).withColumn("ratio", share)
+
+
+def slope_areas(
+    field: DataFrame, cell_m: float = 10.0, bands: list[int] | None = None, simplify_m: float = 8.0,
+    min_cells: int = 12, origin_e: float = 0.0, origin_n: float = 0.0,
+) -> DataFrame:
+    """(line, min_deg, i, e, n): closed rings around everything at least so steep.
+
+    Rings around fewer than ``min_cells`` cells are dropped, and those left with fewer
+    than four points after simplification.
+    """
+    from terrakit.functions.relief import SLOPE_BANDS
+    from terrakit.operators.chain import chain_directed
+    from terrakit.operators.lines import segments as steps
+    from terrakit.operators.simplify import simplify_points
+    from terrakit.operators.terrain import cells2x2, march, padded
+    from terrakit.session import cut_lineage
+
+    levels = F.array(*[F.lit(b) for b in (bands or SLOPE_BANDS)])
+    z = padded(field).withColumnRenamed("degrees", "z")
+    traced = chain_directed(march(cells2x2(z), levels)).filter("closed")
+    traced = cut_lineage(_to_metres(traced, origin_e, origin_n, cell_m))
+    edges = steps(traced.withColumn("i", F.col("i") + 1), "line").filter("ae is not null")
+    cross = F.col("ae") * F.col("n") - F.col("e") * F.col("an")
+    area = F.abs(F.sum(cross)) / 2.0 / (cell_m * cell_m)
+    sizes = edges.groupBy("line").agg(area.alias("cells"), F.count(F.lit(1)).alias("edges"))
+    large = traced.join(sizes.filter((F.col("cells") >= min_cells) & (F.col("edges") >= 3)), "line", "left_semi")
+    kept = simplify_points(large, "line", simplify_m)
+    usable = kept.groupBy("line").agg(F.count(F.lit(1)).alias("m")).filter("m >= 4")
+    heads = large.groupBy("line").agg(F.first("level").alias("min_deg"))
+    return kept.join(usable, "line", "left_semi").join(heads, "line").select("line", "min_deg", "i", "e", "n")
