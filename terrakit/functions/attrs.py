@@ -135,7 +135,7 @@ def multihash_reason(text: Column) -> Column:
     size = F.length(hexed)
     declared = F.conv(F.substring(hexed, 3, 2), 16, 10).cast("int")
     return (
-        F.when(~hexed.rlike("^([0-9a-f]{2})*$"), "not hex")
+        F.when(~hexed.rlike("^[0-9a-f]*$") | (size % 2 == 1), "not hex")
         .when(size < 4, "too short")
         .when(F.substring(hexed, 1, 2) != "12", "unsupported code")
         .when(declared * 2 != size - 4, "wrong length")

@@ -48,11 +48,10 @@ def contour_lines(
 
 def contour_stats(traced: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: lines, points before and after, and the share removed."""
-    before = traced.agg(F.count(F.lit(1)).alias("points_before"))
+    before = traced.agg(F.count(F.lit(1))).scalar()
     after = kept.agg(F.count(F.lit(1)).alias("points_after"), F.count_distinct("line").alias("lines"))
     share = F.when(F.col("points_before") > 0, 1.0 - F.col("points_after") / F.greatest("points_before", F.lit(1))).otherwise(0.0)
-    # Two one-row tables.
-    return before.crossJoin(after).withColumn("ratio", share)
+    return after.withColumn("points_before", before).withColumn("ratio", share)
 
 
 def slope_areas(

@@ -14,16 +14,19 @@ from pyspark.sql.window import Window
 CHUNK = 4096
 
 
-def _offsets(df: DataFrame, keys: list[str], bucket: str, total: Column) -> DataFrame:
-    """Sum of ``total`` over all earlier buckets of the same key."""
-    sums = df.groupBy(*keys, bucket).agg(total.alias("__total"))
+def _offsets(df: DataFrame, keys: list[str], bucket: str, totals: dict[str, Column]) -> DataFrame:
+    """Sums over all earlier buckets of the same key, one column per entry of ``totals``."""
+    sums = df.groupBy(*keys, bucket).agg(*[total.alias(f"__t_{name}") for name, total in totals.items()])
     window = (
         Window.partitionBy(*keys)
         .orderBy(bucket)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = F.coalesce(F.sum("__total").over(window), F.lit(0))
-    return sums.select(*keys, bucket, before.alias("__before"))
+    before = [
+        F.coalesce(F.sum(f"__t_{name}").over(window), F.lit(0)).alias(f"__before_{name}") for name in totals
+    ]
+    return sums.select(*keys, bucket, *before)
+
 
 def _attach(df: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
     renamed = side.select(
@@ -47,10 +50,10 @@ def ranked(
     work = df.withColumn("__bucket", bucket)
     inner = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     local = work.withColumn("__local", F.row_number().over(inner).cast("bigint"))
-    offsets = _offsets(work, keys, "__bucket", F.count(F.lit(1)))
+    offsets = _offsets(work, keys, "__bucket", {"n": F.count(F.lit(1))})
     joined = _attach(local, offsets, [*keys, "__bucket"])
-    return joined.withColumn(out, F.col("__local") + F.col("__before")).drop(
-        "__bucket", "__local", "__before"
+    return joined.withColumn(out, F.col("__local") + F.col("__before_n")).drop(
+        "__bucket", "__local", "__before_n"
     )
 
 
@@ -91,21 +94,29 @@ def with_next(
     return spread.withColumns(added).filter("__home").drop("__home")
 
 
-def running_total(
-    df: DataFrame, keys: list[str], index: str, value: Column, out: str, chunk: int = CHUNK
+def running_totals(
+    df: DataFrame, keys: list[str], index: str, values: dict[str, Column], chunk: int = CHUNK
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` along ``index`` inside each key."""
-    work = df.withColumn("__value", value)
+    """Inclusive running sums along ``index`` inside each key; ``values`` maps a new
+    column to what it sums."""
+    work = df
     if "chunk" not in df.columns:
         work = work.withColumn("chunk", F.floor((F.col(index).cast("bigint") - 1) / chunk))
+    work = work.withColumns({f"__v_{name}": value for name, value in values.items()})
     inner = (
         Window.partitionBy(*keys, "chunk")
         .orderBy(index)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    local = work.withColumn("__local", F.sum("__value").over(inner))
-    offsets = _offsets(work, keys, "chunk", F.sum("__value"))
+    local = work.withColumns({f"__l_{name}": F.sum(f"__v_{name}").over(inner) for name in values})
+    offsets = _offsets(work, keys, "chunk", {name: F.sum(f"__v_{name}") for name in values})
     joined = _attach(local, offsets, [*keys, "chunk"])
-    return joined.withColumn(out, F.col("__local") + F.col("__before")).drop(
-        "__value", "__local", "__before"
-    )
+    added = {name: F.col(f"__l_{name}") + F.col(f"__before_{name}") for name in values}
+    spare = [f"__{kind}_{name}" for kind in ("v", "l", "before") for name in values]
+    return joined.withColumns(added).drop(*spare)
+
+
+def running_total(
+    df: DataFrame, keys: list[str], index: str, value: Column, out: str, chunk: int = CHUNK
+) -> DataFrame:
+    return running_totals(df, keys, index, {out: value}, chunk)

@@ -37,8 +37,8 @@ def search(places: DataFrame, wants: DataFrame, limit: int = MAX_MATCHES) -> Dat
     lengths = wants.filter("want <> ''").groupBy(F.length("want").alias("len")).agg(F.count(F.lit(1)).alias("k"))
     known = lengths.agg(F.sort_array(F.collect_list("len")).alias("lens"))
     variants = places.select("id", "population_rank", F.posexplode("folded").alias("pos", "f"))
-    # One row on the right: the distinct query lengths.
-    offered = variants.crossJoin(known).select(
+    # The distinct query lengths are a scalar subquery.
+    offered = variants.withColumn("lens", known.scalar()).select(
         "id", "population_rank", "pos", "f",
         F.explode(F.transform(F.filter("lens", lambda n: n <= F.length("f")), lambda n: F.substr("f", F.lit(1), n))).alias("want"))
     hits = offered.join(wants, "want").groupBy("want", "id", "population_rank").agg(F.min_by("f", "pos").alias("matched"))
@@ -53,11 +53,11 @@ def missing_tile_warning(cells: DataFrame) -> DataFrame:
 
     Only a count and the twelve lowest cells meet in the last step.
     """
-    total = cells.agg(F.count(F.lit(1)).alias("total"))
+    total = cells.agg(F.count(F.lit(1))).scalar()
     first = cells.orderBy("e_km", "n_km").limit(NAMED).agg(
         F.array_sort(F.collect_list(F.struct("e_km", "n_km"))).alias("first"))
     names = F.array_join(F.transform("first", lambda x: cell_label(x["e_km"], x["n_km"])), ", ")
     rest = c("total") - F.size("first")
     tail = F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise("")
     text = F.concat(c("total").cast("string"), F.lit(" elevation tile(s) unavailable, so contours have gaps there: "), names, tail)
-    return total.crossJoin(first).select(text.alias("warning"))
+    return first.withColumn("total", total).select(text.alias("warning"))

@@ -160,15 +160,20 @@ def levels_scanned(grid: DataFrame, interval_m: int) -> DataFrame:
     return span.select(first.alias("first"), last.alias("last"), ((last - first) / step + 1).cast("bigint").alias("levels"))
 
 
+def grid_bounds(grid: DataFrame) -> Column:
+    """{c0, c1, r0, r1} of the grid as a scalar subquery."""
+    ends = F.struct(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"))
+    return grid.agg(ends.alias("span")).scalar()
+
+
 def block_means(grid: DataFrame, step: int) -> DataFrame:
     """(c, r, z): mean of the valid samples of each step x step block, null without any.
     Blocks cut off at the far edge of the grid are dropped."""
-    size = grid.agg(F.max("c").alias("mc"), F.max("r").alias("mr"), F.min("c").alias("c0"), F.min("r").alias("r0"))
-    col, row = F.floor((c("c") - c("c0")) / step), F.floor((c("r") - c("r0")) / step)
-    full_cols = F.floor((c("mc") - c("c0") + 1) / step)
-    full_rows = F.floor((c("mr") - c("r0") + 1) / step)
-    # One row of grid bounds on the right.
-    placed = grid.crossJoin(size).filter((col < full_cols) & (row < full_rows))
+    span = grid_bounds(grid)
+    col, row = F.floor((c("c") - c("span.c0")) / step), F.floor((c("r") - c("span.r0")) / step)
+    full_cols = F.floor((c("span.c1") - c("span.c0") + 1) / step)
+    full_rows = F.floor((c("span.r1") - c("span.r0") + 1) / step)
+    placed = grid.withColumn("span", span).filter((col < full_cols) & (row < full_rows))
     valid = F.when(c("z") > NODATA, c("z").cast("double"))
     return placed.groupBy(col.cast("int").alias("c"), row.cast("int").alias("r")).agg(F.avg(valid).alias("z"))
 
@@ -176,19 +181,17 @@ def block_means(grid: DataFrame, step: int) -> DataFrame:
 def horn_slope(field: DataFrame, cell_m: float, size: int = BLOCK) -> DataFrame:
     """(c, r, degrees) by Horn's 3x3 gradient. Beyond the grid's edge the edge cell counts
     again; a cell with a null anywhere in its window is flat."""
-    span = field.agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"))
-    blocks = in_blocks(field, 1, 1, size)
+    blocks = in_blocks(field, 1, 1, size).withColumn("span", grid_bounds(field))
     rows = Window.partitionBy("bc", "br", "r").orderBy("c")
     cols = Window.partitionBy("bc", "br", "c").orderBy("r")
     west, east = _beside("z", -1, "c", rows), _beside("z", 1, "c", rows)
-    # One row of grid bounds on the right.
-    out = blocks.withColumn("w", west).withColumn("e", east).crossJoin(span)
-    out = out.withColumn("w", F.when(c("c") == c("c0"), c("z")).otherwise(c("w"))).withColumn(
-        "e", F.when(c("c") == c("c1"), c("z")).otherwise(c("e")))
+    out = blocks.withColumn("w", west).withColumn("e", east)
+    out = out.withColumn("w", F.when(c("c") == c("span.c0"), c("z")).otherwise(c("w"))).withColumn(
+        "e", F.when(c("c") == c("span.c1"), c("z")).otherwise(c("e")))
     out = out.withColumn("line", F.struct("w", "z", "e"))
     out = out.withColumn("s", _beside("line", -1, "r", cols)).withColumn("n", _beside("line", 1, "r", cols))
-    south = F.when(c("r") == c("r0"), c("line")).otherwise(c("s"))
-    north = F.when(c("r") == c("r1"), c("line")).otherwise(c("n"))
+    south = F.when(c("r") == c("span.r0"), c("line")).otherwise(c("s"))
+    north = F.when(c("r") == c("span.r1"), c("line")).otherwise(c("n"))
     out = out.filter("home").select("c", "r", "line", south.alias("s"), north.alias("n"))
     east_sum = c("n.e") + 2.0 * c("line.e") + c("s.e")
     west_sum = c("n.w") + 2.0 * c("line.w") + c("s.w")

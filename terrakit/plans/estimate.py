@@ -209,13 +209,12 @@ def stage_weights(durations: DataFrame) -> DataFrame:
     """
     totals = durations.groupBy("run").agg(F.sum("seconds").alias("total")).filter("total > 0")
     shares = durations.join(totals, "run").withColumn("share", F.col("seconds") / F.col("total"))
-    runs = totals.agg(F.count(F.lit(1)).alias("runs"))
+    runs = totals.agg(F.count(F.lit(1))).scalar()
     mean = shares.filter(F.col("stage").isin(STAGES)).groupBy("stage").agg(F.sum("share").alias("s"))
-    whole = mean.agg(F.sum("s").alias("whole"))
+    whole = mean.agg(F.sum("s")).scalar()
     spark = durations.sparkSession
     names = spark.createDataFrame(list(zip(STAGES, STAGE_SHARE)), "stage string, preset double")
-    # Two one-row totals and seven stage rows.
-    out = names.join(mean, "stage", "left").crossJoin(whole).crossJoin(runs)
+    out = names.join(mean, "stage", "left").withColumn("whole", whole).withColumn("runs", runs)
     usable = (F.col("runs") > 0) & (F.coalesce("whole", F.lit(0.0)) > 0)
     weight = F.when(usable, F.coalesce("s", F.lit(0.0)) / F.col("whole")).otherwise(F.col("preset"))
     return out.select("stage", weight.alias("weight"))

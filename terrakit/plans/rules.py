@@ -206,15 +206,29 @@ def reduced(rules: list[Rule], kind: str) -> list[Rule]:
     return kept
 
 
+def _parts(text: str) -> list[tuple[str, str, str]]:
+    """(key, operator, value) of each part of a condition."""
+    return [
+        (key, op, value.strip())
+        for key, op, value in (re.match(r"\s*([\w:.-]+?)(=|~)(.*)$", part).groups() for part in text.split(","))
+    ]
+
+
+def _matches(col: Column, pattern: str) -> Column:
+    """Whole-text pattern match; plain prefixes and infixes need no pattern engine."""
+    plain = re.fullmatch(r"(\.\*)?([\w ]+)(\.\*)?", pattern)
+    if plain and plain.group(3):
+        return col.contains(plain.group(2)) if plain.group(1) else col.startswith(plain.group(2))
+    return col.rlike(f"^({pattern})$")
+
+
 def condition(text: str, tag) -> Column:
     """The boolean for a condition text; ``tag`` maps a tag name to its column."""
     out = None
-    for part in text.split(","):
-        key, op, value = re.match(r"\s*([\w:.-]+?)(=|~)(.*)$", part).groups()
-        value = value.strip()
+    for key, op, value in _parts(text):
         col = tag(key)
         if op == "~":
-            test = col.rlike(f"^({value})$")
+            test = _matches(col, value)
         elif value == "*":
             test = col.isNotNull()
         else:
@@ -229,34 +243,45 @@ def map_tag(tags: str = "tags"):
     return lambda key: F.try_element_at(F.col(tags), F.lit(key))
 
 
-def _hit(rule: Rule) -> Column:
-    return F.struct(
-        F.lit(rule.number).alias("rule"), F.lit(rule.type).alias("type"),
-        F.lit(rule.resolution).alias("resolution"),
-        F.lit(rule.road_class).cast("int").alias("road_class"),
-        F.lit(rule.road_speed).cast("int").alias("road_speed"),
-    )
-
+def first_rule(rules: list[Rule], tag) -> Column:
+    """Number of the first ordinary rule that applies, null where none does.
 
-def hits(rules: list[Rule], tag) -> Column:
-    """ARRAY of the rules that apply: every earlier "more" rule that matches, then the
-    first ordinary one. "More" rules after that ordinary one do not run."""
-    ordinary = [r for r in rules if not r.more]
-    first = F.lit(None).cast("struct<rule:int,type:string,resolution:int,road_class:int,road_speed:int>")
-    for rule in reversed(ordinary):
-        first = F.when(condition(rule.condition, tag), _hit(rule)).otherwise(first)
-    parts = [
-        F.when(condition(r.condition, tag) & F.coalesce(first["rule"] > r.number, F.lit(True)), _hit(r))
-        for r in rules if r.more
-    ]
-    return F.filter(F.array(*parts, first), lambda x: x.isNotNull())
+    Rules on one key and one value, the bulk of a table, share one lookup per key; only
+    the others are tested one by one.
+    """
+    lookups: dict[str, dict[str, int]] = {}
+    found = []
+    for rule in (r for r in rules if not r.more):
+        parts = _parts(rule.condition)
+        if len(parts) == 1 and parts[0][1] == "=" and parts[0][2] != "*":
+            lookups.setdefault(parts[0][0], {}).setdefault(parts[0][2], rule.number)
+        else:
+            found.append(F.when(condition(rule.condition, tag), F.lit(rule.number)))
+    for key, table in lookups.items():
+        pairs = [F.lit(x) for pair in table.items() for x in pair]
+        found.append(F.try_element_at(F.create_map(*pairs), tag(key)))
+    return F.least(*found, F.lit(None).cast("int"), F.lit(None).cast("int"))
 
 
 def classify(features: DataFrame, rules: list[Rule], tag) -> DataFrame:
-    """One row per (feature, applying rule)."""
-    return features.withColumn("hit", F.explode(hits(rules, tag))).select(
-        *features.columns, "hit.rule", "hit.type", "hit.resolution", "hit.road_class", "hit.road_speed"
-    )
+    """One row per (feature, applying rule): every "more" rule that matches before the
+    first ordinary one, then that one."""
+    out = features.withColumn("first", first_rule(rules, tag))
+    more = [
+        F.when(condition(r.condition, tag) & (F.col("first").isNull() | (F.col("first") > r.number)), F.lit(r.number))
+        for r in rules if r.more
+    ]
+    hits = F.array_compact(F.array(*more, F.col("first")))
+    table = F.array(*[
+        F.struct(
+            F.lit(r.type).alias("type"), F.lit(r.resolution).alias("resolution"),
+            F.lit(r.road_class).cast("int").alias("road_class"), F.lit(r.road_speed).cast("int").alias("road_speed"),
+        )
+        for r in rules
+    ])
+    place = F.array_position(F.array(*[F.lit(r.number) for r in rules]), F.col("rule")).cast("int")
+    rows = out.withColumn("rule", F.explode(hits)).withColumn("hit", F.element_at(table, place))
+    return rows.select(*features.columns, "rule", "hit.type", "hit.resolution", "hit.road_class", "hit.road_speed")
 
 
 def discard(features: DataFrame, tag, text: str = DISCARD_RULES) -> DataFrame:
@@ -266,44 +291,54 @@ def discard(features: DataFrame, tag, text: str = DISCARD_RULES) -> DataFrame:
     return features.filter(~drop)
 
 
-def derive_access(features: DataFrame, tags: str = "tags", text: str = ACCESS_RULES) -> DataFrame:
-    """Add the travel-mode tags to the MAP column.
+def access_columns(features: DataFrame, tag, text: str = ACCESS_RULES) -> tuple[DataFrame, dict[str, str]]:
+    """Add one column per travel-mode tag; the second result maps tag names to columns.
 
-    Rules apply in order: "add" keeps what is there, "set" replaces it. Each written tag
-    becomes one column; a rule that reads a tag written earlier starts a new projection,
-    so no expression repeats another rule's work.
+    Rules apply in order: "add" keeps what is there, "set" replaces it. A rule that reads
+    a tag written earlier starts a new projection, so no expression repeats another
+    rule's work.
     """
     columns: dict[str, str] = {}
     pending: dict[str, Column] = {}
     out = features
 
-    def tag(key):
-        return F.col(columns[key]) if key in columns else map_tag(tags)(key)
+    def now(key):
+        return F.col(columns[key]) if key in columns else tag(key)
 
     def flush():
         nonlocal out
-        for key, value in pending.items():
-            columns[key] = "__tag_" + re.sub(r"\W", "_", key)
-            out = out.withColumn(columns[key], value)
+        names = {key: "tag_" + re.sub(r"\W", "_", key) for key in pending}
+        out = out.withColumns({names[key]: value for key, value in pending.items()})
+        columns.update(names)
         pending.clear()
 
     for line in text.strip().splitlines():
         cond, actions = [c.strip() for c in line.split("|")]
-        if any(key in pending for key in re.findall(r"([\w:.-]+?)[=~]", cond)):
+        if any(key in pending for key, _, _ in _parts(cond)):
             flush()
-        applies = condition(cond, tag)
+        applies = condition(cond, now)
         for sign, key, value in re.findall(r"([+!])([\w:-]+)=(\S+)", actions):
             ref = re.fullmatch(r"\$\{(.+)\}", value)
-            put = F.when(applies, map_tag(tags)(ref.group(1)) if ref else F.lit(value))
-            now = pending[key] if key in pending else tag(key)
-            pending[key] = F.coalesce(put, now) if sign == "!" else F.coalesce(now, put)
+            put = F.when(applies, now(ref.group(1)) if ref else F.lit(value))
+            before = pending[key] if key in pending else now(key)
+            pending[key] = F.coalesce(put, before) if sign == "!" else F.coalesce(before, put)
     flush()
-    written = F.map_from_arrays(
+    return out, columns
+
+
+def derive_access(features: DataFrame, tags: str = "tags", text: str = ACCESS_RULES) -> DataFrame:
+    """The same on a MAP column of tags. Tags the rules read leave the map once."""
+    read = dict.fromkeys(key for line in text.strip().splitlines() for key, _, _ in _parts(line.split("|")[0]))
+    written = re.findall(r"[+!]([\w:-]+)=", text)
+    names = {key: f"__tag_{i}" for i, key in enumerate(dict.fromkeys([*read, *written]))}
+    work = features.withColumns({name: map_tag(tags)(key) for key, name in names.items()})
+    out, columns = access_columns(work, lambda key: F.col(names[key]), text)
+    made = F.map_from_arrays(
         F.array(*[F.lit(k) for k in columns]), F.array(*[F.col(c) for c in columns.values()])
     )
     old = F.map_filter(F.col(tags), lambda k, v: ~k.isin(list(columns)))
-    merged = F.map_concat(old, F.map_filter(written, lambda k, v: v.isNotNull()))
-    return out.withColumn(tags, merged).drop(*columns.values())
+    merged = F.map_concat(old, F.map_filter(made, lambda k, v: v.isNotNull()))
+    return out.withColumn(tags, merged).drop(*columns.values(), *names.values())
 
 
 def visible(classified: DataFrame, levels: list[int] = LEVELS) -> DataFrame:

@@ -96,14 +96,11 @@ def _(t):
       case when access='no' then 'no' end mode_emergency,
       case when mv='private' then 'no' end through from d""")
 def _(t):
-    present = F.map_from_arrays(F.array(*[F.lit(k) for k in NAMES]), F.array(*[F.col(c) for c in NAMES.values()]))
-    tagged = roads(t).select("id", F.map_filter(present, lambda k, v: v.isNotNull()).alias("tags"))
-    tag = rules.map_tag()
-    return rules.derive_access(tagged).select(
-        "id", *[tag(k).alias(k) for k in ("motor_vehicle", "access", "bridge", "tunnel")],
-        tag("mkgmap:ferry").alias("ferry"), tag("mkgmap:foot").alias("mode_foot"),
-        tag("mkgmap:bicycle").alias("mode_bicycle"), tag("mkgmap:car").alias("mode_car"),
-        tag("mkgmap:emergency").alias("mode_emergency"), tag("mkgmap:throughroute").alias("through"))
+    made, columns = rules.access_columns(roads(t), column_tag)
+    picked = {"motor_vehicle": "motor_vehicle", "access": "access", "bridge": "bridge", "tunnel": "tunnel",
+              "mkgmap:ferry": "ferry", "mkgmap:foot": "mode_foot", "mkgmap:bicycle": "mode_bicycle", "mkgmap:car": "mode_car",
+              "mkgmap:emergency": "mode_emergency", "mkgmap:throughroute": "through"}
+    return made.select("id", *[F.col(columns[k]).alias(name) for k, name in picked.items()])
 
 
 @query("b19_discarded_features", "B19", sql=f"""

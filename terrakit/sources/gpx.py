@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakit.operators.ordered import ranked, running_total, with_previous
+from terrakit.operators.ordered import ranked, running_totals
+from terrakit.session import cut_lineage
 
 c = F.col
 TAG = r"<(?:[\w.-]+:)?"
@@ -49,23 +50,26 @@ def waypoints(documents: DataFrame) -> DataFrame:
 
 def track_points(documents: DataFrame) -> DataFrame:
     """(path, track, i, lon, lat, ele, name): segments and routes stay separate tracks,
-    numbered in file order. A point outside any segment starts a track of its own."""
-    p = pieces(documents).filter("kind <> 'wpt' and (not kind like '%pt' or (lat is not null and lon is not null))")
-    p = ranked(p, ["path"], F.floor(c("pos") / 4096), ["pos"], "k")
-    p = with_previous(p, ["path"], "k", [("kind", "before"), ("closes", "ended")])
-    opens = c("kind").isin("trkseg", "rte")
-    point = c("kind").isin("trkpt", "rtept")
-    stray = point & (c("before").isNull() | (c("before") == "trk") | c("ended"))
-    p = running_total(p, ["path"], "k", (opens | stray).cast("bigint"), "track")
-    p = p.drop("chunk")
-    p = running_total(p, ["path"], "k", (c("kind") == "trk").cast("bigint"), "trk")
-    names = p.filter("kind = 'trk' and name <> ''").groupBy("path", "trk").agg(F.min_by("name", "k").alias("trk_name"))
-    routes = p.filter("kind = 'rte' and name <> ''").groupBy("path", "track").agg(F.min_by("name", "k").alias("rte_name"))
-    points = p.filter(point).join(names, ["path", "trk"], "left").join(routes, ["path", "track"], "left")
-    numbered = ranked(
-        points.select("path", "track", "k", "lon", "lat", "ele", F.coalesce("rte_name", "trk_name").alias("name")),
-        ["path"], F.floor(c("k") / 4096), ["k"], "i")
-    return numbered.drop("k")
+    numbered in file order. Points outside any segment form tracks of their own.
+
+    A point's track follows from three counts up to it: segments opened, segments closed,
+    tracks begun. They come from one running sum over all pieces.
+    """
+    one = lambda test: test.cast("bigint")
+    # The text is cut up once; several passes over the pieces follow.
+    p = running_totals(cut_lineage(pieces(documents)), ["path"], "pos", {
+        "opened": one(c("kind").isin("trkseg", "rte")), "shut": one(c("closes")), "trk": one(c("kind") == "trk")})
+    where = ["path", "opened", "shut", "trk"]
+    p = p.withColumn("shut", c("shut") - one(c("closes"))).drop("chunk")
+    names = p.filter("kind = 'trk' and name <> ''").groupBy("path", "trk").agg(F.min_by("name", "pos").alias("trk_name"))
+    routes = p.filter("kind = 'rte' and name <> ''").groupBy("path", "opened").agg(F.min_by("name", "pos").alias("rte_name"))
+    points = p.filter("kind in ('trkpt', 'rtept') and lat is not null and lon is not null")
+    tracks = points.groupBy(*where).agg(F.min("pos").alias("start"))
+    tracks = ranked(tracks, ["path"], F.floor(c("start") / 4096), ["start"], "track")
+    tracks = tracks.join(names, ["path", "trk"], "left").join(routes, ["path", "opened"], "left").select(
+        *where, "track", F.coalesce("rte_name", "trk_name").alias("name"))
+    numbered = ranked(points.select(*where, "pos", "lon", "lat", "ele"), ["path"], F.floor(c("pos") / 4096), ["pos"], "i")
+    return numbered.join(tracks, where).select("path", "track", "i", "lon", "lat", "ele", "name")
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.gpx") -> DataFrame:
