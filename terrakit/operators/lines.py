@@ -25,9 +25,9 @@ def ascents(points: DataFrame, key: str) -> DataFrame:
     """Sum of rises between points that have an elevation."""
     known = ranked(
         points.filter("ele is not null").select(key, "i", "ele"),
-        [key], F.floor(F.col("i") / CHUNK), ["i"], "k",
+        [key], F.floor(F.col("i") / CHUNK), ["i"], "__rank",
     )
-    steps = with_previous(known, [key], "k", [("ele", "before")])
+    steps = with_previous(known, [key], "__rank", [("ele", "before")])
     rise = F.greatest(F.col("ele") - F.col("before"), F.lit(0.0))
     return steps.groupBy(key).agg(F.coalesce(F.sum(rise), F.lit(0.0)).alias("ascent_m"))
 

@@ -17,6 +17,7 @@ from terrakit.functions.shapes import bounds, crosses, edges, segment_distance_s
 from terrakit.operators.cells import around, cell_of, cells_over
 
 EDGE_LIMIT = 20_000
+CROWD, FINE = 1_000, 8
 CELL = 1000.0
 c = F.col
 
@@ -25,6 +26,26 @@ def _placed(points: DataFrame, size: float) -> DataFrame:
     return points.withColumn("cx", cell_of(c("e"), size)).withColumn("cy", cell_of(c("n"), size))
 
 
+def _reached(rows: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """Cells (keys..., cx, cy, ax, ay, bx, by, r2) within reach, full ones as one row."""
+    radius = F.sqrt("r2")
+
+    def gap(dx: float, dy: float) -> Column:
+        return segment_distance_sq(
+            (c("cx") + dx) * size, (c("cy") + dy) * size, c("ax"), c("ay"), c("bx"), c("by")
+        )
+
+    corners = F.greatest(*[gap(x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)])
+    reach = (radius + size * math.sqrt(0.5)) * (1 + 1e-9)
+    rows = rows.filter(gap(0.5, 0.5) <= reach * reach).withColumn("full", corners <= c("r2") * (1 - 1e-9))
+    where = [*keys, "cx", "cy"]
+    full = rows.filter("full").select(*where).distinct()
+    part = rows.filter("not full").join(full, where, "left_anti")
+    return part.select(*where, "full", "ax", "ay", "bx", "by", "r2").unionByName(
+        full.withColumn("full", F.lit(True)), allowMissingColumns=True
+    )
+
+
 def near_cells(segments: DataFrame, keys: list[str], radius: Column, size: float) -> DataFrame:
     """Cells within reach of segments: (keys..., cx, cy, full, ax, ay, bx, by, r2).
 
@@ -36,24 +57,23 @@ def near_cells(segments: DataFrame, keys: list[str], radius: Column, size: float
         F.least("ax", "bx") - c("__r"), F.least("ay", "by") - c("__r"),
         F.greatest("ax", "bx") + c("__r"), F.greatest("ay", "by") + c("__r"), size,
     )
-    rows = base.select(*keys, "ax", "ay", "bx", "by", "__r", F.inline(box))
+    rows = base.select(*keys, "ax", "ay", "bx", "by", (c("__r") * c("__r")).alias("r2"), F.inline(box))
+    return _reached(rows, keys, size)
 
-    def gap(dx: float, dy: float) -> Column:
-        return segment_distance_sq(
-            (c("cx") + dx) * size, (c("cy") + dy) * size, c("ax"), c("ay"), c("bx"), c("by")
-        )
 
-    corners = F.greatest(*[gap(x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)])
-    reach = c("__r") + size * math.sqrt(0.5) * (1 + 1e-9)
-    rows = rows.filter(gap(0.5, 0.5) <= reach * reach).withColumn(
-        "full", corners <= c("__r") * c("__r") * (1 - 1e-9)
-    )
+def split_crowded(cells: DataFrame, keys: list[str], size: float, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plain cells, crowded cells, fine cells).
+
+    A cell that more than ``crowd`` segments reach but none fills would cost every point
+    in it that many tests. It is cut into FINE x FINE cells, most of which are full or out
+    of reach.
+    """
     where = [*keys, "cx", "cy"]
-    full = rows.filter("full").select(*where).distinct()
-    part = rows.filter("not full").join(full, where, "left_anti")
-    return part.select(
-        *where, F.lit(False).alias("full"), "ax", "ay", "bx", "by", (c("__r") * c("__r")).alias("r2")
-    ).unionByName(full.withColumn("full", F.lit(True)), allowMissingColumns=True)
+    crowded = cells.filter("not full").groupBy(*where).agg(F.count(F.lit(1)).alias("m")).filter(c("m") > crowd).select(*where)
+    steps = F.sequence(F.lit(0), F.lit(FINE - 1))
+    inner = cells.join(crowded, where, "left_semi").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    inner = inner.withColumn("cx", c("cx") * FINE + c("i")).withColumn("cy", c("cy") * FINE + c("j")).drop("i", "j", "full")
+    return cells.join(crowded, where, "left_anti"), crowded, _reached(inner, keys, size / FINE)
 
 
 def _near_test() -> Column:
@@ -61,15 +81,23 @@ def _near_test() -> Column:
     return c("full") | (gap <= c("r2"))
 
 
-def within_distance(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+def within_distance(
+    points: DataFrame, segments: DataFrame, radius: float, size: float | None = None, crowd: int = CROWD
+) -> DataFrame:
     """Points (any columns, with e, n) no further than ``radius`` from any segment.
 
     By default a cell is small enough to be full as soon as a segment passes through it.
     """
     size = size or max(radius / math.sqrt(2.0), 1.0)
-    cells = near_cells(segments, [], F.lit(float(radius)), size).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
-    match = (c("cx") == c("__cx")) & (c("cy") == c("__cy")) & _near_test()
-    return _placed(points, size).join(cells, match, "left_semi").drop("cx", "cy")
+    cells = near_cells(segments, [], F.lit(float(radius)), size)
+    plain, crowded, fine = split_crowded(cells, [], size, crowd)
+    placed = _placed(points, size)
+    side, match = _cell_match(plain, False)
+    quick = placed.join(side, match & _near_test(), "left_semi").drop("cx", "cy")
+    side, match = _cell_match(crowded, False)
+    rest = _placed(placed.join(side, match, "left_semi").drop("cx", "cy"), size / FINE)
+    side, match = _cell_match(fine, False)
+    return quick.unionByName(rest.join(side, match & _near_test(), "left_semi").drop("cx", "cy"))
 
 
 def _edge_cells(rings: DataFrame, size: float) -> DataFrame:
@@ -159,10 +187,20 @@ def in_polygons(
     return quick.unionByName(slow)
 
 
-def near_segments(points: DataFrame, segments: DataFrame, size: float = CELL, own_mask: bool = False) -> DataFrame:
+def near_segments(
+    points: DataFrame, segments: DataFrame, size: float = CELL, own_mask: bool = False, crowd: int = CROWD
+) -> DataFrame:
     """Pairs (mask_id, id) of points within ``radius`` of a mask's segments, with repeats."""
-    cells, match = _cell_match(near_cells(segments, ["mask_id"], c("radius"), size), own_mask)
-    return _placed(points, size).join(cells, match & _near_test()).select("mask_id", "id")
+    cells = near_cells(segments, ["mask_id"], c("radius"), size)
+    plain, crowded, fine = split_crowded(cells, ["mask_id"], size, crowd)
+    side, match = _cell_match(plain, own_mask)
+    placed = _placed(points, size)
+    quick = placed.join(side, match & _near_test()).select("mask_id", "id")
+    # Points of crowded cells look into that mask's fine cells only.
+    side, match = _cell_match(crowded, own_mask)
+    rest = placed.join(side, match).select("mask_id", "id", "e", "n")
+    side, match = _cell_match(fine, True)
+    return quick.unionByName(_placed(rest, size / FINE).join(side, match & _near_test()).select("mask_id", "id"))
 
 
 def members(
