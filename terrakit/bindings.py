@@ -1,9 +1,9 @@
 """Geographic readings of the driver tables.
 
 Each binding is one SQL text that both engines run, so a query and its SQL twin see the
-same rows. ``b_tracks`` is the exception on the Spark side: its position column is
-computed with :func:`terrakit.operators.ordered.ranked`, which never puts a whole user
-into one task.
+same rows. Two have their own Spark form: ``b_tracks`` computes its position column with
+:func:`terrakit.operators.ordered.ranked`, which never puts a whole user into one task, and
+``b_polys`` explodes its corners in place of a cross join.
 """
 
 from __future__ import annotations
@@ -114,6 +114,8 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name == "b_tracks":
             return self._tracks()
+        if name == "b_polys":
+            return self._polys()
         if name in BINDINGS:
             return self.sql(BINDINGS[name])
         raise AttributeError(name)
@@ -127,6 +129,18 @@ class Tables:
         """A small fixed table from a VALUES text, the same text the SQL twin holds."""
         return self.spark.sql(f"select * from ({text})")
 
+    def _polys(self) -> DataFrame:
+        key = F.col("n_nationkey")
+        corners = F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+            for i, dx, dy in [(0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)]
+        ])
+        return self.nation.select(key, F.inline(corners)).select(
+            key.alias("poly"), F.lit(0).alias("ring"), "i",
+            (2490000 + (key % 5) * 65000 + F.col("dx") * 40000).cast("double").alias("e"),
+            (1080000 + F.floor(key / 5) * 42000 + F.col("dy") * 30000).cast("double").alias("n"),
+        )
+
     def _tracks(self) -> DataFrame:
         from terrakit.operators.ordered import ranked
 

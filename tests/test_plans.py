@@ -14,10 +14,7 @@ ALL_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 def test_no_nested_loops(spark, name):
     df = QUERIES[name](spark, f"{ROOT}/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    # The binding of the nation polygons crosses 25 nations with five fixed corners.
-    loops = sum(plan.count(kind) for kind in ALL_PAIRS)
-    corners = plan.count("n_nationkey") > 0
-    assert loops == 0 or corners, plan
+    assert not any(kind in plan for kind in ALL_PAIRS), plan
 
 
 def test_filters_reach_the_scan(spark):
@@ -31,6 +28,7 @@ def test_filters_reach_the_scan(spark):
 
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/boxes"
     boxes.write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     df = spark.read.parquet(path).filter(box_meets(c("min_e"), c("min_n"), c("max_e"), c("max_n"), 1.0, 2.0, 30.0, 40.0))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(min_e,30.0)" in plan and "GreaterThanOrEqual(max_n,2.0)" in plan
