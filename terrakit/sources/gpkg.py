@@ -22,7 +22,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from terrakit.sources.wkb import decode
+from terrakit.sources.wkb import BadGeometry, decode, read_blob
 
 BOX = ("min_e", "max_e", "min_n", "max_n")
 INDEX = dict(zip(BOX, ("minx", "maxx", "miny", "maxy")))
@@ -193,8 +193,6 @@ def _array(values, field):
 
 def envelope(blob) -> tuple:
     """(min_e, max_e, min_n, max_n) from the blob's header, else from its points."""
-    from terrakit.sources.wkb import BadGeometry, read_blob
-
     if blob is None:
         return (None,) * 4
     if len(blob) >= 40 and blob[:2] == b"GP" and (blob[3] >> 1) & 7:
