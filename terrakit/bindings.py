@@ -146,7 +146,7 @@ class Tables:
 
         events = self.events.select("user_id", "ts", "event_id")
         numbered = ranked(
-            events, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "i"
+            events, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "i", fine=F.date_trunc("second", "ts")
         )
         key = F.col("event_id")
         return numbered.select(

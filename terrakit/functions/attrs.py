@@ -27,11 +27,14 @@ def meaningful(col: Column) -> Column:
 
 
 def number_tag(col: Column) -> Column:
-    """A real number as tag text: whole numbers without a fraction, non-finite dropped."""
+    """A real number as tag text: whole numbers without a fraction, non-finite dropped,
+    never in exponent form."""
     finite = ~F.isnan(col) & (F.abs(col) != F.lit(float("inf")))
     whole = (col == F.floor(col)) & (F.abs(col) < 9.2e18)
+    text = col.cast("string")
+    plain = F.rtrim(col.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
     return F.when(
-        finite, F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+        finite, F.when(whole, col.cast("bigint").cast("string")).when(text.contains("E"), plain).otherwise(text)
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = 4096
+CROWD = 2_000_000
 
 
 def _offsets(df: DataFrame, keys: list[str], bucket: str, totals: dict[str, Column]) -> DataFrame:
@@ -40,14 +41,24 @@ def _attach(df: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
 
 
 def ranked(
-    df: DataFrame, keys: list[str], bucket: Column, order: list, out: str
+    df: DataFrame, keys: list[str], bucket: Column, order: list, out: str,
+    fine: Column | None = None, crowd: int = CROWD,
 ) -> DataFrame:
     """1-based position inside each key, in ``order``.
 
     ``bucket`` must be monotone in ``order`` (a date for a timestamp, a leading digit
-    group for a coordinate). Only rows that share key and bucket meet in one task.
+    group for a coordinate). Only rows that share key and bucket meet in one task. Where
+    more than ``crowd`` rows do, they are told apart by ``fine``, a narrower value that is
+    monotone inside the bucket.
     """
-    work = df.withColumn("__bucket", bucket)
+    work = df.withColumn("__bucket", F.struct(bucket.alias("b")))
+    if fine is not None:
+        counts = work.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
+        dense = counts.filter(F.col("__rows") > crowd).select(*keys, "__bucket", F.lit(True).alias("__dense"))
+        work = _attach(work, dense, [*keys, "__bucket"])
+        work = work.withColumn(
+            "__bucket", F.struct(F.col("__bucket.b").alias("b"), F.when(F.col("__dense"), fine).alias("f"))
+        ).drop("__dense")
     inner = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     local = work.withColumn("__local", F.row_number().over(inner).cast("bigint"))
     offsets = _offsets(work, keys, "__bucket", {"n": F.count(F.lit(1))})

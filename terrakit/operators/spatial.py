@@ -26,31 +26,44 @@ def _placed(points: DataFrame, size: float) -> DataFrame:
     return points.withColumn("cx", cell_of(c("e"), size)).withColumn("cy", cell_of(c("n"), size))
 
 
-def _reached(rows: DataFrame, keys: list[str], size: float) -> DataFrame:
-    """Cells (keys..., cx, cy, ax, ay, bx, by, r2) within reach, full ones as one row."""
-    radius = F.sqrt("r2")
-
+def _reach(rows: DataFrame, size: float) -> DataFrame:
+    """Rows (cx, cy, segment, r2) whose cell the segment reaches, with ``full`` where it
+    reaches all four corners: distance to a segment is convex, so then the whole cell."""
     def gap(dx: float, dy: float) -> Column:
         return segment_distance_sq(
             (c("cx") + dx) * size, (c("cy") + dy) * size, c("ax"), c("ay"), c("bx"), c("by")
         )
 
     corners = F.greatest(*[gap(x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)])
-    reach = (radius + size * math.sqrt(0.5)) * (1 + 1e-9)
-    rows = rows.filter(gap(0.5, 0.5) <= reach * reach).withColumn("full", corners <= c("r2") * (1 - 1e-9))
-    where = [*keys, "cx", "cy"]
-    full = rows.filter("full").select(*where).distinct()
-    part = rows.filter("not full").join(full, where, "left_anti")
-    return part.select(*where, "full", "ax", "ay", "bx", "by", "r2").unionByName(
-        full.withColumn("full", F.lit(True)), allowMissingColumns=True
-    )
+    reach = (F.sqrt("r2") + size * math.sqrt(0.5)) * (1 + 1e-9)
+    return rows.filter(gap(0.5, 0.5) <= reach * reach).withColumn("full", corners <= c("r2") * (1 - 1e-9))
 
 
-def near_cells(segments: DataFrame, keys: list[str], radius: Column, size: float) -> DataFrame:
-    """Cells within reach of segments: (keys..., cx, cy, full, ax, ay, bx, by, r2).
+def _cells(rows: DataFrame, keys: list[str], crowd: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, crowded, rows of crowded cells).
 
-    ``full`` rows have no segment: some segment reaches all four corners, hence, distance
-    to a segment being convex, the whole cell. Other segments of a full cell are dropped.
+    A full cell is one row without a segment. A cell that is not full keeps its segments,
+    unless more than ``crowd`` reach it.
+    """
+    where = [*keys, "cx", "cy"]
+    stats = rows.groupBy(*where).agg(F.bool_or("full").alias("full"), F.count(F.lit(1)).alias("m"))
+    # All branches read both columns, so the engine can share one aggregation.
+    most = F.lit(crowd if crowd is not None else 2**62)
+    full = stats.filter(c("full") & (c("m") > 0)).select(*where, F.lit(True).alias("full"))
+    quiet = stats.filter(~c("full") & (c("m") <= most)).select(*where)
+    crowded = stats.filter(~c("full") & (c("m") > most)).select(*where)
+    part = rows.join(quiet, where, "left_semi").select(*where, "full", "ax", "ay", "bx", "by", "r2")
+    return part.unionByName(full, allowMissingColumns=True), crowded, rows.join(crowded, where, "left_semi")
+
+
+def near_cells(
+    segments: DataFrame, keys: list[str], radius: Column, size: float, crowd: int = CROWD
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plain cells, crowded cells, fine cells) within reach of segments.
+
+    Cells are (keys..., cx, cy, full, ax, ay, bx, by, r2). A cell that more than ``crowd``
+    segments reach but none fills would cost every point in it that many tests. It is cut
+    into FINE x FINE cells, most of which are full or out of reach.
     """
     base = segments.withColumn("__r", radius)
     box = cells_over(
@@ -58,22 +71,12 @@ def near_cells(segments: DataFrame, keys: list[str], radius: Column, size: float
         F.greatest("ax", "bx") + c("__r"), F.greatest("ay", "by") + c("__r"), size,
     )
     rows = base.select(*keys, "ax", "ay", "bx", "by", (c("__r") * c("__r")).alias("r2"), F.inline(box))
-    return _reached(rows, keys, size)
-
-
-def split_crowded(cells: DataFrame, keys: list[str], size: float, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(plain cells, crowded cells, fine cells).
-
-    A cell that more than ``crowd`` segments reach but none fills would cost every point
-    in it that many tests. It is cut into FINE x FINE cells, most of which are full or out
-    of reach.
-    """
-    where = [*keys, "cx", "cy"]
-    crowded = cells.filter("not full").groupBy(*where).agg(F.count(F.lit(1)).alias("m")).filter(c("m") > crowd).select(*where)
+    plain, crowded, inner = _cells(_reach(rows, size), keys, crowd)
     steps = F.sequence(F.lit(0), F.lit(FINE - 1))
-    inner = cells.join(crowded, where, "left_semi").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    inner = inner.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
     inner = inner.withColumn("cx", c("cx") * FINE + c("i")).withColumn("cy", c("cy") * FINE + c("j")).drop("i", "j", "full")
-    return cells.join(crowded, where, "left_anti"), crowded, _reached(inner, keys, size / FINE)
+    fine, _, _ = _cells(_reach(inner, size / FINE), keys, None)
+    return plain, crowded, fine
 
 
 def _near_test() -> Column:
@@ -89,8 +92,7 @@ def within_distance(
     By default a cell is small enough to be full as soon as a segment passes through it.
     """
     size = size or max(radius / math.sqrt(2.0), 1.0)
-    cells = near_cells(segments, [], F.lit(float(radius)), size)
-    plain, crowded, fine = split_crowded(cells, [], size, crowd)
+    plain, crowded, fine = near_cells(segments, [], F.lit(float(radius)), size, crowd)
     placed = _placed(points, size)
     side, match = _cell_match(plain, False)
     quick = placed.join(side, match & _near_test(), "left_semi").drop("cx", "cy")
@@ -191,8 +193,7 @@ def near_segments(
     points: DataFrame, segments: DataFrame, size: float = CELL, own_mask: bool = False, crowd: int = CROWD
 ) -> DataFrame:
     """Pairs (mask_id, id) of points within ``radius`` of a mask's segments, with repeats."""
-    cells = near_cells(segments, ["mask_id"], c("radius"), size)
-    plain, crowded, fine = split_crowded(cells, ["mask_id"], size, crowd)
+    plain, crowded, fine = near_cells(segments, ["mask_id"], c("radius"), size, crowd)
     side, match = _cell_match(plain, own_mask)
     placed = _placed(points, size)
     quick = placed.join(side, match & _near_test()).select("mask_id", "id")
@@ -226,7 +227,7 @@ def boundary_segments(rings: DataFrame, radius: Column) -> DataFrame:
     )
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1000.0, levels: int = 11) -> DataFrame:
+def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 50.0, levels: int = 15) -> DataFrame:
     """(id, distance) from points (id, e, n) to the nearest target (e, n), exactly.
 
     A pyramid of cells holds one target per cell and level. The closest of the targets in

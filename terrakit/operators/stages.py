@@ -10,13 +10,13 @@ from terrakit.operators.ordered import ranked, with_next, with_previous
 c = F.col
 
 
-def stage_spans(updates: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+def stage_spans(updates: DataFrame, bucket: Column, order: list[str], fine: Column | None = None) -> DataFrame:
     """(run, k, stage, since, seconds): one row per stage a run went through.
 
     A stage lasts from its first update to the next stage's first one; later updates of
     the same stage do not reset its clock. The last stage ends at the run's last update.
     """
-    numbered = ranked(updates, ["run"], bucket, order, "i")
+    numbered = ranked(updates, ["run"], bucket, order, "i", fine=fine)
     marked = with_previous(numbered, ["run"], "i", [("stage", "before")])
     changes = marked.filter(~c("stage").eqNullSafe(c("before"))).select("run", "i", "stage", "ts")
     ordered = ranked(changes, ["run"], F.floor((c("i") - 1) / 4096), ["i"], "k")

@@ -279,7 +279,7 @@ SPANS = """with u as (select run, stage, ts, event_id, lag(stage) over (partitio
 
 
 def spans(t):
-    return stages.stage_spans(t.b_updates, F.to_date("ts"), ["ts", "event_id"])
+    return stages.stage_spans(t.b_updates, F.to_date("ts"), ["ts", "event_id"], F.date_trunc("second", "ts"))
 
 
 @query("f3_stage_spans", "F3 L1", uses="b_updates", sql=SPANS + " select run, k, stage, round(seconds,6) as seconds from sp")

@@ -86,7 +86,7 @@ def _(t):
     upper = t.b_addresses.drop("id")
     # The byte-order mark sits on whichever column comes first in the file.
     names = [k.upper() for k in upper.columns]
-    upper.toDF(addresses.BOM + names[0], *names[1:]).write.csv(path, sep=";", header=True)
+    upper.toDF(addresses.BOM + names[0], *names[1:]).write.csv(path, sep=";", header=True, quote="", emptyValue="")
     return addresses.stats(addresses.read_addresses(t.spark, path), 2500000.0, 1080000.0, 2750000.0, 1250000.0)
 
 

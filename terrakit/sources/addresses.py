@@ -15,12 +15,13 @@ COLUMNS = [
 
 
 def read_semicolon_csv(spark: SparkSession, path: str, fold_case: bool) -> DataFrame:
-    """A header CSV with ``;``; a byte-order mark is taken off the first column's name.
+    """A header CSV with ``;`` and no quoting; a byte-order mark is taken off the first
+    column's name.
 
     Column order in the file does not matter. With ``fold_case`` names become lower case.
     """
-    raw = spark.read.csv(path, sep=";", header=True, encoding="UTF-8")
-    clean = [c.replace(BOM, "").strip().strip('"') for c in raw.columns]
+    raw = spark.read.csv(path, sep=";", header=True, encoding="UTF-8", quote="")
+    clean = [c.replace(BOM, "").strip() for c in raw.columns]
     return raw.toDF(*[c.lower() if fold_case else c for c in clean])
 
 

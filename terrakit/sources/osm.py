@@ -27,7 +27,7 @@ def shared_nodes(points: DataFrame) -> DataFrame:
     Ranks are built from 0.001 degree strips, so no task sorts the country.
     """
     distinct = quantised(points).select("lon_e7", "lat_e7").distinct()
-    return ranked(distinct, [], F.floor(F.col("lon_e7") / 10000), ["lon_e7", "lat_e7"], "node").select(
+    return ranked(distinct, [], F.floor(F.col("lon_e7") / 10000), ["lon_e7", "lat_e7"], "node", fine=F.col("lon_e7")).select(
         "node", "lon_e7", "lat_e7"
     )
 
@@ -75,7 +75,7 @@ def element_tables(features: DataFrame) -> dict[str, DataFrame]:
         "layer", "id", "part", "pos", "r.lon_e7", "r.lat_e7"
     )
     distinct = vertices.select("lon_e7", "lat_e7").distinct()
-    nodes = ranked(distinct, [], F.floor(F.col("lon_e7") / 10000), ["lon_e7", "lat_e7"], "node")
+    nodes = ranked(distinct, [], F.floor(F.col("lon_e7") / 10000), ["lon_e7", "lat_e7"], "node", fine=F.col("lon_e7"))
     pois = elements.filter("element = 'poi'").select("layer", "id", "part", F.inline("refs"))
     node_refs = vertices.join(nodes, ["lon_e7", "lat_e7"]).select("layer", "id", "part", "pos", "node")
     tags = features.select("layer", "id", F.explode("tags").alias("k", "v"))

@@ -174,6 +174,8 @@ def test_text_helpers(spark):
     assert one(spark, attrs.degree_label(F.lit(-5), F.lit(8))) == "S05E008"
     assert one(spark, attrs.number_tag(F.lit(457.0))) == "457"
     assert one(spark, attrs.number_tag(F.lit(0.5))) == "0.5"
+    assert one(spark, attrs.number_tag(F.lit(0.00025))) == "0.00025"
+    assert one(spark, attrs.number_tag(F.lit(12345678.25))) == "12345678.25"
     assert one(spark, attrs.number_tag(F.lit(float("nan")))) is None
     assert one(spark, attrs.postcode(F.lit("4052 Basel"))) == "4052"
     assert one(spark, attrs.locality(F.lit("Basel Stadt"))) == "Basel Stadt"

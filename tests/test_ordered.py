@@ -42,6 +42,13 @@ def test_ranked_and_neighbours(spark):
             assert x.n1 == (seq[i][1] if i < len(seq) else None)
 
 
+def test_crowded_buckets_are_cut_finer(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "k int, t double, v long")
+    got = ordered.ranked(df, ["k"], F.floor(c("t") * 3), ["t"], "i", fine=F.floor(c("t") * 200), crowd=20).collect()
+    assert {(r.k, r.t): r.i for r in got} == {(k, t): i for k, seq in by_key(data).items() for i, (t, _) in enumerate(seq, 1)}
+
+
 def test_ranked_without_key(spark):
     df = spark.createDataFrame([(x,) for x in range(100, 0, -1)], "x int")
     got = ordered.ranked(df, [], F.floor(c("x") / 7), ["x"], "i").collect()
