@@ -145,14 +145,14 @@ def chain_any(segments: DataFrame, per_metre: float = 1000.0) -> DataFrame:
     Ends meeting in one place are paired in sid order, so every segment is used exactly
     once whatever the degree. Lines come out in one of their two directions.
     """
-    from terrakit.operators.ordered import ranked
+    from terrakit.operators.ordered import CHUNK, ranked
 
     ends = segments.select("sid", F.inline(F.array(
         F.struct(quantised_key(c("ae"), c("an"), per_metre).alias("key"), F.lit(0).alias("side")),
         F.struct(quantised_key(c("be"), c("bn"), per_metre).alias("key"), F.lit(1).alias("side")),
     )))
     # The place an end takes among those meeting there: pairs are (1,2), (3,4), ...
-    numbered = ranked(ends, ["key"], F.floor(c("sid") / 4096), ["sid", "side"], "k")
+    numbered = ranked(ends, ["key"], F.floor(c("sid") / CHUNK), ["sid", "side"], "k")
     end = F.struct("sid", "side")
     pairs = numbered.groupBy("key", F.floor((c("k") - 1) / 2).alias("pair")).agg(
         F.min_by(end, "k").alias("p"), F.max_by(end, "k").alias("q"), F.count(F.lit(1)).alias("m")

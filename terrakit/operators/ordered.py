@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CHUNK = 4096
+CHUNK = 65_536
 CROWD = 2_000_000
 
 

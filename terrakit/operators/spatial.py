@@ -192,16 +192,18 @@ def in_polygons(
 def near_segments(
     points: DataFrame, segments: DataFrame, size: float = CELL, own_mask: bool = False, crowd: int = CROWD
 ) -> DataFrame:
-    """Pairs (mask_id, id) of points within ``radius`` of a mask's segments, with repeats."""
+    """Pairs (mask_id, id) of points within ``radius`` of a mask's segments; may repeat."""
     plain, crowded, fine = near_cells(segments, ["mask_id"], c("radius"), size, crowd)
     side, match = _cell_match(plain, own_mask)
     placed = _placed(points, size)
-    quick = placed.join(side, match & _near_test()).select("mask_id", "id")
+    # A point that knows its mask only has to find one segment; otherwise the pairs name it.
+    quick = placed.join(side, match & _near_test(), "left_semi" if own_mask else "inner").select("mask_id", "id")
     # Points of crowded cells look into that mask's fine cells only.
     side, match = _cell_match(crowded, own_mask)
-    rest = placed.join(side, match).select("mask_id", "id", "e", "n")
+    rest = placed.join(side, match, "left_semi" if own_mask else "inner").select("mask_id", "id", "e", "n")
     side, match = _cell_match(fine, True)
-    return quick.unionByName(_placed(rest, size / FINE).join(side, match & _near_test()).select("mask_id", "id"))
+    near = _placed(rest, size / FINE).join(side, match & _near_test(), "left_semi")
+    return quick.unionByName(near.select("mask_id", "id"))
 
 
 def members(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrakit.operators.ordered import ranked, with_next, with_previous
+from terrakit.operators.ordered import CHUNK, ranked, with_next, with_previous
 
 c = F.col
 
@@ -19,7 +19,7 @@ def stage_spans(updates: DataFrame, bucket: Column, order: list[str], fine: Colu
     numbered = ranked(updates, ["run"], bucket, order, "i", fine=fine)
     marked = with_previous(numbered, ["run"], "i", [("stage", "before")])
     changes = marked.filter(~c("stage").eqNullSafe(c("before"))).select("run", "i", "stage", "ts")
-    ordered = ranked(changes, ["run"], F.floor((c("i") - 1) / 4096), ["i"], "k")
+    ordered = ranked(changes, ["run"], F.floor((c("i") - 1) / CHUNK), ["i"], "k")
     closed = with_next(ordered, ["run"], "k", [("ts", "until")])
     ends = updates.groupBy("run").agg(F.max("ts").alias("end"))
     span = closed.join(ends, "run")

@@ -24,16 +24,18 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def profile(df: DataFrame, columns: list[str], cap: int = CARDINALITY_CAP) -> DataFrame:
     """(col, nulls, cardinality, top, top_n): exact up to ``cap`` values, else ``>cap``.
 
-    A first pass sketches the distinct counts of all columns into one row; columns far
-    beyond the cap are settled by that, so the exact counting never shuffles keys of a
-    unique column. Anything near the cap is counted exactly.
+    A first pass sketches the distinct counts and counts the nulls of all columns into one
+    row; columns far beyond the cap are settled by that, so the exact counting never
+    shuffles keys of a unique column. Anything near the cap is counted exactly.
     """
-    sketch = df.agg(*[F.approx_count_distinct(name).alias(name) for name in columns]).first()
-    wide = [name for name in columns if sketch[name] > 4 * cap]
+    row = df.agg(
+        *[F.approx_count_distinct(name).alias(f"d_{name}") for name in columns],
+        *[F.count_if(c(name).isNull()).alias(f"n_{name}") for name in columns],
+    ).first()
+    wide = [name for name in columns if row[f"d_{name}"] > 4 * cap]
     narrow = [name for name in columns if name not in wide]
-    nulls = df.agg(*[F.count_if(c(name).isNull()).alias(name) for name in columns]).select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias("col"), c(n).alias("nulls")) for n in columns])))
     spark = df.sparkSession
+    nulls = spark.createDataFrame([(name, row[f"n_{name}"]) for name in columns], "col string, nulls long")
     over = spark.createDataFrame([(n, cap + 1) for n in wide], "col string, k long").withColumn(
         "top", F.lit(None).cast("string")).withColumn("top_n", F.lit(None).cast("bigint"))
     exact = over.limit(0)

@@ -73,7 +73,7 @@ def _(t):
 
 @query("e4_extraction_report", "E4", uses="b_features", sql="""
     with f as (select case layer when 'roads' then 'transport' else 'cover' end grp, layer, width before, floor(width/3) after from b_features)
-    select grp, layer, cast(grouping(grp)+grouping(layer) as int) depth, count(*) features, sum(before) points_before, sum(after) points_after,
+    select grp, layer, cast(grouping(grp)+grouping(layer) as int) depth, count(*) features, sum(before) points_before, cast(sum(after) as bigint) points_after,
       round(case when sum(before)=0 then 0 else 1-sum(after)/sum(before) end,6) ratio from f group by rollup(grp, layer)""")
 def _(t):
     f = t.b_features.select(F.when(c("layer") == "roads", "transport").otherwise("cover").alias("grp"), "layer",
@@ -110,7 +110,7 @@ def _(t):
 
 
 @query("e6_sources_per_release", "E6", uses="b_assets", sql="""
-    select yr, cell%50 item, count(*) files, sum(item) bytes, min(name) first_name from
+    select yr, cell%50 item, count(*) files, cast(sum(item) as bigint) bytes, min(name) first_name from
       (select yr, cell, b.item, first_value(name) over (partition by yr, cell%50 order by b.item) name from b_assets b where b.item%7<>0) q
     group by 1,2""")
 def _(t):
@@ -138,7 +138,7 @@ DIRS = ["ch.swisstopo.swissalti3d", "builds", "recipes", ".quarantine", "winter"
 
 @query("e8_storage_use", "E8", sql="""
     select case doc_id%8 when 0 then 'elevation' when 1 then 'builds' when 2 then 'recipes' when 3 then 'quarantine'
-      when 4 then 'datasets' when 5 then 'datasets' else 'other' end category, sum(n_chars) bytes from documents group by 1""")
+      when 4 then 'datasets' when 5 then 'datasets' else 'other' end category, cast(sum(n_chars) as bigint) bytes from documents group by 1""")
 def _(t):
     from terrakit.sources.manifest import storage_use
     folder = F.element_at(F.array(*[F.lit(x) for x in DIRS]), (c("doc_id") % 8 + 1).cast("int"))
@@ -308,9 +308,9 @@ def _(t):
 @query("f9_part_numbers", "F9", sql="""
     select s_nationkey grp, s_suppkey id, row_number() over (partition by s_nationkey order by s_suppkey) || ' of ' || count(*) over (partition by s_nationkey) part from supplier""")
 def _(t):
-    from terrakit.operators.ordered import ranked
+    from terrakit.operators.ordered import CHUNK, ranked
     s = t.supplier.select(c("s_nationkey").alias("grp"), c("s_suppkey").alias("id"))
-    numbered = ranked(s, ["grp"], F.floor(c("id") / 4096), ["id"], "k")
+    numbered = ranked(s, ["grp"], F.floor(c("id") / CHUNK), ["id"], "k")
     totals = s.groupBy("grp").agg(n("total"))
     return numbered.join(totals, "grp").select("grp", "id", F.concat(c("k").cast("string"), F.lit(" of "), c("total").cast("string")).alias("part"))
 

@@ -126,7 +126,7 @@ CLIP_BOX = (2604000.0, 1204000.0, 2613000.0, 1212000.0)
     v as (select user_id, i, ae+t0*dx pe, an+t0*dy pn, ae+t1*dx qe, an+t1*dy qn from q where t0<=t1),
     b as (select *, case when lag(qe) over w = pe and lag(qn) over w = pn and lag(i) over w = i-1 then 0 else 1 end brk
           from v window w as (partition by user_id order by i)),
-    g as (select *, sum(brk) over (partition by user_id order by i) part from b)
+    g as (select *, cast(sum(brk) over (partition by user_id order by i) as bigint) part from b)
     select user_id, part, count(*)+1 points, round(sum(sqrt((qe-pe)*(qe-pe)+(qn-pn)*(qn-pn))),3) length_m
     from g group by 1,2""")
 def _(t):

@@ -31,6 +31,18 @@ def _(t):
     return df.select("id", "name", "stufe", pts[0]["e"].alias("first_e"), F.element_at(pts, -1)["n"].alias("last_n"))
 
 
+@query("a1_feature_lake", "A1 B2 E2", uses="b_segments b_points", sql=f"""
+    select 'roads' layer, sid id from b_segments where {IN_BOX}
+    union all select 'names', id from b_points where e between 2600000 and 2750000 and n between 1100000 and 1220000""")
+def _(t):
+    from terrakit.sources import lake
+    path = shared_path(t.spark, "lake")
+    spots = t.b_points.selectExpr("id", "'Point' kind", "array(named_struct('poly', 0, 'ring', 0, 'pts', array(named_struct('e', e, 'n', n)))) parts")
+    roads = line_features(t).select("id", "kind", "parts").withColumn("layer", F.lit("roads"))
+    lake.write_features(roads.unionByName(spots.withColumn("layer", F.lit("names"))), path)
+    return lake.read_features(t.spark, path, ["roads", "names"], BOX).select(c("layer").cast("string").alias("layer"), "id")
+
+
 @query("a2_geopackage_catalog", "A2", uses="b_segments", sql="""
     select 'roads_2056' "name", 'fid' id_column, 'geom' geometry_column, 2056 srs_id, true has_index, 'fid,geom,name,stufe' "columns", count(*)>0 filled from b_segments""")
 def _(t):
@@ -218,7 +230,7 @@ def _(t):
 
 
 @query("a15_run_manifests", "A15 E6", uses="b_assets", sql="""
-    with s as (select cell, count(*) releases, sum(bytes) bytes from (select cell, yr, sum(item) bytes from b_assets group by 1,2) q group by 1),
+    with s as (select cell, count(*) releases, cast(sum(bytes) as bigint) bytes from (select cell, yr, sum(item) bytes from b_assets group by 1,2) q group by 1),
     l as (select o_custkey cell, count(*) features, count(distinct o_orderstatus) layers from orders group by 1)
     select c_custkey run, coalesce(releases,0) releases, coalesce(bytes,0) bytes, coalesce(features,0) features, coalesce(layers,0) layers
     from customer left join s on s.cell=c_custkey left join l on l.cell=c_custkey""")

@@ -79,7 +79,7 @@ def _(t):
 @query("j2_levels_scanned", "J3", uses="b_grid", sql="""
     with e as (select min(z) lo, max(z) hi from b_grid where z<>-9999),
     f as (select cast(floor(trunc(lo)/20)*20 as int) "first", cast(floor(trunc(hi)/20)*20 as int) "last" from e)
-    select "first", "last", ("last"-"first")/20+1 levels from f""")
+    select "first", "last", cast(("last"-"first")/20+1 as bigint) levels from f""")
 def _(t):
     return terrain.levels_scanned(grid(t), 20).select(
         c("first").cast("int").alias("first"), c("last").cast("int").alias("last"), "levels")

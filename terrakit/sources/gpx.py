@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakit.operators.ordered import ranked, running_totals
+from terrakit.operators.ordered import CHUNK, ranked, running_totals
 from terrakit.session import cut_lineage
 
 c = F.col
@@ -65,10 +65,10 @@ def track_points(documents: DataFrame) -> DataFrame:
     routes = p.filter("kind = 'rte' and name <> ''").groupBy("path", "opened").agg(F.min_by("name", "pos").alias("rte_name"))
     points = p.filter("kind in ('trkpt', 'rtept') and lat is not null and lon is not null")
     tracks = points.groupBy(*where).agg(F.min("pos").alias("start"))
-    tracks = ranked(tracks, ["path"], F.floor(c("start") / 4096), ["start"], "track")
+    tracks = ranked(tracks, ["path"], F.floor(c("start") / CHUNK), ["start"], "track")
     tracks = tracks.join(names, ["path", "trk"], "left").join(routes, ["path", "opened"], "left").select(
         *where, "track", F.coalesce("rte_name", "trk_name").alias("name"))
-    numbered = ranked(points.select(*where, "pos", "lon", "lat", "ele"), ["path"], F.floor(c("pos") / 4096), ["pos"], "i")
+    numbered = ranked(points.select(*where, "pos", "lon", "lat", "ele"), ["path"], F.floor(c("pos") / CHUNK), ["pos"], "i")
     return numbered.join(tracks, where).select("path", "track", "i", "lon", "lat", "ele", "name")
 
 
