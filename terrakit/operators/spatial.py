@@ -106,11 +106,12 @@ def _edge_cells(rings: DataFrame, size: float) -> DataFrame:
     """Every (cell, edge) pair that matters to the eastward ray of a point in the cell.
 
     ``over`` marks an edge east of the cell that spans the cell's whole height: the ray
-    of every point there crosses it, so only the count matters.
+    of every point there crosses it, so only the count matters. ``touch`` marks an edge
+    that shares columns with the cell; the others lie wholly east of it.
     """
-    flat = rings.select(
-        "mask_id", "poly", "ring", cell_of(bounds(c("pts"))["min_e"], size).alias("west"), F.explode(edges(c("pts"))).alias("x")
-    ).select(
+    # The west end is worked out before the edges are laid out, once per ring.
+    ends = rings.select("mask_id", "poly", "ring", "pts", cell_of(bounds(c("pts"))["min_e"], size).alias("west"))
+    flat = ends.select("mask_id", "poly", "ring", "west", F.explode(edges(c("pts"))).alias("x")).select(
         "mask_id", "poly", "ring", "west",
         c("x.b.e").alias("ae"), c("x.b.n").alias("an"), c("x.a.e").alias("be"), c("x.a.n").alias("bn"),
     ).filter("an <> bn")
@@ -123,14 +124,16 @@ def _edge_cells(rings: DataFrame, size: float) -> DataFrame:
         & (F.least("an", "bn") <= c("cy") * size)
         & (F.greatest("an", "bn") >= (c("cy") + 1) * size)
     )
-    return rows.select("mask_id", "poly", "ring", "cx", "cy", "ae", "an", "be", "bn", over.alias("over"))
+    touch = c("cx") >= cell_of(F.least("ae", "be"), size)
+    return rows.select("mask_id", "poly", "ring", "cx", "cy", "ae", "an", "be", "bn", over.alias("over"), touch.alias("touch"))
 
 
 def polygon_cells(rings: DataFrame, size: float = CELL, edge_limit: int = EDGE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(light, heavy) cell tables of rings (mask_id, poly, ring, pts).
 
-    Light cells carry their edges in one row per polygon, {ring, parity, edges}. A cell
-    with more than ``edge_limit`` edges stays as edge rows, so no row grows without bound.
+    Light cells carry their edges in one row per polygon, {ring, parity, edges}, or are
+    ``full`` and need no test. A cell with more than ``edge_limit`` edges stays as edge
+    rows, so no row grows without bound.
     """
     where = ["mask_id", "poly", "cx", "cy"]
     rows = _edge_cells(rings, size)
@@ -141,18 +144,20 @@ def polygon_cells(rings: DataFrame, size: float = CELL, edge_limit: int = EDGE_L
         rows.join(crowded, where, "left_anti")
         .repartition(*[c(k) for k in where])
         .groupBy(*where, "ring")
-        .agg((F.count_if("over") % 2).cast("int").alias("parity"), F.collect_list(edge).alias("edges"))
-        .filter("parity = 1 or size(edges) > 0")
+        .agg((F.count_if("over") % 2).cast("int").alias("parity"), F.collect_list(edge).alias("edges"), F.bool_or("touch").alias("touch"))
         .groupBy(*where)
-        .agg(F.collect_list(F.struct("ring", "parity", "edges")).alias("rings"))
+        .agg(F.collect_list(F.struct("ring", "parity", "edges")).alias("rings"), F.bool_or("touch").alias("touch"))
         .filter("exists(rings, r -> r.ring = 0)")
     )
-    return light, heavy
+    # No edge passes through an untouched cell, so its centre answers for all of it.
+    centre = _inside_test((c("cx") + 0.5) * size, (c("cy") + 0.5) * size)
+    light = light.withColumn("full", ~c("touch") & centre).filter("touch or full")
+    return light.select(*where, "full", F.when(~c("full"), c("rings")).alias("rings")), heavy
 
 
-def _inside_test() -> Column:
+def _inside_test(e: Column, n: Column) -> Column:
     def odd(r):
-        hits = F.size(F.filter(r["edges"], lambda x: crosses(c("e"), c("n"), x["ae"], x["an"], x["be"], x["bn"])))
+        hits = F.size(F.filter(r["edges"], lambda x: crosses(e, n, x["ae"], x["an"], x["be"], x["bn"])))
         return (r["parity"] + hits) % 2 == 1
 
     return F.exists("rings", lambda r: (r["ring"] == 0) & odd(r)) & ~F.exists(
@@ -176,7 +181,8 @@ def in_polygons(
     light, heavy = polygon_cells(rings, size, edge_limit)
     placed = _placed(points, size)
     cells, match = _cell_match(light, own_mask)
-    quick = placed.join(cells, match & _inside_test()).select("mask_id", "poly", "id")
+    inside = c("full") | _inside_test(c("e"), c("n"))
+    quick = placed.join(cells, match & inside).select("mask_id", "poly", "id")
     cells, match = _cell_match(heavy, own_mask)
     hit = c("over") | crosses(c("e"), c("n"), c("ae"), c("an"), c("be"), c("bn"))
     slow = (
@@ -229,27 +235,27 @@ def boundary_segments(rings: DataFrame, radius: Column) -> DataFrame:
     )
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 50.0, levels: int = 15) -> DataFrame:
+def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0, levels: int = 20) -> DataFrame:
     """(id, distance) from points (id, e, n) to the nearest target (e, n), exactly.
 
     A pyramid of cells holds one target per cell and level. The closest of the targets in
-    a point's own cells is an upper bound; a cell at least that wide has every nearer
-    target in its 3x3 neighbourhood. ``finest * 2**(levels-1)`` must exceed the extent.
+    a point's own cells, on every second level, is an upper bound; on a level whose cells
+    are at least that wide, every nearer target lies in the 3x3 neighbourhood. ``finest * 2**(levels-1)`` must exceed the extent.
     """
     sizes = [finest * 2**k for k in range(levels)]
 
-    def at_levels(e, n):
+    def at_levels(e, n, step):
         return F.array(*[
             F.struct(F.lit(k).alias("lv"), cell_of(e, s).alias("cx"), cell_of(n, s).alias("cy"))
-            for k, s in enumerate(sizes)
+            for k, s in enumerate(sizes) if k % step == 0 or k == levels - 1
         ])
 
     spots = targets.select(c("e").alias("te"), c("n").alias("tn")).distinct()
-    leveled = spots.select("te", "tn", F.inline(at_levels(c("te"), c("tn"))))
+    leveled = spots.select("te", "tn", F.inline(at_levels(c("te"), c("tn"), 1)))
     one = leveled.groupBy("lv", "cx", "cy").agg(F.min(F.struct("te", "tn")).alias("t"))
     gap = F.hypot(c("te") - c("e"), c("tn") - c("n"))
     bound = (
-        points.select("id", "e", "n", F.inline(at_levels(c("e"), c("n"))))
+        points.select("id", "e", "n", F.inline(at_levels(c("e"), c("n"), 2)))
         .join(one, ["lv", "cx", "cy"], "left")
         .groupBy("id", "e", "n")
         .agg(F.min(F.hypot(c("t.te") - c("e"), c("t.tn") - c("n"))).alias("bound"))
