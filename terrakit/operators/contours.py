@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrakit.functions.relief import SLOPE_BANDS, tier
+from terrakit.operators.chain import chain_directed
+from terrakit.operators.lines import segments as line_segments
+from terrakit.operators.simplify import simplify_points
 from terrakit.operators.spatial import members
+from terrakit.operators.terrain import cells2x2, interval_levels, march, padded, tile_cells
+from terrakit.session import cut_lineage
 
 
 def flag_on_ice(lines: DataFrame, key: str, ice_rings: DataFrame, size: float = 1000.0) -> DataFrame:
@@ -31,14 +37,10 @@ def contour_lines(
     grid: DataFrame, interval_m: int = 20, major_m: int = 100, medium_m: int = 0, simplify_m: float = 8.0,
     origin_e: float = 0.0, origin_n: float = 0.0, cell_m: float = 2.0,
 ) -> DataFrame:
-    """(line, level, tier, closed, i, e, n): traced, simplified and graded contours."""
-    from terrakit.functions.relief import tier
-    from terrakit.operators.chain import chain_directed
-    from terrakit.operators.simplify import simplify_points
-    from terrakit.operators.terrain import cells2x2, interval_levels, march
-    from terrakit.session import cut_lineage
-
-    segments = march(cells2x2(grid), interval_levels(interval_m))
+    """(line, level, tier, closed, i, e, n): traced, simplified and graded contours of a
+    sample table (c, r, z) or, faster, of a tile table (e_km, n_km, samples)."""
+    cells = tile_cells(grid, interval_m) if "samples" in grid.columns else cells2x2(grid)
+    segments = march(cells, interval_levels(interval_m))
     traced = cut_lineage(_to_metres(chain_directed(segments), origin_e, origin_n, cell_m))
     kept = simplify_points(traced, "line", simplify_m)
     heads = traced.groupBy("line").agg(F.first("level").alias("level"), F.first("closed").alias("closed"))
@@ -63,18 +65,11 @@ def slope_areas(
     Rings around fewer than ``min_cells`` cells are dropped, and those left with fewer
     than four points after simplification.
     """
-    from terrakit.functions.relief import SLOPE_BANDS
-    from terrakit.operators.chain import chain_directed
-    from terrakit.operators.lines import segments as steps
-    from terrakit.operators.simplify import simplify_points
-    from terrakit.operators.terrain import cells2x2, march, padded
-    from terrakit.session import cut_lineage
-
     levels = F.array(*[F.lit(b) for b in (bands or SLOPE_BANDS)])
     z = padded(field).withColumnRenamed("degrees", "z")
     traced = chain_directed(march(cells2x2(z), levels)).filter("closed")
     traced = cut_lineage(_to_metres(traced, origin_e, origin_n, cell_m))
-    edges = steps(traced.withColumn("i", F.col("i") + 1), "line").filter("ae is not null")
+    edges = line_segments(traced.withColumn("i", F.col("i") + 1), "line").filter("ae is not null")
     cross = F.col("ae") * F.col("n") - F.col("e") * F.col("an")
     area = F.abs(F.sum(cross)) / 2.0 / (cell_m * cell_m)
     sizes = edges.groupBy("line").agg(area.alias("cells"), F.count(F.lit(1)).alias("edges"))

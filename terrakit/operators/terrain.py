@@ -50,19 +50,25 @@ def elevation_range(grid: DataFrame) -> DataFrame:
     return grid.filter(valid).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
 
 
+def _spread(grid: DataFrame, before: int, after: int, wide: int, tall: int) -> DataFrame:
+    """Copies of (c, r, ...) for every block of ``wide`` columns and ``tall`` rows they are
+    needed in: bc, br, and home_c, home_r where the block is their own."""
+    def reach(v: str, size: int) -> Column:
+        return F.array_distinct(F.array(
+            F.floor((c(v) - after) / size), F.floor(c(v) / size), F.floor((c(v) + before) / size)
+        ))
+
+    spread = grid.withColumn("bc", F.explode(reach("c", wide))).withColumn("br", F.explode(reach("r", tall)))
+    return spread.withColumn("home_c", c("bc") == F.floor(c("c") / wide)).withColumn("home_r", c("br") == F.floor(c("r") / tall))
+
+
 def in_blocks(grid: DataFrame, before: int, after: int, size: int = BLOCK) -> DataFrame:
     """Repartition by block with ``before``/``after`` rows and columns of overlap.
 
     Adds bc, br and ``home``, true in the block a sample belongs to.
     """
-    def reach(v: str) -> Column:
-        return F.array_distinct(F.array(
-            F.floor((c(v) - after) / size), F.floor(c(v) / size), F.floor((c(v) + before) / size)
-        ))
-
-    spread = grid.withColumn("bc", F.explode(reach("c"))).withColumn("br", F.explode(reach("r")))
-    home = (c("bc") == F.floor(c("c") / size)) & (c("br") == F.floor(c("r") / size))
-    return spread.withColumn("home", home).repartition("bc", "br")
+    spread = _spread(grid, before, after, size, size)
+    return spread.withColumn("home", c("home_c") & c("home_r")).drop("home_c", "home_r").repartition("bc", "br")
 
 
 def _beside(value, step: int, along: str, window) -> Column:
@@ -83,6 +89,39 @@ def cells2x2(grid: DataFrame, size: int = BLOCK) -> DataFrame:
     )
 
 
+def tile_cells(tiles: DataFrame, interval_m: int, px: int = TILE_PX, per_block: int = 2) -> DataFrame:
+    """The cells of a tile table that some contour level crosses, as cells2x2 gives them.
+
+    Tiles (e_km, n_km, samples) are cut into rows of samples. A row gets the first sample
+    of the row east of it, then the row north of it: one shuffle of whole rows by block of
+    tiles, px times fewer than samples. Cells no level crosses never leave the arrays.
+    """
+    k = F.explode(F.sequence(F.lit(0), F.lit(px - 1)))
+    rows = tiles.withColumn("k", k).select(
+        c("e_km").alias("c"), (c("n_km") * px + px - 1 - c("k")).alias("r"), F.slice("samples", c("k") * px + 1, F.lit(px)).alias("zs"))
+    # Copies to the block in the west only serve their first sample.
+    spread = _spread(rows, 0, 1, per_block, per_block * px)
+    spread = spread.withColumn("zs", F.when(c("home_c"), c("zs")).otherwise(F.slice("zs", 1, 1))).repartition("bc", "br")
+    by_row = Window.partitionBy("bc", "br", "r").orderBy("c")
+    by_col = Window.partitionBy("bc", "br", "c").orderBy("r")
+    spread = spread.withColumn("head", c("zs")[0]).withColumn("east", _beside("head", 1, "c", by_row))
+    spread = spread.withColumn("low", F.when(c("east").isNull(), c("zs")).otherwise(F.concat("zs", F.array("east"))))
+    spread = spread.withColumn("high", _beside("low", 1, "r", by_col)).filter("home_c and home_r and high is not null")
+    span = F.least(F.size("low"), F.size("high")) - 1
+    step = float(max(interval_m, 1))
+
+    def cell(i):
+        return F.struct(i.alias("i"), c("low")[i].alias("sw"), c("low")[i + 1].alias("se"), c("high")[i].alias("nw"), c("high")[i + 1].alias("ne"))
+
+    def crossed(x):
+        corners = [x[v] for v in ("sw", "se", "nw", "ne")]
+        return (F.floor(F.greatest(*corners) / step) * step > F.least(*corners)) & (F.least(*corners) > NODATA)
+
+    cells = F.filter(F.transform(F.sequence(F.lit(0), span - 1), cell), crossed)
+    return spread.filter(span > 0).select("c", "r", "bc", "br", F.inline(cells)).select(
+        (c("c") * px + c("i")).cast("int").alias("c"), c("r").cast("int").alias("r"), "bc", "br", "sw", "se", "nw", "ne")
+
+
 def _crossing(low: Column, high: Column, level: Column) -> Column:
     """Where the level lies between two corners, the middle for equal ones."""
     span = (high - low).cast("double")

@@ -76,6 +76,23 @@ def _(t):
         F.round(F.sum(F.when(c("case").isin(5, 10), 0.0).otherwise(run)), 4).alias("length"))
 
 
+@query("j2_marched_tiles", "J2 J1 D18", sql="""
+    with k as (select p_partkey-1 k, p_retailprice z from part), q as (select cast(floor(k/25) as int) tile, k%25 i, z from k),
+    full_ as (select tile from q group by tile having count(*)=25),
+    m as (select (2600+tile%7)*5+i%5 c, (1200+cast(floor(tile/7) as int))*5+4-cast(floor(i/5) as int) r, cast(z as float) z
+      from q where tile in (select tile from full_)),
+    s as (select a.c, a.r, a.z sw, b.z se, d.z nw, f.z ne from m a join m b on b.c=a.c+1 and b.r=a.r
+      join m d on d.c=a.c and d.r=a.r+1 join m f on f.c=a.c+1 and f.r=a.r+1),
+    lv as (select unnest(generate_series(0,4000,100)) "level"),
+    x as (select "level", (case when sw>="level" then 1 else 0 end)+(case when se>="level" then 2 else 0 end)
+        +(case when ne>="level" then 4 else 0 end)+(case when nw>="level" then 8 else 0 end) k from s cross join lv)
+    select "level", k "case", case when k in (5,10) then 2 else 1 end * count(*) segments from x where k not in (0,15) group by "level", k""")
+def _(t):
+    good, _ = terrain.valid_tiles(small_tiles(t), 5)
+    seg = terrain.march(terrain.tile_cells(good, 100, px=5), terrain.interval_levels(100))
+    return seg.groupBy("level", "case").agg(F.count(F.lit(1)).alias("segments"))
+
+
 @query("j2_levels_scanned", "J3", uses="b_grid", sql="""
     with e as (select min(z) lo, max(z) hi from b_grid where z<>-9999),
     f as (select cast(floor(trunc(lo)/20)*20 as int) "first", cast(floor(trunc(hi)/20)*20 as int) "last" from e)

@@ -145,3 +145,22 @@ def test_list_rank_long_line_and_rings(spark):
     assert all((got[i].chain, got[i].before, got[i].closed) == (0, 2 * i, False) for i in range(300))
     assert [got[1000 + i].before for i in range(7)] == list(range(7)) and got[1003].closed
     assert got[2000].closed and got[2000].before == 0
+
+
+def test_tiles_and_samples_give_the_same_segments(spark):
+    px = 6
+
+    def height(x, y):
+        return -9999.0 if (x, y) == (8, 9) else 200 + 60 * math.sin(x / 3) * math.cos(y / 4)
+
+    tiles = [
+        (e, n, [height(e * px + k % px, n * px + px - 1 - k // px) for k in range(px * px)])
+        for e in range(7) for n in range(6) if (e, n) != (3, 3)]
+    df = spark.createDataFrame(tiles, "e_km int, n_km int, samples array<double>")
+
+    def key(seg):
+        return sorted(tuple(r) for r in seg.select("sid", "level", "case", "ak", "bk", "ae", "an", "be", "bn").collect())
+
+    slow = terrain.march(terrain.cells2x2(terrain.mosaic(df, px), 16), terrain.interval_levels(20))
+    fast = terrain.march(terrain.tile_cells(df, 20, px, per_block=2), terrain.interval_levels(20))
+    assert key(slow) == key(fast) and key(fast)
