@@ -114,13 +114,16 @@ def _edge_cells(rings: DataFrame, size: float) -> DataFrame:
     flat = ends.select("mask_id", "poly", "ring", "west", F.explode(edges(c("pts"))).alias("x")).select(
         "mask_id", "poly", "ring", "west",
         c("x.b.e").alias("ae"), c("x.b.n").alias("an"), c("x.a.e").alias("be"), c("x.a.n").alias("bn"),
-    ).filter("an <> bn")
+    )
     low, high = F.least("an", "bn"), F.greatest("an", "bn")
+    # A level edge crosses no ray, but the cells it runs through are not all in or all out.
+    first = F.when(c("an") == c("bn"), cell_of(F.least("ae", "be"), size)).otherwise(c("west"))
     rows = flat.withColumn("cy", F.explode(F.sequence(cell_of(low, size), cell_of(high, size)))).withColumn(
-        "cx", F.explode(F.sequence(c("west"), cell_of(F.greatest("ae", "be"), size)))
+        "cx", F.explode(F.sequence(first, cell_of(F.greatest("ae", "be"), size)))
     )
     over = (
-        (F.least("ae", "be") >= (c("cx") + 1) * size)
+        (c("an") != c("bn"))
+        & (F.least("ae", "be") >= (c("cx") + 1) * size)
         & (F.least("an", "bn") <= c("cy") * size)
         & (F.greatest("an", "bn") >= (c("cy") + 1) * size)
     )
@@ -139,7 +142,7 @@ def polygon_cells(rings: DataFrame, size: float = CELL, edge_limit: int = EDGE_L
     rows = _edge_cells(rings, size)
     crowded = rows.groupBy(*where).agg(F.count_if(~c("over")).alias("m")).filter(c("m") > edge_limit).select(*where)
     heavy = rows.join(crowded, where, "left_semi")
-    edge = F.when(~c("over"), F.struct("ae", "an", "be", "bn"))
+    edge = F.when(~c("over") & (c("an") != c("bn")), F.struct("ae", "an", "be", "bn"))
     light = (
         rows.join(crowded, where, "left_anti")
         .repartition(*[c(k) for k in where])

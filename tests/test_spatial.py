@@ -57,12 +57,17 @@ def test_polygons_with_holes(spark, size, edge_limit):
     assert got == want and want
 
 
-def test_points_on_edges_and_corners(spark):
+@pytest.mark.parametrize("size", [0.7, 3.0, 5.0, 40.0])
+@pytest.mark.parametrize("edge_limit", [0, 20000])
+def test_points_on_edges_and_corners(spark, size, edge_limit):
+    # Level and upright edges, on and off the cell borders, and a hole.
     square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    hole = [(2.0, 3.0), (7.0, 3.0), (7.0, 8.0), (2.0, 8.0), (2.0, 3.0)]
     grid = [(float(x), float(y)) for x in range(-1, 12) for y in range(-1, 12)]
-    df = spark.createDataFrame([(1, 1, 0, square)], POLYS)
-    got = {r.id for r in spatial.in_polygons(points_df(spark, grid), df, 5.0).collect()}
-    assert got == {i for i, p in enumerate(grid) if inside(p, square)}
+    grid += [(x + 0.5, y + 0.5) for x, y in grid]
+    df = spark.createDataFrame([(1, 1, 0, square), (1, 1, 1, hole)], POLYS)
+    got = {r.id for r in spatial.in_polygons(points_df(spark, grid), df, size, edge_limit=edge_limit).collect()}
+    assert got == {i for i, p in enumerate(grid) if inside(p, square) and not inside(p, hole)}
 
 
 @pytest.mark.parametrize("radius", [0.5, 6.0, 40.0])
