@@ -83,13 +83,13 @@ def _(t):
       from q where tile in (select tile from full_)),
     s as (select a.c, a.r, a.z sw, b.z se, d.z nw, f.z ne from m a join m b on b.c=a.c+1 and b.r=a.r
       join m d on d.c=a.c and d.r=a.r+1 join m f on f.c=a.c+1 and f.r=a.r+1),
-    lv as (select unnest(generate_series(0,4000,100)) "level"),
+    lv as (select unnest(generate_series(0,4000,10)) "level"),
     x as (select "level", (case when sw>="level" then 1 else 0 end)+(case when se>="level" then 2 else 0 end)
         +(case when ne>="level" then 4 else 0 end)+(case when nw>="level" then 8 else 0 end) k from s cross join lv)
     select "level", k "case", case when k in (5,10) then 2 else 1 end * count(*) segments from x where k not in (0,15) group by "level", k""")
 def _(t):
     good, _ = terrain.valid_tiles(small_tiles(t), 5)
-    seg = terrain.march(terrain.tile_cells(good, 100, px=5), terrain.interval_levels(100))
+    seg = terrain.march(terrain.tile_cells(good, 10, px=5), terrain.interval_levels(10))
     return seg.groupBy("level", "case").agg(F.count(F.lit(1)).alias("segments"))
 
 
