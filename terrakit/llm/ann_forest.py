@@ -107,6 +107,11 @@ def _finder(k: int):
     return run
 
 
+def _renewed(side: DataFrame) -> DataFrame:
+    """New names for columns that the other side of a join has from the same table."""
+    return side.select(*[F.col(c).alias(c) for c in side.columns])
+
+
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
     min_candidates: int = MIN_CANDIDATES, block_rows: int = BLOCK_ROWS,
@@ -161,18 +166,16 @@ def nearest(
         "asker": F.pmod(mixed, "askers").cast("int"),
         "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
     })
-    # The two sides of the joins below come from one table and need columns of their own.
-    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
     full = [*key, "part", "asker"]
     counts = index.select(*full, "rep", "code").groupBy(*full).cogroup(
-        asked.select(*full, "rep", "code").groupBy(*full)
+        _renewed(asked.select(*full, "rep", "code")).groupBy(*full)
     ).applyInPandas(_counts, "rep long, depth int, n long")
     totals = counts.groupBy("rep", "depth").agg(F.sum("n").alias("n"))
     deep = F.max(F.when(F.col("n") >= min_candidates, F.col("depth")))
     depths = totals.groupBy("rep").agg(F.greatest(F.coalesce(deep, F.lit(lead)), F.lit(lead)).alias("depth"))
     own = classes.select("rep", "v")
     found = index.select(*full, "rep", "code").join(own, "rep").groupBy(*full).cogroup(
-        asked.select(*full, "rep", "code").join(depths, "rep").join(own, "rep").groupBy(*full)
+        _renewed(asked.select(*full, "rep", "code").join(depths, "rep").join(own, "rep")).groupBy(*full)
     ).applyInPandas(_finder(k + 1), "rep long, found long, score double")
     best = found.groupBy("rep", "found").agg(F.max("score").alias("score"))
     best = best.join(classes.select(F.col("rep").alias("found"), "first", "h1", "h2"), "found")

@@ -27,6 +27,9 @@ MOST = 2
 STEPS = 6
 ROUNDS = 8
 
+#: Single copies that are moved at the end, in each source.
+MOVES = 4
+
 
 def word_sizes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``source`` and ``size``, the number of words; null text has none."""
@@ -160,7 +163,23 @@ def cell_copies(cells: DataFrame, duals: DataFrame) -> DataFrame:
     used = F.coalesce(F.sum(F.col("__room") * F.col("size")).over(before), F.lit(0))
     fits = F.round((F.abs("__short") - used) / F.greatest("size", F.lit(1))).cast("long")
     moved = F.least("__room", F.greatest(F.lit(0), fits)) * F.signum("__short").cast("long")
-    return rounded.withColumn("copies", F.col("copies") + moved).drop("__short", "__room")
+    rounded = rounded.withColumn("copies", F.col("copies") + moved).drop("__short", "__room")
+    for _ in range(MOVES):
+        rounded = _best_move(rounded, whole)
+    return rounded
+
+
+def _best_move(cells: DataFrame, whole) -> DataFrame:
+    """One copy more or less in each source, the one that brings it nearest to its target."""
+    short = F.col("target") - F.sum(F.col("copies") * F.col("size")).over(whole)
+    cells = cells.withColumn("__short", short)
+    more = (F.col("__short") > 0) & (F.col("copies") < F.col("n") * MOST)
+    fewer = (F.col("__short") < 0) & (F.col("copies") > 0)
+    off = F.abs(F.abs("__short") - F.col("size"))
+    cells = cells.withColumn("__off", F.when((more | fewer) & (off < F.abs("__short")), F.struct(off.alias("off"), "size")))
+    best = F.col("__off") == F.min("__off").over(whole)
+    step = F.when(F.coalesce(best, F.lit(False)), F.signum("__short").cast("long")).otherwise(F.lit(0).cast("long"))
+    return cells.withColumn("copies", F.col("copies") + step).drop("__short", "__off")
 
 
 def mixed(docs: DataFrame, share: float = 1.5) -> DataFrame:

@@ -23,20 +23,22 @@ WINDOW = 8
 
 STATS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines",
-    "n_upper", "n_letters", "n_chars_all", "n_next_same", "n_ended",
+    "n_upper", "n_letters", "n_chars_all", "n_next_same", "n_ended", "n_marks",
 )
 
-#: Name, statistic, bound of a good vote, bound of a bad vote. The smaller side of the
-#: two bounds is the good side; between them the rule abstains.
+#: Name, statistic, bound of a good vote or None, bound of a bad vote. At most the first
+#: is good, at least the second is bad; what lies between abstains. Most rules recognise
+#: one kind of junk and say nothing about a document without it.
 RULES = (
-    ("symbols", lambda: F.col("n_symbols") / F.greatest("n_words", F.lit(1)), 0.02, 0.10),
-    ("upper", lambda: F.col("n_upper") / F.greatest("n_letters", F.lit(1)), 0.10, 0.40),
-    ("repeats", lambda: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), 0.05, 0.30),
-    ("dup_lines", lambda: F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 0.05, 0.40),
-    ("word_length", lambda: F.abs(F.col("word_chars") / F.greatest("n_words", F.lit(1)) - 5.0), 1.5, 2.5),
-    ("distinct", lambda: -F.col("n_distinct") / F.greatest("n_words", F.lit(1)), -0.45, -0.30),
-    ("neighbours", lambda: F.col("n_next_same") / F.greatest("n_words", F.lit(1)), 0.05, 0.20),
-    ("letters", lambda: -F.col("n_letters") / F.greatest("n_chars_all", F.lit(1)), -0.72, -0.60),
+    ("symbols", lambda: F.col("n_symbols") / F.greatest("n_words", F.lit(1)), None, 0.10),
+    ("marks", lambda: F.col("n_marks") / F.greatest("n_words", F.lit(1)), None, 0.50),
+    ("upper", lambda: F.col("n_upper") / F.greatest("n_letters", F.lit(1)), None, 0.40),
+    ("repeats", lambda: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), None, 0.30),
+    ("dup_lines", lambda: F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), None, 0.40),
+    ("word_length", lambda: F.abs(F.col("word_chars") / F.greatest("n_words", F.lit(1)) - 5.0), 1.0, 2.0),
+    ("distinct", lambda: -F.col("n_distinct") / F.greatest("n_words", F.lit(1)), None, -0.30),
+    ("neighbours", lambda: F.col("n_next_same") / F.greatest("n_words", F.lit(1)), None, 0.20),
+    ("letters", lambda: -F.col("n_letters") / F.greatest("n_chars_all", F.lit(1)), -0.76, -0.70),
     ("ended", lambda: -F.col("n_ended") / F.greatest("n_lines", F.lit(1)), -0.60, -0.20),
 )
 
@@ -97,6 +99,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
         "n_letters": F.char_length(F.regexp_replace(text, r"[^\p{L}]+", "")),
         "n_chars_all": chars,
         "n_next_same": F.size(same),
+        "n_marks": chars - F.char_length(F.translate(text, "!?", "")),
         "n_ended": F.size(F.filter("__qr_lines", lambda x: F.rlike(x, F.lit(r"[.!?][ \t-\r]*$")))),
     }
     inner = [c for c in rows.columns if c.startswith("__qr_")]
@@ -107,7 +110,10 @@ def vote_columns() -> list[Column]:
     """One column per rule: 1, -1, or 0 where the rule abstains. No words: all abstain."""
     votes = []
     for name, value, good, bad in RULES:
-        vote = F.when(F.col("n_words") == 0, 0).when(value() <= good, 1).when(value() >= bad, -1).otherwise(0)
+        vote = F.when(F.col("n_words") == 0, 0).when(value() >= bad, -1)
+        if good is not None:
+            vote = vote.when(value() <= good, 1)
+        vote = vote.otherwise(0)
         votes.append(vote.cast("int").alias(f"vote_{name}"))
     return votes
 
@@ -118,12 +124,13 @@ def fit_label_model(
     """Expectation-maximisation over (votes, count) rows.
 
     Returns the share of good documents and, per rule and vote, its probability on good
-    and on bad documents. Starts from rules that are right four times out of five; each
-    vote's count is smoothed by one, so none has probability 0. No patterns: the start.
+    and on bad documents. Starts from rules that say bad of one good document in a
+    hundred and of three bad ones in ten; each vote's count is smoothed by one, so none
+    has probability 0. No patterns: the start.
     """
     n_rules = len(RULES)
     share = 0.8
-    table = [{1: (0.64, 0.16), 0: (0.2, 0.2), -1: (0.16, 0.64)} for _ in range(n_rules)]
+    table = [{1: (0.495, 0.2), 0: (0.495, 0.5), -1: (0.01, 0.3)} for _ in range(n_rules)]
     patterns = sorted(patterns)
     last = -math.inf
     for _ in range(rounds if patterns else 0):

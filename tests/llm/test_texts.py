@@ -84,8 +84,9 @@ def test_quality_statistics(request, table):
     assert got.filter("base_failed and kept").count() == 0
 
 
-def test_quality_verdicts_follow_labels(spark, documents):
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+def test_quality_verdicts_follow_labels(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = quality_rules.judged(documents).join(labels, "doc_id").select("quality", "kept", "n_words").collect()
     good = [r["kept"] for r in rows if r["quality"] == 1 and r["n_words"] >= 20]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
