@@ -26,7 +26,9 @@ CAPACITY = 2048
 PACKER_PIECES = 100_000
 
 #: Words whose ids a worker keeps; the table starts anew beyond that. Speed only.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_000_000
+
+LETTERS = frozenset(bytes([b]) for b in range(97, 123))
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,7 +38,9 @@ class WordEncoder:
 
     The tokenizer lower-cases, normalises and splits at white space before it looks at
     words, and none of its rules looks across ASCII white space; so a text's ids are its
-    words' ids in order, and words seen before need no second look.
+    words' ids in order, and words seen before need no second look. A word's last stop or
+    comma is a word of its own after an ASCII letter. A-Z may be lower-cased ahead of the
+    tokenizer unless a combining mark or a special token stands in the text.
     """
 
     def __init__(self, path: str):
@@ -73,14 +77,21 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
+            if not (b"\xcc" in text or b"\xcd" in text or b"<|" in text):
+                text = text.lower()
             words = text.split()
             try:
                 yield b"".join(map(self.memo.__getitem__, words))
             except KeyError:
                 if len(self.memo) > MEMO_WORDS:
                     self.memo.clear()
-                new = list(set(words).difference(self.memo))
-                self.learn(new)
+                new = set(words).difference(self.memo)
+                ended = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1] in LETTERS and b"<|" not in w]
+                stems = {w[:-1] for w in ended}
+                stems.update((b".", b","), new.difference(ended))
+                self.learn(list(stems.difference(self.memo)))
+                for w in ended:
+                    self.memo[w] = self.memo[w[:-1]] + self.memo[w[-1:]]
                 yield b"".join(map(self.memo.__getitem__, words))
 
 
