@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space that separates words, and the letters that are folded.
@@ -48,6 +48,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
 
 
+def sieve(wanted: DataFrame, wanted_column: Column, column: Column, bits: int = 1 << 20) -> Column:
+    """A test that every wanted value of ``column`` passes and most others do not.
+
+    One bit per hash of a wanted value, in a table of a fixed number of bits. An exact join
+    follows it; rows that the sieve stops need not be shuffled for that join. With far more
+    wanted values than bits it lets everything pass, which costs time only.
+    """
+    bit = F.pmod(F.xxhash64(wanted_column), F.lit(bits))
+    words = dict(
+        wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).collect()
+    )
+    table = F.from_json(F.lit(str([words.get(i, 0) for i in range(bits >> 6)])), "array<bigint>")
+    own = F.pmod(F.xxhash64(column), F.lit(bits))
+    word = F.element_at(table, (F.shiftright(own, 6) + 1).cast("int"))
+    return F.call_function("getbit", word, (own.bitwiseAND(63)).cast("int")) == 1
+
+
 def worker_store(name: str, make: Callable[[], object]) -> object:
     """A value that lives as long as the Python worker, so that tasks share it."""
     store = sys.modules.setdefault("_text_worker_store", types.ModuleType("_text_worker_store")).__dict__

@@ -7,14 +7,14 @@ threshold share one of their first ``p = n - needed + 1`` shingles, and ``m`` of
 candidates would cost; a pair must share as many prefix shingles as the smaller of its
 two choices before it is verified on whole texts.
 
-The global order comes in two tiers, so that nothing but prefixes is shuffled:
+The global order comes in two tiers, so that little but prefixes is shuffled:
 
 1. Shingles in more than ``CROWD`` classes' regions (the lowest hashes of a set, a little
-   more than its prefix) come last, the others go by hash. The few classes whose region
-   has too few uncrowded shingles look at all of theirs.
-2. Classes that run out of uncrowded shingles (large groups of near copies, texts made of
-   common passages) are joined among themselves in the exact order of document frequency,
-   where a text's own shingles come first and bound what a pair can share.
+   more than its prefix) come last, the others go by hash.
+2. Classes with too few uncrowded shingles in their region (large groups of near copies,
+   texts made of common passages) are joined among themselves in the exact order of
+   document frequency, where a text's own shingles come first and bound what a pair can
+   share.
 
 In a large group all copies are verified against the one with the fewest shingles of its
 own. Only pairs that are not in one component by then are enumerated, outsiders of a
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrakit.llm.common import id_or_least, raw_texts, steps
+from terrakit.llm.common import held, id_or_least, raw_texts, sieve, steps
 from terrakit.llm.components import components
 from terrakit.session import written
 
 WORDS = 3
 PERCENT = 90
-CROWD = 32
+CROWD = 64
 LONGEST = 4
 
 #: Cost of verifying a pair, in units of meeting one posting.
@@ -155,7 +155,7 @@ def _all_shingles(words: int):
 def _verified(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept: tuple[list, list] = ([], [])
+            kept: tuple[list, list, list, list] = ([], [], [], [])
             sizes = [batch.column(c).cast(pa.large_binary()).nbytes for c in (2, 3)]
             some = max(1, batch.num_rows * (8 << 20) // max(1, sum(sizes)))
             for start in range(0, batch.num_rows, some):
@@ -172,10 +172,11 @@ def _verified(words: int, percent: int):
                     if x in sets and y in sets:
                         p, q = sets[x], sets[y]
                         shared = len(np.intersect1d(p, q, assume_unique=True))
-                        if 100 * shared >= percent * (len(p) + len(q) - shared):
-                            kept[0].append(x)
-                            kept[1].append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in kept], ["a", "b"])
+                        linked = 100 * shared >= percent * (len(p) + len(q) - shared)
+                        for column, value in zip(kept, (x, y, shared, linked)):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(kept, kinds)], ["a", "b", "shared", "linked"])
 
     return run
 
@@ -204,41 +205,37 @@ class _Join:
     def texts(self, wanted: DataFrame) -> DataFrame:
         """``cls, text`` for wanted classes, by their smallest document. A null id is told
         from the least one by what its text hashes to, when that is looked at."""
-        own = wanted.join(self.classes.select("cls", "node"), "cls").distinct()
+        own = written(wanted.join(self.classes.select("cls", "node"), "cls").distinct(), "join-wanted")
         rows = self.docs.withColumn("node", id_or_least(F.col("doc_id"))).drop("doc_id")
+        rows = rows.filter(sieve(own, F.col("node"), F.col("node")))
         return rows.join(own, "node").select("cls", "text")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of classes that are linked, checked on whole texts."""
+        """Pairs of classes with what they share and whether that links them, from whole texts."""
+        pairs = written(pairs.distinct(), "join-pairs")
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         found = self.texts(wanted).withColumn("h", F.xxhash64("text")).dropDuplicates(["cls", "h"]).drop("h")
         joined = pairs.select("a", "b").join(
             found.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a"
         ).join(found.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
         joined = joined.select("a", "b", "text_a", "text_b")
-        return written(joined.mapInArrow(_verified(self.words, self.percent), "a long, b long").distinct(), "join-links")
+        found = joined.mapInArrow(_verified(self.words, self.percent), "a long, b long, shared long, linked boolean")
+        return written(found.distinct(), "join-links")
 
-    def lengthened(self, postings: DataFrame) -> DataFrame:
-        """``postings`` (cls, token, rank, f, n, p, most) with each class's number of matches.
+    def matches(self, postings: str, most: Column) -> Column:
+        """How many matches a class asks for, from its array of (token, f, rank).
 
         ``f`` is the length of the token's list and ``most`` how many matches the class
         has ranks for. Meeting the lists costs their lengths; at most hits / m pairs can
         share m tokens and so need verifying.
         """
-        hits = [
-            F.sum(F.when(F.col("rank") < F.col("p") + m, F.col("f") - 1).otherwise(0)).alias(f"c{m}")
-            for m in range(1, LONGEST + 1)
-        ]
-        costs = postings.groupBy("cls").agg(*hits, F.first("most").alias("__most"))
-        priced = F.array(*[
-            F.struct(
-                F.when(F.col("__most") >= m, F.col(f"c{m}") * (1 + VERIFY_COST / m)).otherwise(F.lit(float("inf"))).alias("cost"),
-                F.lit(m).alias("m"),
-            )
-            for m in range(1, LONGEST + 1)
-        ])
-        chosen = costs.select("cls", F.array_min(priced)["m"].alias("m"))
-        return postings.join(chosen, "cls").filter(F.col("rank") < F.col("p") + F.col("m"))
+        priced = []
+        for m in range(1, LONGEST + 1):
+            reached = F.filter(postings, lambda x, m=m: x["rank"] < F.col("p") + m)
+            hits = F.aggregate(reached, F.lit(0).cast("long"), lambda total, x: total + x["f"] - 1)
+            cost = F.when(F.lit(m) > most, F.lit(float("inf"))).otherwise(hits * (1 + VERIFY_COST / m))
+            priced.append(F.struct(cost.alias("cost"), F.lit(m).alias("m")))
+        return F.array_min(F.array(*priced))["m"]
 
     def met(self, left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
         """Pairs that share enough prefix tokens; ``extra`` speaks of the sides l and r."""
@@ -254,46 +251,38 @@ class _Join:
         return pairs.filter(F.col("shared") >= F.col("asked")).select("a", "b")
 
     def first_tier(self) -> tuple[DataFrame, DataFrame]:
-        """Links over uncrowded tokens, and the classes that have too few of those."""
-        region = self.classes.select("cls", "n", "p", F.size("region").alias("r"), F.posexplode("region").alias("pos", "token"))
-        region = region.withColumn("pos", F.col("pos") + 1)
+        """Links over uncrowded tokens, and the classes that have too few of those.
+
+        A region is a prefix for ``r - p + 1`` matches in plain hash order. A class with p
+        uncrowded tokens in its region has at most ``r - p`` crowded ones there, so any set
+        similar to it shares an uncrowded token of its region with it, rich or poor.
+        """
+        region = self.classes.select("cls", F.posexplode("region").alias("pos", "token"))
         counts = region.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-        shared = written(region.join(counts, "token"), "join-postings")
-        crowded = written(shared.filter(F.col("f") > self.crowd).select("token").distinct(), "join-crowded")
-        behind = shared.filter(F.col("f") > self.crowd).groupBy("cls").agg(
-            F.sort_array(F.collect_list("pos")).alias("skipped"), F.first("r").alias("r"),
-            F.first("p").alias("p"), F.first("n").alias("n"),
+        lists = region.join(counts, "token").groupBy("cls").agg(F.collect_list(F.struct("pos", "token", "f")).alias("list"))
+        lists = lists.join(self.classes.select("cls", "n", "p", F.size("region").alias("r")), "cls")
+        crowded = F.filter("list", lambda x: x["f"] > self.crowd)
+        lists = lists.withColumn("skipped", held(F.transform(crowded, lambda x: x["pos"])))
+        uncrowded = F.transform(
+            F.filter("list", lambda x: x["f"] <= self.crowd),
+            lambda x: F.struct(
+                x["token"].alias("token"), x["f"].alias("f"),
+                (x["pos"] + 1 - F.size(F.filter("skipped", lambda s: s < x["pos"]))).cast("long").alias("rank"),
+            ),
         )
-        behind = written(behind, "join-skipped")
-        short = behind.filter((F.col("r") - F.size("skipped") < F.col("p")) & (F.col("r") < F.col("n")))
-        short = short.select("cls", "n", "p")
-        poor = behind.filter((F.col("r") - F.size("skipped") < F.col("p")) & (F.col("r") == F.col("n"))).select("cls")
-
-        plain = shared.filter(F.col("f") <= self.crowd).join(behind.select("cls", "skipped"), "cls", "left")
-        before = F.size(F.filter(F.coalesce("skipped", F.array().cast("array<int>")), lambda x: x < F.col("pos")))
-        plain = plain.withColumn("rank", (F.col("pos") - before).cast("long"))
-        most = F.col("r") - F.coalesce(F.size("skipped"), F.lit(0)) - F.col("p") + 1
-        plain = plain.withColumn("most", most.cast("long")).join(short, "cls", "left_anti")
-        plain = plain.filter(F.col("rank") < F.col("p") + LONGEST).select("cls", "token", "rank", "f", "n", "p", "most")
-
-        # Classes that look at all of their tokens: the first p that are not crowded.
-        tokens = self.texts(short.select("cls")).mapInArrow(
-            _all_shingles(self.words), "cls long, token long, pos long"
-        ).distinct()
-        open_tokens = tokens.join(crowded, "token", "left_anti").groupBy("cls").agg(
-            F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, 1 << 30).alias("open")
-        ).join(short, "cls")
-        open_tokens = written(open_tokens.select("cls", "n", "p", F.size("open").alias("have"), F.slice("open", 1, F.col("p").cast("int")).alias("open")), "join-open")
-        late = open_tokens.select("cls", "n", "p", F.posexplode("open").alias("rank", "t")).select(
-            "cls", F.col("t.token").alias("token"), (F.col("rank") + 1).cast("long").alias("rank"),
-            F.lit(self.crowd).cast("long").alias("f"), "n", "p", F.lit(1).cast("long").alias("most"),
+        left = F.col("r") - F.size("skipped") - F.col("p")
+        lists = lists.withColumn("open", held(uncrowded)).select(
+            "cls", "n", "p", (left < 0).alias("poor"), self.matches("open", left + 1).alias("m"), "open"
         )
-        none_left = short.join(open_tokens.filter(F.col("have") >= F.col("p")).select("cls"), "cls", "left_anti").select("cls")
-        poor = written(poor.unionByName(none_left).distinct(), "join-poor")
-
-        postings = written(self.lengthened(plain.unionByName(late)), "join-prefixes")
-        pairs = self.met(postings, postings, F.col("l.cls") < F.col("r.cls"))
-        return self.verified(pairs), poor
+        lists = written(lists, "join-lists")
+        poor = lists.filter("poor").select("cls")
+        every = lists.select("cls", "n", "p", "m", "poor", F.inline("open"))
+        rich = every.filter(~F.col("poor") & (F.col("rank") < F.col("p") + F.col("m")))
+        pairs = self.met(rich, rich, F.col("l.cls") < F.col("r.cls"))
+        # Rows of a poor class count as rank 0, which any number of matches allows.
+        every = every.withColumns({"m": F.lit(1), "rank": F.lit(0).cast("long")})
+        across = self.met(every.filter("poor"), every.filter("not poor"), F.lit(True))
+        return self.verified(pairs.unionByName(across)).filter("linked").select("a", "b"), poor
 
     def second_tier(self, poor: DataFrame, links: DataFrame) -> DataFrame:
         """Links among the classes that share crowded tokens, added to ``links``."""
@@ -310,11 +299,14 @@ class _Join:
         # A class whose own tokens fill its prefix, and any that no partner could reach, is out.
         listed = listed.withColumn("own", own).filter(self.could_reach(F.col("n") - F.col("own"), F.col("n"), F.col("n") - F.col("own")))
         reach = F.greatest(F.lit(0), F.col("p") + LONGEST - 1 - F.col("own")).cast("int")
-        postings = listed.select(
-            "cls", "n", "p", "own", (F.col("n") - F.col("p") + 1).alias("most"),
-            F.posexplode(F.slice("shared", 1, reach)).alias("at", "t"),
-        ).select("cls", "n", "p", "own", "most", "t.token", "t.f", (F.col("own") + F.col("at") + 1).alias("rank"))
-        postings = written(self.lengthened(postings), "join-prefixes")
+        ranked = F.transform(
+            F.slice("shared", 1, reach),
+            lambda x, at: F.struct(x["token"].alias("token"), x["f"].alias("f"), (F.col("own") + at + 1).alias("rank")),
+        )
+        listed = listed.select("cls", "n", "p", "own", held(ranked).alias("open"))
+        listed = listed.withColumn("m", self.matches("open", F.col("n") - F.col("p") + 1))
+        postings = listed.select("cls", "n", "p", "own", "m", F.inline("open"))
+        postings = written(postings.filter(F.col("rank") < F.col("p") + F.col("m")), "join-prefixes")
 
         # Every class against the most central one that it shares most lists with.
         centre = postings.groupBy("token").agg(F.min(F.struct("own", "cls")).alias("c"))
@@ -322,10 +314,17 @@ class _Join:
         stars = stars.groupBy("cls", F.col("c.cls").alias("centre")).agg(F.count(F.lit(1)).alias("k"))
         stars = stars.groupBy("cls").agg(F.max(F.struct("k", "centre")).alias("best"))
         stars = stars.select(F.col("cls").alias("a"), F.col("best.centre").alias("b"))
-        links = links.unionByName(self.verified(stars))
+        arms = self.verified(stars)
+        links = links.unionByName(arms.filter("linked").select("a", "b"))
 
         roots = components(links)
-        placed = postings.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        placed = postings.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(
+            arms.select(F.col("a").alias("cls"), F.col("b").alias("centre"), "shared"), "cls", "left"
+        )
+        # Of a class: what it has of its centre, and what else it has that is not its own.
+        placed = placed.withColumns({
+            "centre": F.coalesce("centre", "cls"), "kept": F.coalesce("shared", F.col("n") - F.col("own")),
+        }).withColumn("more", F.col("n") - F.col("own") - F.col("kept")).drop("shared")
         placed = written(placed.withColumn("root", F.coalesce("root", "cls")), "join-placed")
         by_root = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
         lists = by_root.groupBy("token").agg(
@@ -338,8 +337,12 @@ class _Join:
         both_other = F.col("r.root") != F.col("r.main")
         shared = F.least(F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own"))
         extra = (F.col("l.root") != F.col("r.root")) & (~both_other | (F.col("l.cls") < F.col("r.cls")))
+        # Two classes with one centre share at most what both have of it, and their other tokens.
+        around = F.least("l.kept", "r.kept") + F.least("l.more", "r.more")
+        shared = F.when(F.col("l.centre") == F.col("r.centre"), F.least(shared, around)).otherwise(shared)
         extra = extra & self.could_reach(shared, F.col("l.n"), F.col("r.n"))
-        return links.unionByName(self.verified(self.met(others, open_rows, extra)))
+        found = self.verified(self.met(others, open_rows, extra)).filter("linked")
+        return links.unionByName(found.select("a", "b"))
 
 
 def jaccard_components(
