@@ -48,7 +48,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
 
 
-def sieve(wanted: DataFrame, wanted_column: Column, column: Column, bits: int = 1 << 20) -> Column:
+def sieve(wanted: DataFrame, wanted_column: Column, column: Column, bits: int = 1 << 18) -> Column:
     """A test that every wanted value of ``column`` passes and most others do not.
 
     One bit per hash of a wanted value, in a table of a fixed number of bits. An exact join

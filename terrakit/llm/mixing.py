@@ -24,8 +24,8 @@ from terrakit.session import written
 
 WEIGHTS = (5, 2, 1)
 MOST = 2
-STEPS = 6
-ROUNDS = 8
+STEPS = 2
+ROUNDS = 30
 
 #: Single copies that are moved at the end, in each source.
 MOVES = 4
@@ -226,7 +226,7 @@ def mix(docs: DataFrame, share: float = 1.5) -> DataFrame:
     Rows meet their copies by id, source and size. Rows that agree in all three get the
     mean number of copies of their like, dealt out by their order in text.
     """
-    plan = mixed(docs, share).groupBy("doc_id", "source", "size").agg(
+    plan = written(mixed(docs, share), "mix-copies").groupBy("doc_id", "source", "size").agg(
         F.count(F.lit(1)).alias("__rows"), F.sum("copies").alias("__copies")
     ).select(
         F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__rows", "__copies"
