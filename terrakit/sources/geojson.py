@@ -7,33 +7,39 @@ from pyspark.sql import functions as F
 
 from terrakit.functions.projection import to_lv95
 from terrakit.functions.shapes import point
+from terrakit.session import cut_lineage
 from terrakit.sources.gpx import read_documents
 
 c = F.col
 NODE = "type string, features array<string>, geometry string, geometries array<string>, coordinates string"
 RING = "array<array<double>>"
-DEPTH = 6
 
+#: Levels that are opened in one plan before it is asked whether any are left.
+STEP = 6
 
-def geometries(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
+
+def geometries(documents: DataFrame, step: int = STEP) -> DataFrame:
     """(path, order, type, coordinates) of all plain geometries in (path, text) documents.
 
     Collections and features are opened level by level; ``order`` is the path of positions
-    taken, so document order is kept.
+    taken, so document order is kept. Levels are opened until none is left, however deep.
     """
     level = documents.select("path", F.array().cast("array<int>").alias("order"), F.from_json("text", NODE).alias("g"))
     plain = None
-    for _ in range(depth):
-        leaf = level.filter("g.coordinates is not null").select("path", "order", "g.type", "g.coordinates")
-        plain = leaf if plain is None else plain.unionByName(leaf)
-        inside = (
-            F.when(c("g.type") == "FeatureCollection", c("g.features"))
-            .when(c("g.type") == "Feature", F.array(c("g.geometry")))
-            .when(c("g.type") == "GeometryCollection", c("g.geometries"))
-        )
-        level = level.select("path", "order", F.posexplode(inside).alias("pos", "node")).filter("node is not null").select(
-            "path", F.concat("order", F.array("pos")).alias("order"), F.from_json("node", NODE).alias("g"))
-    return plain
+    while True:
+        for _ in range(step):
+            leaf = level.filter("g.coordinates is not null").select("path", "order", "g.type", "g.coordinates")
+            plain = leaf if plain is None else plain.unionByName(leaf)
+            inside = (
+                F.when(c("g.type") == "FeatureCollection", c("g.features"))
+                .when(c("g.type") == "Feature", F.array(c("g.geometry")))
+                .when(c("g.type") == "GeometryCollection", c("g.geometries"))
+            )
+            level = level.select("path", "order", F.posexplode(inside).alias("pos", "node")).filter("node is not null").select(
+                "path", F.concat("order", F.array("pos")).alias("order"), F.from_json("node", NODE).alias("g"))
+        if level.isEmpty():
+            return plain
+        level = cut_lineage(level)
 
 
 def polygons(documents: DataFrame) -> DataFrame:

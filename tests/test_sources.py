@@ -157,6 +157,14 @@ def test_gpx(spark):
     assert [(r.name, r.ele) for r in w] == [("Grimsel", 2164.0)]
 
 
+def test_geojson_nested_deeply(spark):
+    shape = '{"type":"Polygon","coordinates":[[[7.0,46.0],[7.1,46.0],[7.1,46.1],[7.0,46.0]]]}'
+    for _ in range(14):
+        shape = '{"type":"GeometryCollection","geometries":[' + shape + "]}"
+    docs = spark.createDataFrame([("deep", shape)], "path string, text string")
+    assert geojson.polygons(docs).count() == 1
+
+
 def test_geojson(spark):
     square = "[[8,46],[8.1,46],[8.1,46.1],[8,46]]"
     docs = spark.createDataFrame([
