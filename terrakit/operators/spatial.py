@@ -238,13 +238,23 @@ def boundary_segments(rings: DataFrame, radius: Column) -> DataFrame:
     )
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0, levels: int = 20) -> DataFrame:
+def _levels(points: DataFrame, targets: DataFrame, finest: float) -> int:
+    """Levels until a cell is as wide as the points and targets lie apart."""
+    both = points.select("e", "n").unionByName(targets.select("e", "n"))
+    both = both.filter("abs(e) < double('inf') and abs(n) < double('inf')")
+    row = both.agg((F.max("e") - F.min("e")).alias("w"), (F.max("n") - F.min("n")).alias("h")).first()
+    return 1 + max(0, math.ceil(math.log2(max(row["w"] or 0.0, row["h"] or 0.0, finest) / finest)))
+
+
+def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0) -> DataFrame:
     """(id, distance) from points (id, e, n) to the nearest target (e, n), exactly.
 
     A pyramid of cells holds one target per cell and level. The closest of the targets in
     a point's own cells, on every second level, is an upper bound; on a level whose cells
-    are at least that wide, every nearer target lies in the 3x3 neighbourhood. ``finest * 2**(levels-1)`` must exceed the extent.
+    are at least that wide, every nearer target lies in the 3x3 neighbourhood. The top
+    level's cells are as wide as all the data, so every point has its target, however far.
     """
+    levels = _levels(points, targets, finest)
     sizes = [finest * 2**k for k in range(levels)]
 
     def at_levels(e, n, step):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakit.sources.addresses import BOM
+from terrakit.sources.addresses import register_field, register_lines
 
 # The start of the language code text, by label language.
 LANGUAGE_PREFIX = {
@@ -16,30 +16,11 @@ LANGUAGE_PREFIX = {
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(uuid, code, name, file, block, line) from semicolon files, in file then line order.
 
-    ``block`` is the byte offset of the split a line came from, ``line`` grows inside
-    one split, so (file, block, line) is the order of the lines on disk.
+    See :func:`terrakit.sources.addresses.register_lines` for headers and order.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    order = F.struct("block", "line")
-    heads = lines.groupBy(F.col("file").alias("__file")).agg(
-        F.min_by("value", order).alias("__head"), F.min(order).alias("__first")
-    )
-    columns = F.split(F.replace(F.col("__head"), F.lit(BOM), F.lit("")), ";")
-    fields = F.split("value", ";")
-
-    def field(name: str):
-        place = F.array_position(columns, name).cast("int")
-        return F.trim(F.when(place > 0, F.try_element_at(fields, F.greatest(place, F.lit(1)))))
-
-    joined = lines.join(heads, F.col("file") == F.col("__file"))
-    return joined.filter(order != F.col("__first")).select(
-        field("UUID").alias("uuid"), field("SPRACHCODE").alias("code"), field("NAME").alias("name"),
-        "file", "block", "line",
+    return register_lines(spark, path).select(
+        F.trim(register_field("UUID")).alias("uuid"), F.trim(register_field("SPRACHCODE")).alias("code"),
+        F.trim(register_field("NAME")).alias("name"), "file", "block", "line",
     ).filter("uuid is not null and code is not null and name is not null")
 
 
