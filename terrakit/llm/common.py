@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrakit.session import shared_path
+
 # The white space that separates words, and the letters that are folded.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,6 +68,20 @@ def sieve(wanted: DataFrame, wanted_column: Column, column: Column, bits: int =
     return F.call_function("getbit", word, (own.bitwiseAND(63)).cast("int")) == 1
 
 
+def passing(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a table below the shared folder, and what deletes that table.
+
+    To be deleted once all that was made of it is written: no later step can need it then,
+    not even one that is run again after a loss.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(df.schema).parquet(path), lambda: files.delete(place, True)
+
+
 def worker_store(name: str, make: Callable[[], object]) -> object:
     """A value that lives as long as the Python worker, so that tasks share it."""
     store = sys.modules.setdefault("_text_worker_store", types.ModuleType("_text_worker_store")).__dict__

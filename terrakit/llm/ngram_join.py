@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrakit.llm.common import held, id_or_least, raw_texts, sieve, steps
+from terrakit.llm.common import held, id_or_least, passing, raw_texts, sieve, steps
 from terrakit.llm.components import components
 from terrakit.session import written
 
@@ -190,13 +190,19 @@ class _Join:
         described = self.docs.mapInArrow(
             _described(words, percent), "doc_id long, n long, cls long, cls2 long, region array<long>"
         )
-        self.rows = written(described, "join-rows")
-        classes = self.rows.filter("n > 0").withColumn("id", id_or_least(F.col("doc_id")))
+        # Regions are most of what is written; they go as soon as the next step has them.
+        described, drop_described = passing(described, "join-described")
+        self.rows = written(described.drop("region"), "join-rows")
+        classes = described.filter("n > 0").withColumn("id", id_or_least(F.col("doc_id")))
         classes = classes.groupBy("cls", "cls2").agg(
             F.min("id").alias("node"), F.first("n").alias("n"), F.first("region").alias("region")
         )
         p = F.expr(f"n - cast(ceil(n * {percent} / 100) as long) + 1")
-        self.classes = written(classes.withColumn("p", p), "join-classes")
+        self.regions, self.drop_regions = passing(classes.withColumn("p", p), "join-regions")
+        drop_described()
+        self.classes = written(
+            self.regions.select("cls", "cls2", "node", "n", "p", F.size("region").alias("r")), "join-classes"
+        )
 
     def could_reach(self, shared: Column, n: Column, m: Column) -> Column:
         """False where sets of n and m elements sharing at most ``shared`` are too far apart."""
@@ -257,10 +263,10 @@ class _Join:
         uncrowded tokens in its region has at most ``r - p`` crowded ones there, so any set
         similar to it shares an uncrowded token of its region with it, rich or poor.
         """
-        region = self.classes.select("cls", F.posexplode("region").alias("pos", "token"))
+        region = self.regions.select("cls", F.posexplode("region").alias("pos", "token"))
         counts = region.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
         lists = region.join(counts, "token").groupBy("cls").agg(F.collect_list(F.struct("pos", "token", "f")).alias("list"))
-        lists = lists.join(self.classes.select("cls", "n", "p", F.size("region").alias("r")), "cls")
+        lists = lists.join(self.classes.select("cls", "n", "p", "r"), "cls")
         crowded = F.filter("list", lambda x: x["f"] > self.crowd)
         lists = lists.withColumn("skipped", held(F.transform(crowded, lambda x: x["pos"])))
         uncrowded = F.transform(
@@ -275,6 +281,7 @@ class _Join:
             "cls", "n", "p", (left < 0).alias("poor"), self.matches("open", left + 1).alias("m"), "open"
         )
         lists = written(lists, "join-lists")
+        self.drop_regions()
         poor = lists.filter("poor").select("cls")
         every = lists.select("cls", "n", "p", "m", "poor", F.inline("open"))
         rich = every.filter(~F.col("poor") & (F.col("rank") < F.col("p") + F.col("m")))
