@@ -21,15 +21,18 @@ def updates(t):
     return raw.select(c("user_id").alias("run"), c("event_type").alias("stage"), "ts", "event_id")
 
 
-def run(t, stream, label):
-    base = shared_path(t.spark, label)
-    return stage_clock.run_available(stream, f"{base}/out", f"{base}/checkpoint")
+def run(t, operator, label):
+    return stage_clock.replay(updates(t), operator, shared_path(t.spark, label))
+
+
+def shown(stream):
+    return stage_clock.throttled(stream, interval_us=6 * 3600 * 1_000_000)
 
 
 @query("l1_stage_clock", "L1", uses="b_updates", sql=SPANS + """
     , z as (select *, max(k) over (partition by run) last from sp) select run, k, stage, round(seconds,6) as seconds from z where k<last""")
 def _(t):
-    return run(t, stage_clock.stage_spans(updates(t)), "clock").select("run", "k", "stage", F.round("seconds", 6).alias("seconds"))
+    return run(t, stage_clock.stage_spans, "clock").select("run", "k", "stage", F.round("seconds", 6).alias("seconds"))
 
 
 @query("l2_calibration_feed", "L2 E18", uses="b_samples", sql=f"""
@@ -49,10 +52,9 @@ def _(t):
     with u as (select run, stage, ts, event_id, lag(stage) over (partition by run order by ts, event_id) p from b_updates)
     select run, count(*) changes from u where p is null or p<>stage group by run""")
 def _(t):
-    shown = run(t, stage_clock.throttled(updates(t), interval_us=6 * 3600 * 1_000_000), "throttle")
-    return shown.filter("changed").groupBy("run").agg(F.count(F.lit(1)).alias("changes"))
+    return run(t, shown, "throttle").filter("changed").groupBy("run").agg(F.count(F.lit(1)).alias("changes"))
 
 
 @query("l3_shown_updates", "L3")
 def _(t):
-    return run(t, stage_clock.throttled(updates(t), interval_us=6 * 3600 * 1_000_000), "throttle")
+    return run(t, shown, "throttle")

@@ -1,7 +1,15 @@
-"""Build updates as streams: stage durations and a progress throttle."""
+"""Build updates as streams: stage durations and a progress throttle.
+
+Updates may come in any order and in any trigger. Each run's updates wait in its state
+until the watermark has passed them and are looked at in time order then, so the result
+does not depend on how the source deals them out. ``lateness`` is how far an update may
+come behind the latest one seen; the engine drops what comes later still and counts it in
+the progress of the query. A state holds a run's updates of one lateness at most.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,79 +17,118 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FINISHED = "finished"
 SPANS = "run long, k long, stage string, since timestamp, until timestamp, seconds double"
-CLOCK = "k long, stage string, since long, order long"
+WAITING = "us array<long>, pos array<long>, names array<string>"
+CLOCK = "k long, stage string, since long, " + WAITING
 PROGRESS = "run long, stage string, ts timestamp, changed boolean"
-THROTTLE = "stage string, shown long, seen long"
+THROTTLE = "stage string, shown long, " + WAITING
 INTERVAL_US = 250_000
+LATENESS = "1 hour"
+
+#: Event time of the row that ends a replay; later than any update.
+CLOSING = "2190-01-01"
+
+#: The engine's watermark starts at 1970; 70 years are added so that updates of that time
+#: and before are not late.
+SHIFT_US = 70 * 365 * 86_400 * 1_000_000
+
+
+def _time(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us - SHIFT_US, unit="us")
+
+
+def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def _passed(waiting: tuple, frames, watermark_ms: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Times and stages that the watermark has passed, in order, and what still waits."""
+    parts = [pd.DataFrame({"us": waiting[0], "pos": waiting[1], "stage": waiting[2]}), *frames]
+    parts = [p[["us", "pos", "stage"]] for p in parts if len(p)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, object), ([], [], [])
+    rows = pd.concat(parts).sort_values(["us", "pos"], kind="stable")
+    us, names = rows["us"].to_numpy(np.int64), rows["stage"].to_numpy(object)
+    cut = int(np.searchsorted(us, watermark_ms * 1000, side="right"))
+    left = rows.iloc[cut:]
+    return us[:cut], names[:cut], (us[cut:].tolist(), left["pos"].tolist(), left["stage"].tolist())
+
+
+def _keep(state: GroupState, own: tuple, waiting: tuple, watermark_ms: int) -> None:
+    """Store a run's state and ask to be called when the watermark has passed its next row."""
+    state.update((*own, *waiting))
+    if waiting[0]:
+        state.setTimeoutTimestamp(max(waiting[0][0] // 1000, watermark_ms) + 1)
 
 
-def _ordered(frames) -> pd.DataFrame:
-    """One trigger's rows of a run in time order. The trigger's size is bounded by the
-    source options, so is this frame."""
-    return pd.concat(list(frames)).sort_values(["us", "pos"])
+def _changes(names: np.ndarray, stage: str | None) -> np.ndarray:
+    """Places where the stage is not the one before; ``stage`` comes before the first."""
+    before = np.concatenate([np.array([stage], object), names[:-1]]) if len(names) else names
+    return np.flatnonzero(names != before)
 
 
 def _spans(key, frames, state: GroupState):
-    k, stage, since, seen = state.get if state.exists else (0, None, 0, -1)
+    k, stage, since, *waiting = state.get if state.exists else (0, None, 0, [], [], [])
+    watermark = state.getCurrentWatermarkMs()
+    us, names, waiting = _passed(waiting, frames, watermark)
     rows = []
-    for us, name in _ordered(frames)[["us", "stage"]].itertuples(index=False):
-        if us < seen:
-            continue  # arrived after its place in the order had passed
-        seen = us
-        if name == stage:
-            continue
+    for at in _changes(names, stage).tolist():
+        now = int(us[at])
         if stage is not None:
-            rows.append((key[0], k, stage, pd.Timestamp(since, unit="us"), pd.Timestamp(us, unit="us"), (us - since) / 1e6))
-        k, stage, since = k + 1, name, us
-        if name == FINISHED:
-            break
-    if stage == FINISHED:
-        state.remove()
+            rows.append((key[0], k, stage, _time(since), _time(now), (now - since) / 1e6))
+        # What follows the end of a run starts its clock anew.
+        k, stage, since = (0, None, 0) if names[at] == FINISHED else (k + 1, names[at], now)
+    if stage is None and not waiting[0]:
+        if state.exists:
+            state.remove()
     else:
-        state.update((k, stage, since, seen))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
+        _keep(state, (k, stage, since), waiting, watermark)
+    yield _table(rows, SPANS)
 
 
-def _micros(updates: DataFrame) -> DataFrame:
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return updates.select("run", "stage", us.alias("us"), F.col("event_id").alias("pos"))
+def _micros(updates: DataFrame, lateness: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp")) + SHIFT_US
+    stream = updates.withColumn("clock", F.timestamp_micros(us)).withWatermark("clock", lateness)
+    return stream.select("run", "stage", "clock", us.alias("us"), F.col("event_id").alias("pos"))
 
 
-def stage_spans(updates: DataFrame) -> DataFrame:
+def stage_spans(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Closed stages of a stream of updates (run, stage, ts, event_id).
 
     A stage closes when another one starts; an update of stage ``finished`` closes the
     last one and frees the run's state. The batch form is operators.stages.stage_spans.
     """
-    return _micros(updates).groupBy("run").applyInPandasWithState(
-        _spans, SPANS, CLOCK, "append", GroupStateTimeout.NoTimeout)
+    return _micros(updates, lateness).groupBy("run").applyInPandasWithState(
+        _spans, SPANS, CLOCK, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _shown(key, frames, state: GroupState, interval: int):
-    stage, shown, seen = state.get if state.exists else (None, 0, -1)
-    rows = []
-    for us, name in _ordered(frames)[["us", "stage"]].itertuples(index=False):
-        if us < seen:
-            continue
-        seen = us
-        changed = name != stage
-        if changed or us - shown >= interval:
-            rows.append((key[0], name, pd.Timestamp(us, unit="us"), changed))
-            stage, shown = name, us
-    state.update((stage, shown, seen))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROGRESS.split(", ")])
-
-
-def throttled(updates: DataFrame, interval_us: int = INTERVAL_US, lateness: str = "1 hour") -> DataFrame:
-    """Updates worth showing: every stage change, and progress inside a stage at most once
-    per interval since the last row shown. Late rows fall behind the watermark."""
-    stream = updates.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    stage, shown, *waiting = state.get if state.exists else (None, 0, [], [], [])
+    watermark = state.getCurrentWatermarkMs()
+    us, names, waiting = _passed(waiting, frames, watermark)
+    changes = _changes(names, stage)
+    rows, at = [], 0
+    while at < len(us):
+        ahead = int(np.searchsorted(changes, at))
+        changed = int(changes[ahead]) if ahead < len(changes) else len(us)
+        due = max(at, int(np.searchsorted(us, shown + interval)))
+        at = min(changed, due)
+        if at == len(us):
+            break
+        shown = int(us[at])
+        rows.append((key[0], names[at], _time(shown), at == changed))
+        at += 1
+    _keep(state, (names[-1] if len(names) else stage, shown), waiting, watermark)
+    yield _table(rows, PROGRESS)
+
 
+def throttled(updates: DataFrame, interval_us: int = INTERVAL_US, lateness: str = LATENESS) -> DataFrame:
+    """Updates worth showing: every stage change, and progress inside a stage at most once
+    per interval since the last row shown."""
     def step(key, frames, state):
         yield from _shown(key, frames, state, interval_us)
 
-    return _micros(stream).groupBy("run").applyInPandasWithState(
-        step, PROGRESS, THROTTLE, "append", GroupStateTimeout.NoTimeout)
+    return _micros(updates, lateness).groupBy("run").applyInPandasWithState(
+        step, PROGRESS, THROTTLE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -90,3 +137,21 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def replay(updates: DataFrame, operator, base: str) -> DataFrame:
+    """Everything that ``operator`` makes of what the source holds now, to its end.
+
+    A second source below ``base`` is empty at first. When the updates are through, it
+    gets one row of no run that lies far behind them in time; the watermark follows it
+    and passes all updates that still wait.
+    """
+    spark = updates.sparkSession
+    updates = updates.withColumn("ts", F.col("ts").cast("timestamp"))
+    end = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in updates.schema])
+    end = end.withColumn("ts", F.lit(CLOSING).cast("timestamp"))
+    end.limit(0).write.parquet(f"{base}/end")
+    stream = operator(updates.unionByName(spark.readStream.schema(end.schema).parquet(f"{base}/end")))
+    run_available(stream, f"{base}/out", f"{base}/checkpoint")
+    end.write.mode("append").parquet(f"{base}/end")
+    return run_available(stream, f"{base}/out", f"{base}/checkpoint")

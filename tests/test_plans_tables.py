@@ -176,14 +176,23 @@ def test_stage_clock_across_triggers(spark):
         [(1, "extract", 0.0, 1), (1, "extract", 1.0, 2)],
         [(1, "contours", 5.0, 3), (1, "contours", 7.0, 4), (2, "extract", 2.0, 5)],
         [(1, "finished", 9.0, 6), (1, "contours", 6.0, 7)]])
-    out = stage_clock.run_available(stage_clock.stage_spans(stream), f"{folder}/out", f"{folder}/cp")
+    out = stage_clock.replay(stream, stage_clock.stage_spans, folder)
     assert {(r.run, r.k, r.stage, r.seconds) for r in out.collect()} == {(1, 1, "extract", 5.0), (1, 2, "contours", 4.0)}
 
 
+def test_stage_clock_takes_updates_in_any_order(spark):
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    stream = updates(spark, folder, [[(1, "a", 0.0, 1), (1, "d", 30.0, 4)], [(1, "b", 10.0, 2), (1, "c", 20.0, 3)]])
+    out = stage_clock.replay(stream, stage_clock.stage_spans, folder)
+    assert {(r.run, r.k, r.stage, r.seconds) for r in out.collect()} == {(1, 1, "a", 10.0), (1, 2, "b", 10.0), (1, 3, "c", 10.0)}
+
+
 def test_throttle(spark):
     import tempfile
 
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     stream = updates(spark, folder, [[(1, "a", 0.0, 1), (1, "a", 0.1, 2), (1, "a", 0.3, 3)], [(1, "a", 0.4, 4), (1, "b", 0.45, 5), (1, "b", 0.5, 6)]])
-    out = stage_clock.run_available(stage_clock.throttled(stream), f"{folder}/out", f"{folder}/cp")
+    out = stage_clock.replay(stream, stage_clock.throttled, folder)
     assert [(r.stage, r.changed) for r in out.orderBy("ts").collect()] == [("a", True), ("a", False), ("b", True)]

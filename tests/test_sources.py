@@ -216,3 +216,24 @@ def test_registers(spark, folder):
     read = names.read_names(spark, names_dir)
     got = names.first_names(names.in_language(read, "french"), ["file", "block", "line"]).collect()
     assert {(r.uuid, r.name) for r in got} == {("u1", "Genève"), ("u2", "Sion")}
+
+
+def test_registers_of_several_headers(spark, folder):
+    """Files with columns in another order, and files of one name in two folders."""
+    head = "ADR_STATUS;ADR_OFFICIAL;ADR_EASTING;ADR_NORTHING;STN_LABEL;ADR_NUMBER;ZIP_LABEL\n"
+    other = "ZIP_LABEL;ADR_NUMBER;STN_LABEL;ADR_NORTHING;ADR_EASTING;ADR_OFFICIAL;ADR_STATUS\n"
+    base = os.path.join(folder, "r")
+    for name in ("a", "b"):
+        os.makedirs(os.path.join(base, name))
+    put(os.path.join(base, "a"), "x.csv", head + "real;true;1;1;Weg;1;4052 Basel\nreal;true;2;1;Weg;2;4052 Basel\n")
+    put(os.path.join(base, "b"), "x.csv", other + "4052 Basel;3;Weg;1;3;true;real\n4052 Basel;4;Weg;1;4;true;planned\n")
+    s = addresses.stats(addresses.read_addresses(spark, base + "/*"), 0.0, 0.0, 20.0, 20.0).first()
+    assert (s.scanned, s.kept, s.unofficial, s.malformed) == (4, 3, 1, 0)
+    base = os.path.join(folder, "m")
+    for name, text in (("a", "UUID;NAME;SPRACHCODE\nu1;Genf;Hochdeutsch\n"), ("b", "SPRACHCODE;UUID;NAME\nHochdeutsch;u2;Sitten\n")):
+        os.makedirs(os.path.join(base, name))
+        put(os.path.join(base, name), "names.csv", text)
+    got = names.read_names(spark, base + "/*").collect()
+    assert {(r.uuid, r.code, r.name) for r in got} == {("u1", "Hochdeutsch", "Genf"), ("u2", "Hochdeutsch", "Sitten")}
+
+
