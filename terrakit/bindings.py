@@ -61,7 +61,7 @@ BINDINGS: dict[str, str] = {
         select doc_id uuid,
                case lang when 'de' then 'Hochdeutsch inkl. Lokalsprachen' when 'fr' then 'Franzoesisch'
                     when 'es' then 'Italienisch' else 'Rumantsch' end code,
-               substr(text,1,24) name
+               translate(coalesce(text,''), chr(10)||chr(13)||';', '   ') name
         from {documents}""",
     "b_addresses": """
         select c_custkey id, case when c_custkey%13=0 then 'planned' else 'real' end adr_status,

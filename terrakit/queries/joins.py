@@ -106,11 +106,12 @@ def _(t):
 
 @query("d8_canton_names", "D8", sql="""
     select n_nationkey number, n_name name, coalesce(r_name,'') canton from nation
-    left join (select * from region where r_regionkey<>2) r on r_regionkey=n_regionkey""")
+    left join (select case when r_regionkey=2 then 99 else r_regionkey end k, r_name from region) r on k=n_regionkey""")
 def _(t):
     from terrakit.plans.units import with_canton
     units = t.nation.select(c("n_nationkey").alias("number"), c("n_name").alias("name"), c("n_regionkey").alias("canton_number"))
-    cantons = t.region.filter("r_regionkey <> 2").select(c("r_regionkey").alias("number"), c("r_name").alias("name"))
+    # One canton has a number that no unit carries.
+    cantons = t.region.select(F.when(c("r_regionkey") == 2, 99).otherwise(c("r_regionkey")).alias("number"), c("r_name").alias("name"))
     return with_canton(units, cantons).select("number", "name", "canton")
 
 
