@@ -59,5 +59,5 @@ def missing_tile_warning(cells: DataFrame) -> DataFrame:
     names = F.array_join(F.transform("first", lambda x: cell_label(x["e_km"], x["n_km"])), ", ")
     rest = c("total") - F.size("first")
     tail = F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise("")
-    text = F.concat(c("total").cast("string"), F.lit(" elevation tile(s) unavailable, so contours have gaps there: "), names, tail)
+    text = F.concat(c("total").cast("string"), F.lit(" km cells without elevation: "), names, tail)
     return first.withColumn("total", total).select(text.alias("warning"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terrakit.functions import boxes, shapes
 from terrakit.functions.projection import to_wgs84
+from terrakit.plans.units import selectable_units
 
 MASKED = ["corridor", "polygon", "circle", "adminUnits"]
 
@@ -67,6 +68,39 @@ def mask_rings(areas: DataFrame) -> DataFrame:
         shapes.closed(F.col("points")).alias("pts"))
 
 
+def unit_masks(areas: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rings, segments and unknown parts of areas that name administrative units.
+
+    Parts of kind ``adminUnits`` carry ``level`` and ``numbers``; ``units`` has a row for each
+    ring: level, number, icc, objektart, poly, ring, pts, with ``poly`` from 0 and its own for
+    every polygon of any level. The rings' ``poly`` is -1 - poly, so they never meet the part
+    numbers of :func:`mask_rings`. A unit named by several parts of an area comes once, with the
+    widest buffer. The third table has (area_id, part, reason) of each part that names no known
+    unit: such a part masks nothing, and a caller must not take it for an empty selection.
+    """
+    c = F.col
+    parts = areas.filter("kind = 'adminUnits'")
+    named = parts.select(
+        "area_id", "part", "level", F.explode(F.array_distinct("numbers")).alias("number"),
+        F.coalesce(c("buffer_km"), F.lit(0.0)).alias("buffer_km"))
+    known = selectable_units(units).select("level", c("number").cast("bigint").alias("number"), "poly", "ring", "pts")
+    met = named.join(known.select("level", "number"), ["level", "number"], "left_semi")
+    unknown = parts.join(met.select("area_id", "part").distinct(), ["area_id", "part"], "left_anti").select(
+        "area_id", "part", F.concat(
+            F.lit("no_such_unit level="), F.coalesce("level", F.lit("")), F.lit(" numbers="),
+            F.coalesce(F.array_join("numbers", ","), F.lit(""))).alias("reason"))
+    wide = named.groupBy(c("area_id").alias("mask_id"), "level", "number").agg(F.max("buffer_km").alias("buffer_km"))
+    shaped = wide.join(known, ["level", "number"]).select(
+        "mask_id", (-1 - c("poly").cast("bigint")).alias("poly"), "ring", shapes.closed(c("pts")).alias("pts"), "buffer_km")
+    segments = (
+        shaped.filter("buffer_km > 0")
+        .select("mask_id", (c("buffer_km") * 1000.0).alias("radius"), F.explode(shapes.edges(c("pts"))).alias("s"))
+        .select("mask_id", "radius", c("s.a.e").alias("ax"), c("s.a.n").alias("ay"),
+                c("s.b.e").alias("bx"), c("s.b.n").alias("by"))
+    )
+    return shaped.drop("buffer_km"), segments, unknown
+
+
 def _ring_text(ring: Column) -> Column:
     def position(p):
         lon, lat = to_wgs84(p["e"], p["n"])

@@ -48,13 +48,12 @@ def match_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def output_problems(file_bytes: Column, tiles: Column, max_bytes: Column, max_tiles: Column) -> Column:
-    """ARRAY of the limits an output breaks, in a fixed order."""
+    """ARRAY of the limits an output breaks, each ``code key=value ...``, in a fixed order."""
     found = F.array(
         F.when(file_bytes > max_bytes, F.concat(
-            file_bytes.cast("string"), F.lit(" bytes exceeds the device limit of "), max_bytes.cast("string"))),
-        F.when(file_bytes > MAX_FILE_BYTES, F.lit("the file is 4 GiB or larger, which FAT32 cannot store")),
+            F.lit("bytes_over_device is="), file_bytes.cast("string"), F.lit(" limit="), max_bytes.cast("string"))),
+        F.when(file_bytes > MAX_FILE_BYTES, F.lit(f"bytes_over_file_system limit={MAX_FILE_BYTES}")),
         F.when(tiles > max_tiles, F.concat(
-            tiles.cast("string"), F.lit(" tiles exceeds the device limit of "), max_tiles.cast("string"),
-            F.lit("; raise --max-nodes or split into several map sets"))),
+            F.lit("tiles_over_device is="), tiles.cast("string"), F.lit(" limit="), max_tiles.cast("string"))),
     )
     return F.filter(found, lambda x: x.isNotNull())

@@ -23,6 +23,11 @@ def selectable(units: DataFrame, level: str) -> DataFrame:
     return out.filter("objektart = 'Gemeindegebiet'") if level == "commune" else out
 
 
+def selectable_units(units: DataFrame) -> DataFrame:
+    """:func:`selectable` over a table that holds every level, in its ``level`` column."""
+    return units.filter("icc = 'CH' and (level <> 'commune' or objektart = 'Gemeindegebiet')")
+
+
 def merged(rows: DataFrame) -> DataFrame:
     """One row per (number, name): area summed, population and canton of the first row."""
     return rows.groupBy("number", "name").agg(

@@ -335,7 +335,7 @@ def _(t):
 @query("g2_missing_cell_text", "G2", uses="b_points", sql="""
     with w as (select distinct cast(floor(e/1000) as int) a, cast(floor(n/1000) as int) b from b_points),
     r as (select *, row_number() over (order by a, b) k, count(*) over () total from w)
-    select max(total) || ' elevation tile(s) unavailable, so contours have gaps there: ' || string_agg(a || '-' || b, ', ' order by k) filter (k<=12)
+    select max(total) || ' km cells without elevation: ' || string_agg(a || '-' || b, ', ' order by k) filter (k<=12)
       || case when max(total)>12 then ' and ' || (max(total)-12) || ' more' else '' end warning from r""")
 def _(t):
     from terrakit.operators.places import missing_tile_warning

@@ -85,6 +85,40 @@ def _(t):
         c("mask_id").alias("area_id"), "id")
 
 
+@query("c17_admin_masks", "C17 D5", uses="b_points b_polys", sql=f"""
+    with {EDGES}, unit as (select n_nationkey number, case when n_regionkey=4 then 'canton' else 'commune' end lvl from nation
+      where n_nationkey%11<>3 and (n_regionkey=4 or n_nationkey%7<>0)),
+    part as (select n_regionkey area_id, case when n_regionkey=4 then 'canton' else 'commune' end lvl, n_nationkey number,
+      (n_regionkey%2)*2000.0 r from nation
+      union all select 100+r_regionkey, 'canton', 1000+r_regionkey, 0 from region),
+    met as (select area_id, part.number, r from part join unit on part.number=unit.number and part.lvl=unit.lvl),
+    inn as (select area_id, id, poly from met join edge on poly=number cross join b_points group by area_id, id, poly having {HITS}),
+    s as (select area_id, r, ae ax, an ay, be bx, bn b_y from met join edge on poly=number where be is not null and r>0),
+    near as (select distinct area_id, id from b_points cross join s where {SEG_D2} <= r*r)
+    select area_id, id, cast(null as varchar) reason from (select area_id, id from inn union select area_id, id from near) q
+    union all select distinct area_id, cast(null as bigint), 'no_such_unit level=' || lvl || ' numbers=' || number from part
+      where area_id>=100""")
+def _(t):
+    level = F.when(c("n_regionkey") == 4, "canton").otherwise("commune")
+    nation = t.nation.select(
+        level.alias("level"), c("n_nationkey").cast("bigint").alias("number"), "n_regionkey",
+        F.when(c("n_nationkey") % 11 == 3, "LI").otherwise("CH").alias("icc"),
+        F.when(c("n_nationkey") % 7 == 0, "Kantonsgebiet").otherwise("Gemeindegebiet").alias("objektart"))
+    units = nation.join(poly_rings(t).withColumnRenamed("mask_id", "number"), "number")
+    regions = nation.groupBy(c("n_regionkey").cast("bigint").alias("area_id"), "level").agg(
+        F.sort_array(F.collect_set("number")).alias("numbers"))
+    empty = t.region.select(
+        (c("r_regionkey") + 100).cast("bigint").alias("area_id"), F.lit("canton").alias("level"),
+        F.array((c("r_regionkey") + 1000).cast("bigint")).alias("numbers"))
+    parts = regions.unionByName(empty).select(
+        "*", F.lit(0).alias("part"), F.lit("adminUnits").alias("kind"),
+        F.when(c("area_id") < 100, (c("area_id") % 2) * 2.0).otherwise(0.0).alias("buffer_km"))
+    shaped, band, unknown = areas.unit_masks(parts, units)
+    inside = spatial.members(t.b_points, shaped, band, size=5000.0)
+    return inside.select(c("mask_id").alias("area_id"), c("id").cast("bigint").alias("id"), F.lit(None).cast("string").alias("reason")).unionByName(
+        unknown.select("area_id", F.lit(None).cast("bigint").alias("id"), "reason"))
+
+
 @query("d6_any_vertex_inside", "D6", uses="b_segments b_polys", sql=f"""
     with {EDGES}, v as (select sid, 0 k, ax e, ay n from b_segments union all select sid, 1, bx, b_y from b_segments),
     h as (select sid, k, poly from v cross join edge group by sid, k, poly having {HITS})

@@ -210,7 +210,7 @@ def _(t):
 @query("k10_output_checks", "K10", sql="""
     with o as (select o_orderkey id, cast(floor(o_totalprice*20000) as bigint) b, o_orderkey%200 t from orders)
     select id, case when b>3000000000 then 1 else 0 end + case when b>4294967295 then 1 else 0 end + case when t>150 then 1 else 0 end problems,
-      case when b>3000000000 then b || ' bytes exceeds the device limit of 3000000000' end first_problem from o""")
+      case when b>3000000000 then 'bytes_over_device is=' || b || ' limit=3000000000' end first_problem from o""")
 def _(t):
     o = t.orders.select(c("o_orderkey").alias("id"), F.floor(c("o_totalprice") * 20000).cast("bigint").alias("b"), (c("o_orderkey") % 200).alias("t"))
     found = devices.output_problems(c("b"), c("t"), F.lit(3000000000), F.lit(150))

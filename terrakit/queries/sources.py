@@ -55,7 +55,7 @@ def _(t):
 
 @query("a3_decoded_geometries", "A3", uses="b_points b_polys b_segments", sql="""
     select 'Point' kind, id, 1 points, e first_e, n first_n, null error from b_points where id%10<>0
-    union all select null, id, null, null, null, 'not a GeoPackage geometry blob' from b_points where id%10=0
+    union all select null, id, null, null, null, 'no_magic' from b_points where id%10=0
     union all select 'LineString', sid, 2, ax, ay, null from b_segments
     union all select 'Polygon', poly, 5, e, n, null from b_polys where i=0""")
 def _(t):

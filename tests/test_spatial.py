@@ -108,3 +108,32 @@ def test_unmasked_part_unmasks_the_union(spark):
     table = table.withColumn("points", F.expr(shapes.EMPTY)).withColumns({k: F.lit(0.0) for k in ("min_e", "min_n", "max_e", "max_n")})
     got = {r.area_id: r for r in areas.extents(table).collect()}
     assert not got[1].masked and got[2].masked and got[1].max_e == 6000.0
+
+
+def test_unit_masks(spark):
+    def square(e, n, side):
+        return [(e, n), (e + side, n), (e + side, n + side), (e, n + side)]
+
+    units = spark.createDataFrame(
+        [("commune", 1, "CH", "Gemeindegebiet", 0, 0, square(0.0, 0.0, 1000.0)),
+         ("commune", 2, "CH", "Kantonsgebiet", 1, 0, square(5000.0, 0.0, 1000.0)),
+         ("commune", 3, "LI", "Gemeindegebiet", 2, 0, square(9000.0, 0.0, 1000.0)),
+         ("canton", 1, "CH", None, 3, 0, square(0.0, 0.0, 4000.0)),
+         ("canton", 1, "CH", None, 3, 1, square(2000.0, 2000.0, 500.0)),
+         ("canton", None, "CH", None, 4, 0, None)],
+        "level string, number int, icc string, objektart string, poly int, ring int, pts array<struct<e:double,n:double>>")
+    parts = spark.createDataFrame(
+        [(1, 0, "adminUnits", "commune", [1, 1], 0.0), (1, 1, "adminUnits", "commune", [1], 0.5),
+         (2, 0, "adminUnits", "commune", [2, 3], 0.0), (3, 0, "adminUnits", "canton", [1], None),
+         (4, 0, "adminUnits", "canton", None, 1.0), (5, 0, "place", None, [1], 1.0)],
+        "area_id int, part int, kind string, level string, numbers array<bigint>, buffer_km double")
+    points = spark.createDataFrame(
+        [(1, 500.0, 500.0), (2, 1400.0, 500.0), (3, 2200.0, 2200.0), (4, 3900.0, 3900.0), (5, 5500.0, 500.0)],
+        "id int, e double, n double")
+    rings, band, unknown = areas.unit_masks(parts, units)
+    got = {(r.mask_id, r.id) for r in spatial.members(points, rings, band, 1000.0).collect()}
+    assert got == {(1, 1), (1, 2), (3, 1), (3, 2), (3, 4)}
+    assert {(r.area_id, r.reason) for r in unknown.collect()} == {
+        (2, "no_such_unit level=commune numbers=2,3"), (4, "no_such_unit level=canton numbers=")}
+    none = areas.unit_masks(parts.limit(0), units)
+    assert [x.count() for x in none] == [0, 0, 0]
