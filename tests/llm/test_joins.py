@@ -288,3 +288,23 @@ def test_url_filters(spark):
     assert ordered(got) == ordered((p, *judge(u, d)) for p, u, d, _ in captures)
     assert url_filters.judged_captures(frame.limit(0), listed).count() == 0
     assert {r["verdict"] for r in url_filters.judged_captures(frame, listed.limit(0)).collect()} == {"none"}
+
+
+@pytest.mark.parametrize("block_rows", [65_536, 512])
+def test_forest_recall_where_prefixes_are_used(spark, block_rows):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((12, 16))
+    rows = [(i, (1.5 * centres[i % 12] + rng.standard_normal(16)).tolist(), 0) for i in range(6000)]
+    got = {(r["query_id"], r["vec_id"]) for r in ann_forest.nearest(
+        vectors(spark, rows), every=60, min_candidates=100, block_rows=block_rows).collect()}
+    want = {(q, i) for q, _, i, _ in plain_nearest_fast(rows, 60, 20)}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def plain_nearest_fast(rows, every, k):
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    for q in range(0, len(rows), every):
+        score = v @ v[q]
+        score[q] = -np.inf
+        for rank, i in enumerate(np.lexsort([np.arange(len(rows)), -score])[:k], 1):
+            yield q, rank, int(i), score[i]
