@@ -308,3 +308,19 @@ def plain_nearest_fast(rows, every, k):
         score[q] = -np.inf
         for rank, i in enumerate(np.lexsort([np.arange(len(rows)), -score])[:k], 1):
             yield q, rank, int(i), score[i]
+
+
+def test_forest_widens_outliers_and_small_dimensions(spark):
+    rng = np.random.default_rng(3)
+    centre = 5 * rng.standard_normal(8)
+    rows = [(i, (centre + 0.05 * rng.standard_normal(8)).tolist(), 0) for i in range(1, 4000)]
+    rows.append((0, (-3 * centre).tolist(), 0))
+    rows += [(5000 + i, rng.standard_normal(6).tolist(), 0) for i in range(30)]
+    got = defaultdict(list)
+    for r in ann_forest.nearest(vectors(spark, rows), min_candidates=600, block_rows=512).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 202 and all(len(ids) == 20 for ids in got.values())
+    want = defaultdict(list)
+    for q, _, i, _ in plain_nearest([r for r in rows if r[0] >= 5000], 20, 20):
+        want[q].append(i)
+    assert all(sorted(got[q]) == sorted(ids) for q, ids in want.items())
