@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from terrakit.llm.common import held, id_or_least, passing, raw_texts, sieve, steps
 from terrakit.llm.components import components
@@ -135,6 +136,28 @@ def _described(words: int, percent: int):
     return run
 
 
+def _keys(words: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, one, two = [], [], []
+            for s in shingle_sets(list(raw_texts(batch.column(at))), words):
+                sizes.append(len(s))
+                one.append(_class_key(s, 0x5851F42D4C957F2D))
+                two.append(_class_key(s, 0x14057B7EF767814F))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(x, pa.int64()) for x in (sizes, one, two))],
+                [*batch.schema.names, "__n", "__cls", "__cls2"],
+            )
+
+    return run
+
+
+def keyed(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the size of each text's shingle set and the key of its class."""
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("__n", "__cls", "__cls2"))])
+    return docs.mapInArrow(_keys(words, docs.columns.index("text")), schema)
+
+
 def _all_shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,12 +232,13 @@ class _Join:
         return F.lit(100) * shared >= F.lit(self.percent) * (n + m - shared)
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """``cls, text`` for wanted classes, by their smallest document. A null id is told
-        from the least one by what its text hashes to, when that is looked at."""
+        """``cls, text`` for wanted classes, by their smallest document. An id can be null or
+        repeated with unlike texts, so a text is found by its id and its class."""
         own = written(wanted.join(self.classes.select("cls", "node"), "cls").distinct(), "join-wanted")
         rows = self.docs.withColumn("node", id_or_least(F.col("doc_id"))).drop("doc_id")
         rows = rows.filter(sieve(own, F.col("node"), F.col("node")))
-        return rows.join(own, "node").select("cls", "text")
+        rows = keyed(rows, self.words).withColumnRenamed("__cls", "cls")
+        return rows.join(own, ["node", "cls"]).select("cls", "text")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes with what they share and whether that links them, from whole texts."""
@@ -351,6 +375,12 @@ class _Join:
         found = self.verified(self.met(others, open_rows, extra)).filter("linked")
         return links.unionByName(found.select("a", "b"))
 
+    def rooted(self) -> DataFrame:
+        """The classes with the ``root`` of their component."""
+        links, poor = self.first_tier()
+        roots = components(self.second_tier(poor, links)).withColumnRenamed("node", "cls")
+        return self.classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
 
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD
@@ -369,10 +399,7 @@ def jaccard_components(
     Shingles are compared by 64-bit hashes and equal sets by 128 bits of them.
     """
     join = _Join(docs, words, percent, crowd)
-    links, poor = join.first_tier()
-    roots = components(join.second_tier(poor, links))
-    least = join.classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    least = least.withColumn("root", F.coalesce("root", "cls"))
+    least = join.rooted()
     smallest = least.groupBy("root").agg(F.min("node").alias("component_id"))
     known = least.select("cls", "cls2", "root").join(smallest, "root").select("cls", "cls2", "component_id")
     rows = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "cls", "cls2")
@@ -386,14 +413,14 @@ def jaccard_components(
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the first of their component: one of each group stays.
 
-    Texts without shingles all stay. Of rows that share the smallest id one stays.
+    Texts without shingles all stay. Unlike texts that share an id or have none are
+    different components and each keeps a row.
     """
-    found = jaccard_components(docs, words, percent)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.max(F.when(F.col("n_shingles") == 0, 1).otherwise(0)).alias("__blank"), F.max("n_shingles").alias("__any")
-    ).withColumnRenamed("doc_id", "__d")
-    joined = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__d")))
-    blank = ~F.coalesce(F.rlike("text", F.lit(r"[^ \t-\r]")), F.lit(False))
-    empty = joined.filter(blank).select(*docs.columns)
-    full = joined.filter(~blank).dropDuplicates(["doc_id"]).select(*docs.columns)
-    return full.unionByName(empty)
+    first = F.min(F.struct("node", "cls", "cls2")).alias("first")
+    stays = _Join(docs, words, percent, CROWD).rooted().groupBy("root").agg(first).select(
+        F.col("first.node").alias("__node"), F.col("first.cls").alias("__cls"), F.col("first.cls2").alias("__cls2")
+    )
+    rows = keyed(docs, words)
+    full = rows.filter("__n > 0").withColumn("__node", id_or_least(F.col("doc_id")))
+    full = full.join(stays, ["__node", "__cls", "__cls2"]).dropDuplicates(["__cls", "__cls2"])
+    return full.select(*docs.columns).unionByName(rows.filter("__n = 0").select(*docs.columns))

@@ -324,3 +324,14 @@ def test_forest_widens_outliers_and_small_dimensions(spark):
     for q, _, i, _ in plain_nearest([r for r in rows if r[0] >= 5000], 20, 20):
         want[q].append(i)
     assert all(sorted(got[q]) == sorted(ids) for q, ids in want.items())
+
+
+def test_one_of_each_keeps_unlike_texts_of_an_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(60)) for _ in range(7)]
+    rows = [(None, texts[n]) for n in range(4)] + [(None, texts[0])]
+    rows += [(3, texts[4]), (7, texts[4] + " tail"), (7, texts[5]), (7, texts[6]), (9, texts[6]), (None, ""), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = pairs(ngram_join.one_of_each(docs, 5, 80))
+    want = [(None, texts[n]) for n in range(4)] + [(3, texts[4]), (7, texts[5]), (7, texts[6]), (None, ""), (7, " ")]
+    assert ordered(kept) == ordered(want)
