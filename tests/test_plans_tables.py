@@ -196,3 +196,17 @@ def test_throttle(spark):
     stream = updates(spark, folder, [[(1, "a", 0.0, 1), (1, "a", 0.1, 2), (1, "a", 0.3, 3)], [(1, "a", 0.4, 4), (1, "b", 0.45, 5), (1, "b", 0.5, 6)]])
     out = stage_clock.replay(stream, stage_clock.throttled, folder)
     assert [(r.stage, r.changed) for r in out.orderBy("ts").collect()] == [("a", True), ("a", False), ("b", True)]
+
+
+def test_streams_of_events_in_shuffled_part_files(spark):
+    import tempfile
+
+    import __spark_entry__
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(9, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    for name in ("l1_stage_clock", "l3_shown_updates"):
+        query = __spark_entry__.queries()[name]
+        one, many = (sorted(map(tuple, query(spark, p).collect()), key=repr) for p in ("/root/testdata/sf0.001", folder))
+        assert one and many == one, name
