@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrakit.llm import (
     ann_forest,
+    fill_in_middle,
     license_scan,
     line_dedup,
     mixing,
@@ -100,6 +101,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.fill_in_middle(_documents(spark, sf_dir))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     own = (
         op1_line_dedup, op2_ngram_jaccard_join, op3_sharding, op4_license_scan, op5_mixing, op6_quality_classifier,
-        op7_packing, op8_url_filters, op9_ann_forest, op10_quality_rules, pipeline,
+        op7_packing, op8_url_filters, op9_ann_forest, op10_quality_rules, op13_fill_in_middle, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -156,5 +166,29 @@ select c.page_id, c.host, c.day, coalesce(h.list, 'none') as verdict, h.domain a
 from captures c left join hits h on h.host = c.host and h.day = c.day and h.r = 1"""
 
 
+OP13_SQL = r"""
+with docs as (
+  select doc_id, coalesce(text, '') as body, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as d from documents),
+drawn as (
+  select doc_id, body, regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tokens,
+         cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2,
+         cast('0x' || d[17:24] as bigint) as h3, cast('0x' || d[25:32] as bigint) as h4 from docs),
+cuts as (
+  select *, len(tokens) as n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as lo,
+         greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as hi,
+         case when body = '' or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>') or h3 % 100 >= 50
+              then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from drawn),
+parts as (
+  select doc_id, n, form, body, case when lo = 0 then '' else array_to_string(tokens[1:lo], '') end as p,
+         case when hi = lo then '' else array_to_string(tokens[lo + 1:hi], '') end as m,
+         case when hi = n then '' else array_to_string(tokens[hi + 1:n], '') end as s from cuts)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then body when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(body) as restored_sha256
+from parts"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_url_filters": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_url_filters": OP8_SQL, "op13_fill_in_middle": OP13_SQL}
