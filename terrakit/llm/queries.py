@@ -19,6 +19,7 @@ from terrakit.llm import (
     quality_rules,
     sharding,
     url_filters,
+    vector_codes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +102,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_errors(coded, books)
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_in_middle.fill_in_middle(_documents(spark, sf_dir))
     return rows.select(
@@ -119,7 +126,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     own = (
         op1_line_dedup, op2_ngram_jaccard_join, op3_sharding, op4_license_scan, op5_mixing, op6_quality_classifier,
-        op7_packing, op8_url_filters, op9_ann_forest, op10_quality_rules, op13_fill_in_middle, pipeline,
+        op7_packing, op8_url_filters, op9_ann_forest, op10_quality_rules, op11_vector_codes,
+        op13_fill_in_middle, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -166,6 +174,45 @@ select c.page_id, c.host, c.day, coalesce(h.list, 'none') as verdict, h.domain a
 from captures c left join hits h on h.host = c.host and h.day = c.day and h.r = 1"""
 
 
+_OP11_ASSIGN = """
+a{n} as materialized (
+  select p.vec_id, p.label, p.j, p.part,
+         min(struct_pack(d := cast(list_sum(list_transform(list_zip(p.part, b.entry),
+             lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint), e := b.e)) as best
+  from parts p join b{n} b on p.j = b.j group by all)"""
+
+_OP11_UPDATE = """
+s{n} as (
+  select j, best.e as e, i, cast(floor(sum(part[i]) / count(*)) as bigint) as x
+  from (select *, unnest(range(1, len(part) + 1)) as i from a{n}) group by all),
+b{m} as materialized (
+  select b.j, b.e, coalesce(n.entry, b.entry) as entry
+  from b{n} b left join (select j, e, list(x order by i) as entry from s{n} group by j, e) n on b.j = n.j and b.e = n.e)"""
+
+OP11_SQL = (
+    r"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (
+  select vec_id, label, j, v[j * len(v) // 16 + 1:(j + 1) * len(v) // 16] as part
+  from (select *, unnest(range(16)) as j from kept)),
+b0 as materialized (
+  select j, row_number() over (partition by j order by vec_id) - 1 as e, part as entry from parts
+  qualify row_number() over (partition by j order by vec_id) <= 64),"""
+    + ",".join(
+        [_OP11_ASSIGN.format(n=0), _OP11_UPDATE.format(n=0, m=1), _OP11_ASSIGN.format(n=1),
+         _OP11_UPDATE.format(n=1, m=2), _OP11_ASSIGN.format(n=2)]
+    )
+    + r""",
+coded as (
+  select vec_id, label, string_agg(printf('%02x', best.e), '' order by j) as code, cast(sum(best.d) as bigint) as error
+  from a2 group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(array_to_string(entry, ','), ',' order by j, e)) from b2) as codebooks_sha256
+from coded"""
+)
+
 OP13_SQL = r"""
 with docs as (
   select doc_id, coalesce(text, '') as body, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as d from documents),
@@ -191,4 +238,7 @@ from parts"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_url_filters": OP8_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {
+        "op1_line_dedup": OP1_SQL, "op8_url_filters": OP8_SQL, "op11_vector_codes": OP11_SQL,
+        "op13_fill_in_middle": OP13_SQL,
+    }
