@@ -15,6 +15,7 @@ from terrakit.llm import (
     mixing,
     ngram_join,
     packing,
+    personal_data,
     quality_classifier,
     quality_rules,
     sharding,
@@ -108,6 +109,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data.find_personal_data(_documents(spark, sf_dir))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in personal_data.KINDS]
+    return rows.select(
+        "doc_id", *counts, F.sha2(personal_data.written_spans(F.col("base")), 256).alias("base_sha256"),
+        personal_data.written_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_in_middle.fill_in_middle(_documents(spark, sf_dir))
     return rows.select(
@@ -127,7 +137,7 @@ def all_queries() -> dict[str, Query]:
     own = (
         op1_line_dedup, op2_ngram_jaccard_join, op3_sharding, op4_license_scan, op5_mixing, op6_quality_classifier,
         op7_packing, op8_url_filters, op9_ann_forest, op10_quality_rules, op11_vector_codes,
-        op13_fill_in_middle, pipeline,
+        op12_personal_data, op13_fill_in_middle, pipeline,
     )
     return {f.__name__: f for f in own}
 
