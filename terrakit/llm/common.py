@@ -82,14 +82,24 @@ def passing(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), lambda: files.delete(place, True)
 
 
+def _worker_values() -> dict[str, object]:
+    return sys.modules.setdefault("_text_worker_store", types.ModuleType("_text_worker_store")).__dict__
+
+
 def worker_store(name: str, make: Callable[[], object]) -> object:
-    """A value that lives as long as the Python worker, so that tasks share it."""
-    store = sys.modules.setdefault("_text_worker_store", types.ModuleType("_text_worker_store")).__dict__
+    """A value that tasks of one Python worker share, until a step that has no use for it
+    runs there."""
+    store = _worker_values()
     if name not in store:
         store[name] = make()
     return store[name]
 
 
+def free_worker_store() -> None:
+    """Drops what earlier steps keep in this Python worker."""
+    _worker_values().clear()
+
+
 def steps(sizes: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of about ``most`` bytes each, never splitting a row."""
     start = 0

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrakit.llm.common import ascii_lower, held, id_or_least, stripped
+from terrakit.session import written
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -42,6 +43,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
         .groupBy("h1", "h2").agg(F.count("one").alias("held_by"), F.max("__ld_id").alias("keeper"))
         .filter(F.col("held_by") >= min_docs).select("h1", "h2", "keeper")
     )
+    # From files, so that the join shuffles both sides itself and the engine can split a common line's rows.
+    repeated = written(repeated, "repeated-lines")
     lost = (
         keys.join(repeated, ["h1", "h2"]).filter(F.col("__ld_id") != F.col("keeper"))
         .groupBy("__ld_id", "__ld_hash").agg(F.sort_array(F.collect_set("pos")).alias("__ld_lost"))

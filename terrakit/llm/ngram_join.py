@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from terrakit.llm.common import held, id_or_least, passing, raw_texts, sieve, steps
+from terrakit.llm.common import free_worker_store, held, id_or_least, passing, raw_texts, sieve, steps
 from terrakit.llm.components import components
 from terrakit.session import written
 
@@ -114,6 +114,7 @@ def _class_key(shingles: np.ndarray, salt: int) -> int:
 
 def _described(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_store()
         for batch in batches:
             sizes, one, two, regions = [], [], [], []
             for s in shingle_sets(list(raw_texts(batch.column(1))), words):
@@ -138,6 +139,7 @@ def _described(words: int, percent: int):
 
 def _keys(words: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_store()
         for batch in batches:
             sizes, one, two = [], [], []
             for s in shingle_sets(list(raw_texts(batch.column(at))), words):
@@ -160,6 +162,7 @@ def keyed(docs: DataFrame, words: int) -> DataFrame:
 
 def _all_shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_store()
         for batch in batches:
             expected = batch.column(0).to_pylist()
             for key, s in zip(expected, shingle_sets(list(raw_texts(batch.column(1))), words)):
@@ -177,6 +180,7 @@ def _all_shingles(words: int):
 
 def _verified(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_store()
         for batch in batches:
             kept: tuple[list, list, list, list] = ([], [], [], [])
             sizes = [batch.column(c).cast(pa.large_binary()).nbytes for c in (2, 3)]

@@ -25,8 +25,10 @@ from terrakit.session import written
 CAPACITY = 2048
 PACKER_PIECES = 100_000
 
-#: Words whose ids a worker keeps; the table starts anew beyond that. Speed only.
-MEMO_WORDS = 1_000_000
+#: Bytes of words and ids that a worker keeps, with 200 for each entry's own cost; the
+#: table starts anew beyond that. Speed only.
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 200
 
 LETTERS = frozenset(bytes([b]) for b in range(97, 123))
 
@@ -51,10 +53,15 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = marks[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
 
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self.memo[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
+
     def learn(self, words: list[bytes]) -> None:
         """Encode new words, many in one text with a special token between them. A word
         that may hold a special token itself is encoded alone."""
@@ -64,7 +71,7 @@ class WordEncoder:
         plain = [i for i in range(len(texts)) if i not in apart]
         for i in alone:
             ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-            self.memo[words[i]] = np.asarray(ids, "<u4").tobytes()
+            self.keep(words[i], np.asarray(ids, "<u4").tobytes())
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
             joined = f" {self.mark} ".join(texts[i] for i in some)
@@ -72,7 +79,7 @@ class WordEncoder:
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             start = 0
             for i, end in zip(some, ends):
-                self.memo[words[i]] = ids[start:end].tobytes()
+                self.keep(words[i], ids[start:end].tobytes())
                 start = end + 1
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -83,15 +90,16 @@ class WordEncoder:
             try:
                 yield b"".join(map(self.memo.__getitem__, words))
             except KeyError:
-                if len(self.memo) > MEMO_WORDS:
+                if self.held > MEMO_BYTES:
                     self.memo.clear()
+                    self.held = 0
                 new = set(words).difference(self.memo)
                 ended = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1] in LETTERS and b"<|" not in w]
                 stems = {w[:-1] for w in ended}
                 stems.update((b".", b","), new.difference(ended))
                 self.learn(list(stems.difference(self.memo)))
                 for w in ended:
-                    self.memo[w] = self.memo[w[:-1]] + self.memo[w[-1:]]
+                    self.keep(w, self.memo[w[:-1]] + self.memo[w[-1:]])
                 yield b"".join(map(self.memo.__getitem__, words))
 
 

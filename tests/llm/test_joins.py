@@ -81,7 +81,8 @@ def test_one_of_each(awkward):
     groups = {(i, n): c for i, n, c in plain_join(pairs(awkward), 5, 80)}
     assert kept.columns == awkward.columns
     full = [i for i, t in pairs(kept) if WORD.search(t or "")]
-    assert sorted(full, key=repr) == sorted({c for (i, n), c in groups.items() if n and c == i}, key=repr)
+    # Unlike texts of one id are groups of their own, so the id can stay more than once.
+    assert sorted(full, key=repr) == sorted((i for (i, n), c in groups.items() if n and c == i), key=repr)
 
 
 def test_word_hashes_tell_places_apart():
