@@ -372,13 +372,36 @@ class _Join:
         both_other = F.col("r.root") != F.col("r.main")
         shared = F.least(F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own"))
         extra = (F.col("l.root") != F.col("r.root")) & (~both_other | (F.col("l.cls") < F.col("r.cls")))
-        # Two classes with one centre share at most what both have of it, and their other tokens.
-        around = F.least("l.kept", "r.kept") + F.least("l.more", "r.more")
-        shared = F.when(F.col("l.centre") == F.col("r.centre"), F.least(shared, around)).otherwise(shared)
-        extra = extra & self.could_reach(shared, F.col("l.n"), F.col("r.n"))
-        found = self.verified(self.met(others, open_rows, extra)).filter("linked")
+        # Two classes with one centre share at most what both have of it, and their other
+        # tokens. Where the first alone is too little, they share one of those others.
+        same = F.col("l.centre") == F.col("r.centre")
+        of_centre = F.least("l.kept", "r.kept")
+        shared = F.when(same, F.least(shared, of_centre)).otherwise(shared)
+        pairs = self.met(others, open_rows, extra & self.could_reach(shared, F.col("l.n"), F.col("r.n")))
+        around = of_centre + F.least("l.more", "r.more")
+        beside = self.beside(tokens, placed, ~self.could_reach(of_centre, F.col("l.n"), F.col("r.n"))
+                             & self.could_reach(around, F.col("l.n"), F.col("r.n")))
+        found = self.verified(pairs.unionByName(beside)).filter("linked")
         return links.unionByName(found.select("a", "b"))
 
+    def beside(self, tokens: DataFrame, placed: DataFrame, close: Column) -> DataFrame:
+        """Pairs of one centre and different roots that share a token that is not the centre's."""
+        names = ["cls", "n", "root", "centre", "kept", "more"]
+        some = placed.filter("more > 0").select(*names).distinct()
+        theirs = tokens.select(F.col("cls").alias("centre"), "token")
+        rows = some.join(tokens, "cls").join(theirs, ["centre", "token"], "left_anti")
+        by_root = rows.groupBy("centre", "token", "root").agg(F.count(F.lit(1)).alias("k"))
+        lists = by_root.groupBy("centre", "token").agg(
+            F.max(F.struct("k", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")
+        ).filter("roots > 1").drop("roots")
+        rows = written(rows.join(lists, ["centre", "token"]), "join-beside")
+        l, r = rows.filter("root <> main").alias("l"), rows.alias("r")
+        both_other = F.col("r.root") != F.col("r.main")
+        extra = (F.col("l.root") != F.col("r.root")) & (~both_other | (F.col("l.cls") < F.col("r.cls")))
+        match = (F.col("l.centre") == F.col("r.centre")) & (F.col("l.token") == F.col("r.token"))
+        pairs = l.join(r, match & extra & close)
+        return pairs.select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
+
     def rooted(self) -> DataFrame:
         """The classes with the ``root`` of their component."""
         links, poor = self.first_tier()
