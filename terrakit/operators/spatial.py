@@ -1,9 +1,10 @@
 """Spatial joins as equi-joins on cells with an exact test behind.
 
-Mask sides are turned into cell tables. A cell that lies wholly inside a mask is one row
-that needs no test, so many shapes over one place do not multiply the work there. Points
-sit in exactly one cell and are never duplicated; a crowded cell is split by the engine's
-skew handling because points are on the left of an inner or left semi join.
+Mask sides are turned into one table of cells of several sizes under the key (lv, kx, ky):
+cells wholly inside a mask, merged upwards into columns of 8 and 64, cells with the edges
+or segments that decide there, and small cells where many segments meet. A point looks up
+its ancestors on every level in one join, so it is read and shuffled once however many
+kinds of cells a mask has. A crowded cell is split by the engine's skew handling.
 """
 
 from __future__ import annotations
@@ -12,18 +13,28 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from terrakit.functions.shapes import bounds, crosses, edges, segment_distance_sq
+from terrakit.functions.shapes import crosses, edges, segment_distance_sq
 from terrakit.operators.cells import around, cell_of, cells_over
 
 EDGE_LIMIT = 20_000
 CROWD, FINE = 1_000, 8
 CELL = 1000.0
+SMALL = -1
+#: Full cells are 1, 8 or 64 cells tall: lv is the number of binary digits left out.
+TALL = (0, 3, 6)
 c = F.col
 
 
-def _placed(points: DataFrame, size: float) -> DataFrame:
-    return points.withColumn("cx", cell_of(c("e"), size)).withColumn("cy", cell_of(c("n"), size))
+def _keys_of(size: float, levels: tuple[int, ...]) -> Column:
+    """ARRAY<{lv, kx, ky}> of the cells that a point (e, n) looks up."""
+    def key(lv):
+        if lv == SMALL:
+            return F.struct(F.lit(SMALL).alias("lv"), cell_of(c("e"), size / FINE).alias("kx"), cell_of(c("n"), size / FINE).alias("ky"))
+        return F.struct(F.lit(lv).alias("lv"), cell_of(c("e"), size).alias("kx"), F.shiftright(cell_of(c("n"), size), lv).alias("ky"))
+
+    return F.array(*[key(lv) for lv in levels])
 
 
 def _reach(rows: DataFrame, size: float) -> DataFrame:
@@ -84,6 +95,14 @@ def _near_test() -> Column:
     return c("full") | (gap <= c("r2"))
 
 
+def _segment_cells(segments: DataFrame, keys: list[str], radius: Column, size: float, crowd: int) -> DataFrame:
+    """Cells (keys..., lv, kx, ky, full, ax, ay, bx, by, r2); no cell of a key is on two levels."""
+    plain, _, fine = near_cells(segments, keys, radius, size, crowd)
+    names = {"cx": "kx", "cy": "ky"}
+    return plain.withColumnsRenamed(names).withColumn("lv", F.lit(0)).unionByName(
+        fine.withColumnsRenamed(names).withColumn("lv", F.lit(SMALL)))
+
+
 def within_distance(
     points: DataFrame, segments: DataFrame, radius: float, size: float | None = None, crowd: int = CROWD
 ) -> DataFrame:
@@ -92,86 +111,189 @@ def within_distance(
     By default a cell is small enough to be full as soon as a segment passes through it.
     """
     size = size or max(radius / math.sqrt(2.0), 1.0)
-    plain, crowded, fine = near_cells(segments, [], F.lit(float(radius)), size, crowd)
-    placed = _placed(points, size)
-    side, match = _cell_match(plain, False)
-    quick = placed.join(side, match & _near_test(), "left_semi").drop("cx", "cy")
-    side, match = _cell_match(crowded, False)
-    rest = _placed(placed.join(side, match, "left_semi").drop("cx", "cy"), size / FINE)
-    side, match = _cell_match(fine, False)
-    return quick.unionByName(rest.join(side, match & _near_test(), "left_semi").drop("cx", "cy"))
-
-
-def _edge_cells(rings: DataFrame, size: float) -> DataFrame:
-    """Every (cell, edge) pair that matters to the eastward ray of a point in the cell.
-
-    ``over`` marks an edge east of the cell that spans the cell's whole height: the ray
-    of every point there crosses it, so only the count matters. ``touch`` marks an edge
-    that shares columns with the cell; the others lie wholly east of it.
-    """
-    # The west end is worked out before the edges are laid out, once per ring.
-    ends = rings.select("mask_id", "poly", "ring", "pts", cell_of(bounds(c("pts"))["min_e"], size).alias("west"))
-    flat = ends.select("mask_id", "poly", "ring", "west", F.explode(edges(c("pts"))).alias("x")).select(
-        "mask_id", "poly", "ring", "west",
-        c("x.b.e").alias("ae"), c("x.b.n").alias("an"), c("x.a.e").alias("be"), c("x.a.n").alias("bn"),
-    )
-    low, high = F.least("an", "bn"), F.greatest("an", "bn")
-    # A level edge crosses no ray, but the cells it runs through are not all in or all out.
-    first = F.when(c("an") == c("bn"), cell_of(F.least("ae", "be"), size)).otherwise(c("west"))
-    rows = flat.withColumn("cy", F.explode(F.sequence(cell_of(low, size), cell_of(high, size)))).withColumn(
-        "cx", F.explode(F.sequence(first, cell_of(F.greatest("ae", "be"), size)))
-    )
-    over = (
-        (c("an") != c("bn"))
-        & (F.least("ae", "be") >= (c("cx") + 1) * size)
-        & (F.least("an", "bn") <= c("cy") * size)
-        & (F.greatest("an", "bn") >= (c("cy") + 1) * size)
-    )
-    touch = c("cx") >= cell_of(F.least("ae", "be"), size)
-    return rows.select("mask_id", "poly", "ring", "cx", "cy", "ae", "an", "be", "bn", over.alias("over"), touch.alias("touch"))
+    cells = _segment_cells(segments, [], F.lit(float(radius)), size, crowd)
+    cells = cells.withColumnsRenamed({k: f"__{k}" for k in ("lv", "kx", "ky")})
+    placed = points.select("*", F.explode(_keys_of(size, (SMALL, 0))).alias("__at"))
+    match = (c("__at.lv") == c("__lv")) & (c("__at.kx") == c("__kx")) & (c("__at.ky") == c("__ky"))
+    return placed.join(cells, match & _near_test(), "left_semi").drop("__at")
 
 
-def polygon_cells(rings: DataFrame, size: float = CELL, edge_limit: int = EDGE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(light, heavy) cell tables of rings (mask_id, poly, ring, pts).
+def _edge_rows(rings: DataFrame, size: float) -> DataFrame:
+    """The edges of rings (mask_id, poly, ring, pts), a row for each cell that one touches.
 
-    Light cells carry their edges in one row per polygon, {ring, parity, edges}, or are
-    ``full`` and need no test. A cell with more than ``edge_limit`` edges stays as edge
-    rows, so no row grows without bound.
+    ``rn`` is the height of the edge's end beyond the cell's east side, where it has one
+    end there; ``row_x`` the row where it meets that side.
     """
-    where = ["mask_id", "poly", "cx", "cy"]
-    rows = _edge_cells(rings, size)
-    crowded = rows.groupBy(*where).agg(F.count_if(~c("over")).alias("m")).filter(c("m") > edge_limit).select(*where)
-    heavy = rows.join(crowded, where, "left_semi")
-    edge = F.when(~c("over") & (c("an") != c("bn")), F.struct("ae", "an", "be", "bn"))
-    light = (
-        rows.join(crowded, where, "left_anti")
-        .repartition(*[c(k) for k in where])
-        .groupBy(*where, "ring")
-        .agg((F.count_if("over") % 2).cast("int").alias("parity"), F.collect_list(edge).alias("edges"), F.bool_or("touch").alias("touch"))
-        .groupBy(*where)
-        .agg(F.collect_list(F.struct("ring", "parity", "edges")).alias("rings"), F.bool_or("touch").alias("touch"))
-        .filter("exists(rings, r -> r.ring = 0)")
+    flat = rings.select("mask_id", "poly", "ring", F.explode(edges(c("pts"))).alias("x")).select(
+        "mask_id", "poly", "ring",
+        c("x.b.e").alias("ae"), c("x.b.n").alias("an"), c("x.a.e").alias("be"), c("x.a.n").alias("bn"),
     )
-    # No edge passes through an untouched cell, so its centre answers for all of it.
-    centre = _inside_test((c("cx") + 0.5) * size, (c("cy") + 0.5) * size)
-    light = light.withColumn("full", ~c("touch") & centre).filter("touch or full")
-    return light.select(*where, "full", F.when(~c("full"), c("rings")).alias("rings")), heavy
-
-
-def _inside_test(e: Column, n: Column) -> Column:
-    def odd(r):
-        hits = F.size(F.filter(r["edges"], lambda x: crosses(e, n, x["ae"], x["an"], x["be"], x["bn"])))
-        return (r["parity"] + hits) % 2 == 1
-
-    return F.exists("rings", lambda r: (r["ring"] == 0) & odd(r)) & ~F.exists(
-        "rings", lambda r: (r["ring"] > 0) & odd(r)
+    low, high = F.least("an", "bn"), F.greatest("an", "bn")
+    west, east = F.least("ae", "be"), F.greatest("ae", "be")
+    rows = flat.withColumn("cy", F.explode(F.sequence(cell_of(low, size), cell_of(high, size))))
+    # The part of the edge in a row, a little longer: an edge too many changes no answer.
+    slack = size * 1e-7
+    rise = F.when(c("an") == c("bn"), F.lit(1.0)).otherwise(c("bn") - c("an"))
+
+    def at(n):
+        return F.when(c("an") == c("bn"), c("ae")).otherwise(c("ae") + (n - c("an")) * (c("be") - c("ae")) / rise)
+
+    one, two = at(F.greatest(low, c("cy") * size)), at(F.least(high, (c("cy") + 1) * size))
+    level = c("an") == c("bn")
+    first = F.greatest(F.when(level, west).otherwise(F.least(one, two) - slack), west)
+    last = F.least(F.when(level, east).otherwise(F.greatest(one, two) + slack), east)
+    rows = rows.withColumn("cx", F.explode(F.sequence(
+        F.least(cell_of(first, size), cell_of(last, size)), F.greatest(cell_of(first, size), cell_of(last, size)))))
+    side = (c("cx") + 1) * size
+    run = F.when(c("ae") == c("be"), F.lit(1.0)).otherwise(c("be") - c("ae"))
+    meets = c("an") + (side - c("ae")) * (c("bn") - c("an")) / run
+    row_x = F.least(F.greatest(cell_of(meets, size), cell_of(low, size)), cell_of(high, size))
+    across = (c("ae") >= side) != (c("be") >= side)
+    beyond = (c("ae") >= side) & (c("be") >= side)
+    return rows.select(
+        "mask_id", "poly", "ring", "cx", "cy", "ae", "an", "be", "bn",
+        F.when(across, F.when(c("ae") >= side, c("an")).otherwise(c("bn"))).alias("rn"),
+        F.when(across, row_x).alias("row_x"), beyond.alias("beyond"),
     )
 
 
-def _cell_match(cells: DataFrame, own_mask: bool) -> tuple[DataFrame, Column]:
-    renamed = cells.withColumnsRenamed({"cx": "__cx", "cy": "__cy", **({"mask_id": "__mask"} if own_mask else {})})
-    match = (c("cx") == c("__cx")) & (c("cy") == c("__cy"))
-    return renamed, (match & (c("mask_id") == c("__mask")) if own_mask else match)
+def _crossings(rows: DataFrame) -> DataFrame:
+    """(mask_id, poly, ring, cx, cy) once for each edge and east side of a column that it meets."""
+    edge = ["mask_id", "poly", "ring", "ae", "an", "be", "bn", "cx"]
+    met = rows.filter("row_x is not null")
+    return met.filter(c("cy") == c("row_x")).select("mask_id", "poly", "ring", "cx", "cy").unionByName(
+        # Rounding may put the meeting a row beside all rows that the edge has in the column.
+        met.groupBy(*edge).agg(F.bool_or(c("cy") == c("row_x")).alias("has"), F.first("row_x").alias("cy"))
+        .filter("not has").select("mask_id", "poly", "ring", "cx", "cy"))
+
+
+def _stacked(low: Column, high: Column, levels: tuple[int, ...]) -> Column:
+    """ARRAY<{lv, ky}> of the tallest cells that make up the rows low to high of a column."""
+    lv = levels[-1]
+    none = F.expr("cast(array() as array<struct<lv:int,ky:bigint>>)")
+    first = -F.shiftright(-low, lv)
+    after = F.shiftright(high + 1, lv)
+    whole = F.when(first < after, F.transform(
+        F.sequence(first, after - 1), lambda k: F.struct(F.lit(lv).alias("lv"), k.cast("bigint").alias("ky")))).otherwise(none)
+    if not lv:
+        return whole
+    fewer = levels[:-1]
+    base = F.shiftleft(first, lv)
+    top = F.shiftleft(after, lv)
+    return F.when(first < after, F.concat(_stacked(low, base - 1, fewer), whole, _stacked(top, high, fewer))).otherwise(
+        _stacked(low, high, fewer))
+
+
+def polygon_cells(rings: DataFrame, size: float = CELL, edge_limit: int = EDGE_LIMIT) -> DataFrame:
+    """Cells (mask_id, poly, lv, kx, ky, full, heavy, rings) of rings (mask_id, poly, ring, pts).
+
+    The eastward ray of a point crosses a ring an odd number of times if, of the edges
+    that meet the east side of the point's cell above it and the edges in the cell that
+    the ray crosses, there is an odd number; where such an edge ends beyond that side and
+    above the point, once more. So a cell needs its own edges and one parity, which is a
+    running count down the column. Between two touched cells of a column the count does
+    not change: that run is all inside or all outside. Rows follow the edges and the cells
+    that they touch, not the area. A cell with more than ``edge_limit`` edges has its
+    edges in rows of their own (``heavy``), so no row grows without bound.
+    """
+    column = ["mask_id", "poly", "cx"]
+    where = [*column, "cy"]
+    rows = _edge_rows(rings, size)
+    crowded = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("m")).filter(c("m") > edge_limit).select(*where, F.lit(True).alias("heavy"))
+    local = rows.join(crowded, where, "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    edge = F.struct("ae", "an", "be", "bn", "rn")
+    events = local.select(
+        *where, "ring", F.lit(0).alias("met"), (c("row_x") > c("cy")).cast("int").alias("above"), "heavy",
+        F.when(~c("heavy") & ~c("beyond"), edge).alias("edge"),
+    ).unionByName(_crossings(rows).select(*where, "ring", F.lit(1).alias("met")), allowMissingColumns=True)
+    rings_of = events.repartition(*column).groupBy(*where, "ring").agg(
+        F.sum("met").alias("met"), F.coalesce(F.sum("above"), F.lit(0)).alias("above"),
+        F.coalesce(F.bool_or("heavy"), F.lit(False)).alias("heavy"), F.collect_list("edge").alias("edges"))
+    down = Window.partitionBy(*column, "ring").orderBy(F.desc("cy"))
+    before = F.coalesce(F.sum("met").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rings_of = rings_of.withColumn("before", before).select(
+        *where, "ring", "heavy", (c("before") % 2).cast("int").alias("was"), ((c("before") + c("met")) % 2).cast("int").alias("is"),
+        F.struct("ring", ((c("before") + c("above")) % 2).cast("int").alias("parity"), "edges").alias("own"))
+    outer = c("ring") == 0
+    cells = rings_of.groupBy(*where).agg(
+        F.coalesce(F.sum(F.when(outer, c("is") - c("was"))), F.lit(0)).alias("outer_step"),
+        F.coalesce(F.sum(F.when(~outer, c("is") - c("was"))), F.lit(0)).alias("holes_step"),
+        F.coalesce(F.sum(F.when(~outer, c("was"))), F.lit(0)).alias("own_holes"),
+        F.bool_or(outer).alias("has_outer"), F.bool_or("heavy").alias("heavy"), F.collect_list("own").alias("rings"))
+    down = Window.partitionBy(*column).orderBy(F.desc("cy"))
+    over = down.rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({
+        "outer": F.coalesce(F.sum("outer_step").over(over), F.lit(0)),
+        "holes": F.coalesce(F.sum("holes_step").over(over), F.lit(0)), "next": F.lead("cy").over(down),
+    })
+    whole = F.struct(F.lit(0).alias("ring"), F.lit(1).alias("parity"), F.expr(
+        "cast(array() as array<struct<ae:double,an:double,be:double,bn:double,rn:double>>)").alias("edges"))
+    touched = (c("holes") == c("own_holes")) & (c("has_outer") | (c("outer") == 1))
+    own = F.struct(
+        F.lit(0).alias("lv"), c("cy").alias("ky"), F.lit(False).alias("full"), "heavy",
+        F.when(c("has_outer"), c("rings")).otherwise(F.concat("rings", F.array(whole))).alias("rings"))
+    # From the cell below a touched one down to the next touched one.
+    inside = (c("outer") + c("outer_step") == 1) & (c("holes") + c("holes_step") == 0) & (c("next") < c("cy") - 1)
+    run = F.transform(_stacked(c("next") + 1, c("cy") - 1, TALL), lambda x: F.struct(
+        x["lv"].alias("lv"), x["ky"].alias("ky"), F.lit(True).alias("full"), F.lit(False).alias("heavy"), F.lit(None).alias("rings")))
+    none = F.slice(F.array(own), 2, 1)
+    made = F.concat(F.when(touched, F.array(own)).otherwise(none), F.when(inside, run).otherwise(none))
+    made = cells.select("mask_id", "poly", c("cx").alias("kx"), F.inline(made))
+    alone = local.filter("heavy and not beyond").select(
+        "mask_id", "poly", c("cx").alias("kx"), F.lit(0).alias("lv"), c("cy").alias("ky"), F.lit(False).alias("full"), "heavy",
+        F.array(F.struct("ring", F.lit(0).alias("parity"), F.array(edge).alias("edges"))).alias("rings"))
+    return made.unionByName(alone)
+
+
+def _odd(r: Column) -> Column:
+    """Whether the edges of a ring in the point's cell, and its parity there, make an odd count."""
+    hits = F.filter(r["edges"], lambda x: crosses(c("e"), c("n"), x["ae"], x["an"], x["be"], x["bn"]) != F.coalesce(
+        x["rn"] > c("n"), F.lit(False)))
+    return (r["parity"] + F.size(hits)) % 2 == 1
+
+
+def _inside_test() -> Column:
+    return F.exists("rings", lambda r: (r["ring"] == 0) & _odd(r)) & ~F.exists("rings", lambda r: (r["ring"] > 0) & _odd(r))
+
+
+def _found(points: DataFrame, cells: DataFrame, size: float, levels: tuple[int, ...], own_mask: bool) -> DataFrame:
+    """Distinct (mask_id, poly, id) of points (id, e, n) and the cells that hold them, dealt
+    out by (mask_id, id)."""
+    names = {k: f"__{k}" for k in ("lv", "kx", "ky")} | ({"mask_id": "__mask"} if own_mask else {})
+    match = (c("lv") == c("__lv")) & (c("kx") == c("__kx")) & (c("ky") == c("__ky"))
+    match = match & (c("mask_id") == c("__mask")) if own_mask else match
+    own = ["mask_id"] if own_mask else []
+    placed = points.select(*own, "id", "e", "n", F.inline(_keys_of(size, levels)))
+    sure = F.when(c("full"), True).when(c("r2").isNotNull(), _near_test()).when(c("heavy"), False).otherwise(_inside_test())
+    # Of a heavy cell a row tells one edge, or the parity of each ring there.
+    part = F.when(c("heavy"), F.transform("rings", lambda r: F.struct(r["ring"].alias("ring"), _odd(r).cast("int").alias("odd"))))
+    hits = placed.join(cells.withColumnsRenamed(names), match).select("mask_id", "poly", "id", sure.alias("sure"), part.alias("part"))
+    hits = hits.filter("sure or exists(part, x -> x.odd = 1)").repartition("mask_id", "id")
+    hits = hits.select("mask_id", "poly", "id", "sure", F.explode_outer("part").alias("x"))
+    by_ring = hits.groupBy("mask_id", "id", "poly", c("x.ring").alias("ring")).agg(
+        F.bool_or("sure").alias("sure"), (F.sum("x.odd") % 2 == 1).alias("odd"))
+    by_poly = by_ring.groupBy("mask_id", "id", "poly").agg(
+        F.bool_or("sure").alias("sure"), F.bool_or((c("ring") == 0) & c("odd")).alias("outer"),
+        F.bool_or((c("ring") > 0) & c("odd")).alias("hole"))
+    return by_poly.filter("sure or (coalesce(outer, false) and not coalesce(hole, false))").select("mask_id", "poly", "id")
+
+
+def _mask_cells(rings: DataFrame | None, segments: DataFrame | None, size: float, crowd: int, edge_limit: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """The cells of polygons and corridors together, and the levels they are on."""
+    kinds = "full boolean, heavy boolean, poly bigint, ax double, ay double, bx double, by double, r2 double, " \
+        "rings array<struct<ring:int,parity:int,edges:array<struct<ae:double,an:double,be:double,bn:double,rn:double>>>>"
+    names = [k.strip().split(" ", 1) for k in kinds.split(", ")]
+    tables = []
+    if rings is not None:
+        tables.append(polygon_cells(rings, size, edge_limit))
+    if segments is not None:
+        tables.append(_segment_cells(segments, ["mask_id"], c("radius"), size, crowd))
+    out = None
+    for table in tables:
+        table = table.select("mask_id", "lv", "kx", "ky", *[
+            (c(k) if k in table.columns else F.lit(False) if k == "heavy" else F.lit(None)).cast(kind).alias(k) for k, kind in names])
+        out = table if out is None else out.unionByName(table)
+    return out, (TALL if segments is None else (SMALL, 0) if rings is None else (SMALL, *TALL))
 
 
 def in_polygons(
@@ -181,54 +303,25 @@ def in_polygons(
 
     With ``own_mask`` the points carry a mask_id and are tested against that mask only.
     """
-    light, heavy = polygon_cells(rings, size, edge_limit)
-    placed = _placed(points, size)
-    cells, match = _cell_match(light, own_mask)
-    inside = c("full") | _inside_test(c("e"), c("n"))
-    quick = placed.join(cells, match & inside).select("mask_id", "poly", "id")
-    cells, match = _cell_match(heavy, own_mask)
-    hit = c("over") | crosses(c("e"), c("n"), c("ae"), c("an"), c("be"), c("bn"))
-    slow = (
-        placed.join(cells, match)
-        .groupBy("mask_id", "poly", "id", "e", "n", "ring").agg((F.count_if(hit) % 2 == 1).alias("odd"))
-        .groupBy("mask_id", "poly", "id", "e", "n")
-        .agg(F.bool_or(c("odd") & (c("ring") == 0)).alias("ext"), F.bool_or(c("odd") & (c("ring") > 0)).alias("hole"))
-        .filter("ext and not hole").select("mask_id", "poly", "id")
-    )
-    return quick.unionByName(slow)
+    cells, levels = _mask_cells(rings, None, size, CROWD, edge_limit)
+    return _found(points, cells, size, levels, own_mask)
 
 
 def near_segments(
     points: DataFrame, segments: DataFrame, size: float = CELL, own_mask: bool = False, crowd: int = CROWD
 ) -> DataFrame:
-    """Pairs (mask_id, id) of points within ``radius`` of a mask's segments; may repeat."""
-    plain, crowded, fine = near_cells(segments, ["mask_id"], c("radius"), size, crowd)
-    side, match = _cell_match(plain, own_mask)
-    placed = _placed(points, size)
-    # A point that knows its mask only has to find one segment; otherwise the pairs name it.
-    quick = placed.join(side, match & _near_test(), "left_semi" if own_mask else "inner").select("mask_id", "id")
-    # Points of crowded cells look into that mask's fine cells only.
-    side, match = _cell_match(crowded, own_mask)
-    rest = placed.join(side, match, "left_semi" if own_mask else "inner").select("mask_id", "id", "e", "n")
-    side, match = _cell_match(fine, True)
-    near = _placed(rest, size / FINE).join(side, match & _near_test(), "left_semi")
-    return quick.unionByName(near.select("mask_id", "id"))
+    """Pairs (mask_id, id) of points within ``radius`` of a mask's segments."""
+    cells, levels = _mask_cells(None, segments, size, crowd, EDGE_LIMIT)
+    return _found(points, cells, size, levels, own_mask).select("mask_id", "id")
 
 
 def members(
     points: DataFrame, rings: DataFrame | None, segments: DataFrame | None,
-    size: float = CELL, own_mask: bool = False,
+    size: float = CELL, own_mask: bool = False, crowd: int = CROWD, edge_limit: int = EDGE_LIMIT,
 ) -> DataFrame:
     """Distinct (mask_id, id) of points in the union of a mask's polygons and corridors."""
-    found = []
-    if rings is not None:
-        found.append(in_polygons(points, rings, size, own_mask).select("mask_id", "id"))
-    if segments is not None:
-        found.append(near_segments(points, segments, size, own_mask))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    cells, levels = _mask_cells(rings, segments, size, crowd, edge_limit)
+    return _found(points, cells, size, levels, own_mask).select("mask_id", "id").distinct()
 
 
 def boundary_segments(rings: DataFrame, radius: Column) -> DataFrame:

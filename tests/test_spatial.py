@@ -137,3 +137,40 @@ def test_unit_masks(spark):
         (2, "no_such_unit level=commune numbers=2,3"), (4, "no_such_unit level=canton numbers=")}
     none = areas.unit_masks(parts.limit(0), units)
     assert [x.count() for x in none] == [0, 0, 0]
+
+
+def scans_of(df, table):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count(f"/{table}.parquet")
+
+
+def test_points_are_read_once(spark):
+    """However many kinds of cells a mask has, one join looks them all up."""
+    from terrakit.registry import all_queries
+
+    for name in ("d2_points_in_polygons", "d3_points_near_routes", "d4_buffered_polygons"):
+        assert scans_of(all_queries()[name](spark, "/root/testdata/sf0.001"), "customer") == 1, name
+
+
+def test_mask_rows_follow_edges_not_area(spark):
+    ring = [(500.0 + e * 9, 500.0 + n * 9) for e, n in star(5000, 4, 0.0, 0.0)]
+    df = spark.createDataFrame([(1, 1, 0, ring)], POLYS)
+    cells = spatial.polygon_cells(df, 1.0).cache()
+    touched = cells.filter("not full").count()
+    assert 0 < cells.filter("full").count() and cells.count() <= 5000 + 2 * touched
+    square = [(0.0, 0.0), (4000.0, 0.0), (4000.0, 4000.0), (0.0, 4000.0)]
+    big = spatial.polygon_cells(spark.createDataFrame([(1, 1, 0, square)], POLYS), 1.0)
+    assert big.count() < 10 * 16_000  # of 16 million cells
+
+
+def test_touching_rings_and_nested_holes(spark):
+    outer = [(0.0, 0.0), (60.0, 0.0), (60.0, 60.0), (0.0, 60.0)]
+    holes = [[(10.0, 10.0), (40.0, 10.0), (40.0, 40.0), (10.0, 40.0)], [(20.0, 20.0), (50.0, 20.0), (50.0, 50.0), (20.0, 50.0)],
+             [(25.0, 0.0), (30.0, 5.0), (25.0, 5.0)]]
+    island = [(22.0, 22.0), (38.0, 22.0), (30.0, 38.0)]
+    df = spark.createDataFrame([(1, 1, 0, outer)] + [(1, 1, k, h) for k, h in enumerate(holes, 1)] + [(1, 2, 0, island)], POLYS)
+    spots = cloud(1500, seed=13, span=70.0) + [(float(x), float(y)) for x in range(0, 61, 5) for y in range(0, 61, 5)]
+    for size in (0.9, 4.0, 10.0, 33.0):
+        got = {(r.poly, r.id) for r in spatial.in_polygons(points_df(spark, spots), df, size).collect()}
+        want = {(1, i) for i, p in enumerate(spots) if inside(p, outer) and not any(inside(p, h) for h in holes)}
+        assert got == want | {(2, i) for i, p in enumerate(spots) if inside(p, island)}
