@@ -41,7 +41,8 @@ def kept_vertices(e, n, first, last, tolerance):
         safe = np.where(span == 0, 1.0, span)
         t = ((e[k] - ae[owner]) * dx[owner] + (n[k] - an[owner]) * dy[owner]) / safe[owner]
         t = np.where(span[owner] == 0, 0.0, np.clip(t, 0.0, 1.0))
-        d = np.hypot(e[k] - (ae[owner] + t * dx[owner]), n[k] - (an[owner] + t * dy[owner]))
+        de, dn = e[k] - (ae[owner] + t * dx[owner]), n[k] - (an[owner] + t * dy[owner])
+        d = np.sqrt(de * de + dn * dn)  # the formula of the rounds below
         top = np.maximum.reduceat(d, head)
         at = np.minimum.reduceat(np.where(d == top[owner], k, e.size), head)
         split = top > tol

@@ -130,10 +130,21 @@ def _crossing(low: Column, high: Column, level: Column) -> Column:
     return F.when(flat, F.lit(0.5)).otherwise(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
 
 
+#: Bits of an edge's number for its column and its row; what is left is the level's.
+COL_BITS, ROW_BITS, LEVEL_BITS = 24, 24, 14
+
+
 def _edge_key(vertical: int, col: Column, row: Column) -> Column:
-    """One number per (level, grid edge); columns and rows within +-2^20, levels +-2^13."""
-    level = (c("level") + 8192).cast("bigint")
-    return ((level * 2**22 + col + 2**20) * 2**22 + row + 2**20) * 2 + vertical
+    """One number per (level, grid edge): 14 bits of level, 24 of column, 24 of row, one of
+    direction. Columns and rows from -2^23 on and levels from -2^13 on fit, which at 0.5 m
+    samples is 4,194 km either way; anything beyond is an error, never another's number."""
+    def part(value, bits, name):
+        shifted = value.cast("bigint") + 2 ** (bits - 1)
+        wrong = F.raise_error(F.format_string(f"grid edge does not fit: {name} %d", value.cast("bigint"))).cast("bigint")
+        return F.when((shifted >= 0) & (shifted < 2**bits), shifted).otherwise(wrong)
+
+    level, x, y = part(c("level"), LEVEL_BITS, "level"), part(col, COL_BITS, "column"), part(row, ROW_BITS, "row")
+    return ((level * 2**COL_BITS + x) * 2**ROW_BITS + y) * 2 + vertical
 
 
 def march(cells: DataFrame, levels: Column) -> DataFrame:

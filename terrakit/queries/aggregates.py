@@ -370,10 +370,14 @@ def _(t):
 
 
 @query("h5_layers_of_presets", "H5 G3", uses="b_features", sql="""
-    with s(layer, grp) as (values ('roads','transport'),('cover','landCover'),('names','names'))
-    select distinct s.layer, grp from s join b_features f on f.layer=s.layer where access in (0,1)
-    union select s.layer, grp from s where layer='names'""")
+    with f as (select case layer when 'roads' then case access when 2 then 'ski_network' when 1 then 'VeloWeg' else 'tlm_strassen_strasse' end
+      when 'cover' then 'tlm_bb_bodenbedeckung' else 'tlm_namen_flurname' end layer from b_features)
+    select layer, case layer when 'VeloWeg' then 'cycling' when 'tlm_strassen_strasse' then 'transport'
+      when 'tlm_bb_bodenbedeckung' then 'landCover' else 'names' end grp, count(*) n from f where layer<>'ski_network' group by 1,2""")
 def _(t):
-    seen = t.b_features.filter("access in (0, 1)").select("layer").distinct()
-    specs = t.values("values ('roads','transport'),('cover','landCover'),('names','names') as v(layer, grp)")
-    return specs.join(seen, "layer", "left_semi").union(specs.filter("layer = 'names'")).distinct()
+    road = F.when(c("access") == 2, "ski_network").when(c("access") == 1, "VeloWeg").otherwise("tlm_strassen_strasse")
+    layer = F.when(c("layer") == "roads", road).when(c("layer") == "cover", "tlm_bb_bodenbedeckung").otherwise("tlm_namen_flurname")
+    seen = t.b_features.groupBy(layer.alias("layer")).agg(n())
+    # The winter network is no layer of these presets.
+    return layers.needed_layers(t.spark, ["hiking", "cycling"]).select("layer", "grp").join(seen, "layer")
+

@@ -166,14 +166,13 @@ def _(t):
 
 @query("d10_contours_on_ice", "D10", uses="b_segments b_polys", sql=f"""
     with {EDGES}, m as (select sid, (ax+bx)/2 e, (ay+b_y)/2 n from b_segments),
-    h as (select sid, poly from m cross join edge where poly%2=0 group by sid, poly having {HITS})
+    h as (select sid, poly from m cross join edge group by sid, poly having {HITS})
     select sid, sid in (select sid from h) on_ice from b_segments""")
 def _(t):
     from terrakit.operators.contours import flag_on_ice
     pts = F.array(shapes.point(c("ax"), c("ay")), shapes.point((c("ax") + c("bx")) / 2, (c("ay") + c("by")) / 2),
                   shapes.point(c("bx"), c("by")))
-    ice = poly_rings(t).filter("poly % 2 = 0")
-    return flag_on_ice(segments(t).select("sid", pts.alias("pts")), "sid", ice, size=5000.0).select("sid", "on_ice")
+    return flag_on_ice(segments(t).select("sid", pts.alias("pts")), "sid", poly_rings(t), size=5000.0).select("sid", "on_ice")
 
 
 @query("d11_cells_a_mask_needs", "D11 H2 H4 G3 K7", uses="b_segments", sql=f"""

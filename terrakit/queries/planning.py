@@ -140,9 +140,10 @@ def _(t):
 @query("k6_raster_plans", "K6")
 def _(t):
     extents, _, segs = corridor_areas(t, 1000.0)
-    tiles = raster.plan(extents, None, segs, max_tiles=60, edge=1024, wanted_m_per_px=1.25)
-    return tiles.groupBy("area_id").agg(F.count(F.lit(1)).alias("tiles"), F.round(F.max("m_per_px"), 6).alias("m_per_px"),
-                                        F.sum(c("width") * c("height")).alias("pixels"))
+    tiles, status = raster.plan(extents, None, segs, max_tiles=60, edge=1024, wanted_m_per_px=1.25)
+    sums = tiles.groupBy("area_id").agg(F.sum(c("width") * c("height")).alias("pixels"))
+    return status.join(sums, "area_id", "left").select(
+        "area_id", "tiles", F.round("m_per_px", 6).alias("m_per_px"), "pixels", "reason")
 
 
 @query("k6_unmasked_grid", "K6", uses="b_segments", sql=f"""

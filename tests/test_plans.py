@@ -32,3 +32,21 @@ def test_filters_reach_the_scan(spark):
     df = spark.read.parquet(path).filter(box_meets(c("min_e"), c("min_n"), c("max_e"), c("max_n"), 1.0, 2.0, 30.0, 40.0))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(min_e,30.0)" in plan and "GreaterThanOrEqual(max_n,2.0)" in plan
+
+
+def test_raster_plan_answers_for_every_area(spark):
+    from terrakit.plans import raster
+
+    areas = spark.createDataFrame(
+        [(1, 2600000.0, 1200000.0, 2604000.0, 1203000.0), (2, 2600000.0, 1200000.0, 2600000.0, 1203000.0),
+         (3, 2650000.0, 1200000.0, 2652000.0, 1202000.0), (4, None, None, None, None)],
+        "area_id int, min_e double, min_n double, max_e double, max_n double")
+    mask = spark.createDataFrame(
+        [(1, 800.0, 2601000.0, 1201000.0, 2602000.0, 1202000.0), (3, 10.0, 2700000.0, 1100000.0, 2700001.0, 1100000.0)],
+        "mask_id int, radius double, ax double, ay double, bx double, by double")
+    tiles, status = raster.plan(areas, None, mask, max_tiles=6, edge=256, wanted_m_per_px=2.0)
+    rows = {r.area_id: r for r in status.collect()}
+    assert {k: r.reason for k, r in rows.items()} == {1: None, 2: "no_extent", 3: "no_tile_in_mask", 4: "no_extent"}
+    assert rows[1].tiles == tiles.filter("area_id = 1").count() <= 6 and rows[1].m_per_px > 2.0
+    none = raster.plan(areas.limit(0), None, mask, max_tiles=6, edge=256, wanted_m_per_px=2.0)
+    assert [x.count() for x in none] == [0, 0]

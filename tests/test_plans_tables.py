@@ -130,13 +130,13 @@ def test_raster_plan(spark):
     boxes = spark.createDataFrame(
         [(1, 2600000.0, 1200000.0, 2604000.0, 1203000.0), (2, 2600000.0, 1200000.0, 2680000.0, 1260000.0)],
         "area_id int, min_e double, min_n double, max_e double, max_n double")
-    got = raster.plan(boxes, None, None, 40, 1024, 1.0).groupBy("area_id").agg(
+    got = raster.plan(boxes, None, None, 40, 1024, 1.0)[0].groupBy("area_id").agg(
         F.count("*").alias("m"), F.max("m_per_px").alias("r"), F.max("width").alias("w"), F.min("height").alias("h")).collect()
     by = {r.area_id: r for r in got}
     assert by[1].r == 1.25 and by[1].m == 12 and by[2].m <= 40 and by[2].r > 5
     assert all(r.w <= 1024 and r.h >= 1 for r in got)
     line = spark.createDataFrame([(2, 500.0, 2600000.0, 1200000.0, 2680000.0, 1260000.0)], "mask_id int, radius double, ax double, ay double, bx double, by double")
-    masked = raster.plan(boxes.filter("area_id = 2"), None, line, 40, 1024, 1.0).agg(F.max("m_per_px"), F.count("*")).first()
+    masked = raster.plan(boxes.filter("area_id = 2"), None, line, 40, 1024, 1.0)[0].agg(F.max("m_per_px"), F.count("*")).first()
     # Only tiles along the line are paid for, so they are sharper.
     assert masked[0] < by[2].r and masked[1] <= 40
     with pytest.raises(ValueError):

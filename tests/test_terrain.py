@@ -164,3 +164,15 @@ def test_tiles_and_samples_give_the_same_segments(spark):
     slow = terrain.march(terrain.cells2x2(terrain.mosaic(df, px), 16), terrain.interval_levels(20))
     fast = terrain.march(terrain.tile_cells(df, 20, px, per_block=2), terrain.interval_levels(20))
     assert key(slow) == key(fast) and key(fast)
+
+
+def test_edge_numbers_never_meet(spark):
+    from terrakit.operators.terrain import _edge_key
+
+    rows = [(10, 5_280_000, 7), (11, 1_085_696, 7), (10, -5_280_000, 7), (10, 5_280_000, -8_000_000), (-8000, 0, 0), (4800, 8_388_607, 8_388_607)]
+    df = spark.createDataFrame(rows, "level int, x long, y long")
+    keys = [r.k for v in (0, 1) for r in df.select(_edge_key(v, F.col("x"), F.col("y")).alias("k")).collect()]
+    assert len(set(keys)) == 2 * len(rows)
+    far = spark.createDataFrame([(10, 8_388_608, 0)], "level int, x long, y long")
+    with pytest.raises(Exception, match="does not fit"):
+        far.select(_edge_key(0, F.col("x"), F.col("y"))).collect()
