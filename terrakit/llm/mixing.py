@@ -99,6 +99,8 @@ def solve_tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
         state = written(state, "mix-duals")
         if not (state.agg(F.max("off")).first()[0] or 0.0) > 1e-7:
             break
+    else:
+        raise ValueError(f"the tilts of some source do not meet its target after {ROUNDS * STEPS} steps")
     return state.select("source", "source_size", "target", "scale", F.round("tilt", 9).alias("tilt"))
 
 

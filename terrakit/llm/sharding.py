@@ -34,7 +34,7 @@ def _bits_of(prefix: Column, depth: Column) -> Column:
     return F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.bin(prefix), depth, F.lit("0")))
 
 
-def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def sharded(docs: DataFrame, limit: int = LIMIT, row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, shard, depth, page, shard_bytes``.
 
     ``shard`` holds the hash bits of the bucket (no bits: everything fits in one), ``depth``
@@ -44,10 +44,12 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     - Null text has no bytes; a null ``doc_id`` is hashed as the least id.
     - Rows of one ``doc_id`` share a shard; if they are over the limit together they get
       pages along their order in size, ties by text hash.
-    - Empty table: empty result. Other columns do not take part.
+    - Empty table: empty result. Other columns do not take part, but for ``row``, the
+      name of one that comes out as it is.
     """
+    names = [row] if row else []
     rows = docs.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        *names, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.xxhash64("text").alias("__text"),
         F.shiftrightunsigned(F.xxhash64(id_or_least(F.col("doc_id"))), 1).alias("__hash"),
     )
@@ -76,9 +78,9 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         placed = placed.unionByName(part)
     placed = placed.withColumn("page", F.lit(0).cast("long"))
     if found[-1][0] == BITS and not over.isEmpty():
-        placed = placed.unionByName(_pages(todo, over, limit))
+        placed = placed.unionByName(_pages(todo, over, limit).select(*placed.columns))
     return placed.select(
-        "doc_id", "n_bytes", _bits_of(F.col("prefix"), F.col("depth")).alias("shard"),
+        *names, "doc_id", "n_bytes", _bits_of(F.col("prefix"), F.col("depth")).alias("shard"),
         F.col("depth").cast("int").alias("depth"), "page", "shard_bytes",
     )
 
@@ -121,15 +123,18 @@ def _pages(rows: DataFrame, over: DataFrame, limit: int) -> DataFrame:
         F.col("prefix").alias("__q"), F.col("page").alias("__g"), "shard_bytes"
     )
     both = both.join(sums, (F.col("prefix") == F.col("__q")) & (F.col("page") == F.col("__g")))
-    return both.select("doc_id", "n_bytes", "__text", "__hash", "prefix", "depth", "shard_bytes", F.col("page").cast("long").alias("page"))
+    return both.withColumn("page", F.col("page").cast("long"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the rows of ``docs``, one folder per shard and page. Rows of one id and text
-    are alike and go together to the smallest of their pages."""
-    plan = sharded(docs.select("doc_id", "text"), limit)
-    keyed = plan.groupBy("doc_id", "n_bytes").agg(F.min(F.struct("shard", "page")).alias("at"))
-    own = keyed.select(F.col("doc_id").alias("__d"), F.col("n_bytes").alias("__b"), "at.shard", "at.page")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & (size == F.col("__b"))).drop("__d", "__b")
-    rows.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    """Write the rows of ``docs``, one folder per shard and page, each within ``limit``
+    bytes of text but for a longer document in a page of its own.
+
+    Rows are numbered in a written table, so each goes to the page that was planned for
+    it, also where rows share an id, or an id and a text. Columns named ``shard`` or
+    ``page`` are replaced. Null ids and texts and empty tables are as in :func:`sharded`.
+    """
+    rows = written(docs.drop("shard", "page").withColumn("__row", F.monotonically_increasing_id()), "shard-input")
+    plan = sharded(rows.select("__row", "doc_id", "text"), limit, "__row").select("__row", "shard", "page")
+    placed = rows.join(plan, "__row").drop("__row")
+    placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)

@@ -13,13 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrakit.llm.common import BLANKS
+
 MONTH = 31
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of an http(s) address, without port; null where there is none."""
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    return F.when(found != "", found)
+    """The lower-case host of an http(s) address, without port and final dots, an IPv6
+    address without its brackets; null where there is none."""
+    found = F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
+    return domain_of(F.btrim(found, F.lit("[]")))
+
+
+def domain_of(name: Column) -> Column:
+    """A host or list entry as it is compared: lower case, without white space around it
+    and final dots; null where nothing is left."""
+    plain = F.rtrim(F.btrim(F.lower(name), F.lit(BLANKS)), F.lit("."))
+    return F.when(plain != "", plain)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -27,8 +37,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An ``add`` holds until the next entry of that list and domain, whatever it is; the
     last is open (null ``until``). Of several entries on one day a ``remove`` wins.
-    Entries without domain, list or day are left out, as is what holds for no day.
+    Entries without domain, list or day are left out, as is what holds for no day. A
+    domain may be written in any case and with a final dot; it stands for itself and all
+    hosts below it. No patterns, ports or paths.
     """
+    entries = entries.withColumn("domain", domain_of(F.col("domain")))
     known = entries.filter(F.col("domain").isNotNull() & F.col("list").isNotNull() & F.col("day").isNotNull())
     daily = known.groupBy("domain", "list", "day").agg(F.max(F.col("action") == "remove").alias("off"))
     later = F.lead("day").over(Window.partitionBy("domain", "list").orderBy("day"))
