@@ -21,6 +21,9 @@ from terrakit.session import written
 
 WINDOW = 8
 
+#: The largest share of good documents that a rule may call bad.
+MOST_FALSE = 0.05
+
 STATS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines",
     "n_upper", "n_letters", "n_chars_all", "n_next_same", "n_ended", "n_marks",
@@ -118,6 +121,15 @@ def vote_columns() -> list[Column]:
     return votes
 
 
+def _anchored(rule: dict[int, tuple[float, float]]) -> dict[int, tuple[float, float]]:
+    """The rule with at most MOST_FALSE bad votes on good documents, the rest in proportion."""
+    false = rule[-1][0]
+    if false <= MOST_FALSE:
+        return rule
+    wider = (1 - MOST_FALSE) / (1 - false)
+    return {v: ((MOST_FALSE if v < 0 else p[0] * wider), p[1]) for v, p in rule.items()}
+
+
 def fit_label_model(
     patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-10
 ) -> tuple[float, list[dict[int, tuple[float, float]]]]:
@@ -126,7 +138,9 @@ def fit_label_model(
     Returns the share of good documents and, per rule and vote, its probability on good
     and on bad documents. Starts from rules that say bad of one good document in a
     hundred and of three bad ones in ten; each vote's count is smoothed by one, so none
-    has probability 0. No patterns: the start.
+    has probability 0. A rule says bad of at most ``MOST_FALSE`` of the good documents:
+    that is what makes them the good ones, also where most documents are junk. No
+    patterns: the start.
     """
     n_rules = len(RULES)
     share = 0.8
@@ -153,6 +167,7 @@ def fit_label_model(
             {v: (s[v][0] / sum(x[0] for x in s.values()), s[v][1] / sum(x[1] for x in s.values())) for v in s}
             for s in sums
         ]
+        table = [_anchored(rule) for rule in table]
         if likelihood - last < tolerance * abs(likelihood):
             break
         last = likelihood

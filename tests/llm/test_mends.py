@@ -3,6 +3,7 @@
 from conftest import COLUMNS
 from pyspark.sql import functions as F
 
+from terrakit.llm import quality_rules
 from terrakit.llm.sharding import write_shards
 from terrakit.llm.url_filters import host_of, judged_captures
 
@@ -30,3 +31,22 @@ def test_hosts_and_entries_are_compared_alike(spark):
         "domain string, list string, day long, action string")
     got = {r.page_id: (r.verdict, r.matched) for r in judged_captures(rows, entries).collect()}
     assert got[0] == got[1] == ("block", "a.com") and {got[i] for i in range(2, 7)} == {("none", None)}
+
+
+def posterior(share, table, votes):
+    good, bad = share, 1 - share
+    for rule, vote in zip(table, votes):
+        good, bad = good * rule[vote][0], bad * rule[vote][1]
+    return good / (good + bad)
+
+
+def test_label_model_keeps_good_good_whatever_the_share_of_junk():
+    n = len(quality_rules.RULES)
+    junk = [tuple(-1 if k in (i, (i + 1) % 4) else 0 for k in range(n)) for i in range(4)]
+    clean = [tuple(1 if k in (5, i) else 0 for k in range(n)) for i in (8, 9)]
+    for tenths in range(9):
+        patterns = [(v, 25 * tenths) for v in junk if tenths] + [(v, 50 * (10 - tenths)) for v in clean]
+        share, table = quality_rules.fit_label_model(patterns)
+        assert all(posterior(share, table, v) > 0.5 for v in clean)
+        assert not tenths or all(posterior(share, table, v) < 0.5 for v in junk)
+        assert all(rule[-1][0] <= quality_rules.MOST_FALSE + 1e-12 for rule in table)
