@@ -18,7 +18,7 @@ def test_query_runs_whole(spark, name):
     assert found
     if name in queries.oracle_sql():
         con = duckdb.connect()
-        for table in ("documents", "pages"):
+        for table in ("documents", "pages", "embeddings"):
             con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
         result = con.execute(queries.oracle_sql()[name])
         columns = [d[0] for d in result.description]
