@@ -120,15 +120,18 @@ def plain_scan(text, scanner):
         found = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         starts += found
         labels |= {label} if found else set()
-    more, score = set(), 1.0 if starts else 0.0
-    for label, notice in license_scan.TEMPLATES.items():
+    matches, score = [], 1.0 if starts else 0.0
+    for label, notice, marks in license_scan.NOTICES:
         t = [w.decode() for w in license_scan.words(notice.encode())]
         needed = -(-len(set(t)) * 8 // 10)
         for at in range(0, max(1, len(words)), len(t)):
-            shared = len(set(t) & set(words[at : at + 2 * len(t)]))
-            if shared >= needed:
-                more.add(label)
+            block = words[at : at + 2 * len(t)]
+            shared = len(set(t) & set(block))
+            said = " " + " ".join(block) + " "
+            if shared >= needed and all(any(f" {m} " in said for m in group) for group in marks):
                 score = max(score, shared / len(set(t)))
+                matches += [(at + i, shared, label) for m in marks[0] for i in range(len(block)) if block[i : i + len(m.split())] == m.split()]
+    more = {label for at, n, label in matches if n == max(k for place, k, _ in matches if place == at)}
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None),
         ",".join(sorted(labels)), ",".join(sorted(labels | more)), score,
@@ -142,6 +145,49 @@ def test_license_scan(request, table):
     assert ordered(got) == ordered([(i, *plain_scan(t, None)) for i, t in pairs(docs)])
 
 
+#: What people write, with the labels that the method adds to the base ones.
+LICENSE_TEXTS = {
+    "Released under the MIT License.": "mit",
+    "Released under the BSD License": "bsd",
+    "Released under the Apache License": "apache",
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    "This work is licensed under the GNU General Public License, version 2.0": "gpl-2.0",
+    "This work is licensed under the GNU General Public License, version 3": "gpl-3.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3": "lgpl-3.0",
+    license_scan.GPL.format("GNU General Public License", "2"): "gpl-2.0",
+    license_scan.GPL.format("GNU Affero General Public License", "3"): "agpl-3.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc-4.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "Released under the terms of a treaty": "",
+    "The license of this work is of the public, 3 of 4": "",
+}
+
+
+def added(text):
+    order = {w: i for i, w in enumerate(sorted({w for n in license_scan.NOTICES for w in license_scan.words(n.text.encode())}))}
+    tokens = license_scan.words(text.encode())
+    return license_scan.Scanner(license_scan.NOTICES, order, license_scan.THRESHOLD).scan(tokens)[2]
+
+
+@pytest.mark.parametrize("text", LICENSE_TEXTS)
+def test_license_labels(text):
+    want = {LICENSE_TEXTS[text]} - {""}
+    assert added(text) == want
+    assert added("word " * 41 + text + " word" * 7) == want
+
+
+def test_each_notice_is_told_from_every_other():
+    for notice in license_scan.NOTICES:
+        assert added(notice.text) == {notice.label}, notice
+    for one in license_scan.NOTICES:
+        for other in license_scan.NOTICES:
+            assert added(one.text + " word" * 200 + " " + other.text) == {one.label, other.label}
+    assert added("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == {"mit", "apache-2.0"}
+
+
 @pytest.mark.parametrize("table", ["awkward", "documents", "empty"])
 def test_packing(request, table):
     from tokenizers import Tokenizer
