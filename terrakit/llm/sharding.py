@@ -5,6 +5,9 @@ is split on the next bit of the hash until each fits. Bytes are summed per long
 before anything is shuffled, and the levels of the directory are sums over that small
 table. Rows that one hash value alone carries over the limit go to numbered pages of
 their bucket, as overflow pages do in a hash file.
+
+The directory grows with the data, so no join broadcasts it: narrow rows (id, bytes, two
+hashes) are shuffled to it instead, and never a text.
 """
 
 from __future__ import annotations
@@ -64,14 +67,14 @@ def sharded(docs: DataFrame, limit: int = LIMIT, row: str | None = None) -> Data
             break
         # Only rows of buckets that are still too large look at more bits.
         todo = todo.withColumn("__p", _prefix(F.col("__hash"), high)).join(
-            over.select(F.col("prefix").alias("__p")), "__p", "left_semi"
+            over.select(F.col("prefix").alias("__p")).hint("merge"), "__p", "left_semi"
         ).drop("__p")
         low, high = high + 1, min(BITS, high + 10)
     parts = []
     left = rows
     for bits, leaves in found:
         parts.append(left.withColumn("__p", _prefix(F.col("__hash"), bits)).join(
-            leaves.withColumnRenamed("long_prefix", "__p"), "__p"
+            leaves.withColumnRenamed("long_prefix", "__p").hint("merge"), "__p"
         ).drop("__p"))
     placed = parts[0]
     for part in parts[1:]:
@@ -99,22 +102,22 @@ def _levels(rows: DataFrame, limit: int, low: int, high: int) -> tuple[DataFrame
         (F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")
     )
     roots = fits.filter(F.col("depth") == low)
-    leaves = fits.join(above, ["depth", "prefix"], "left_semi").unionByName(roots)
-    placed = levels.select("long_prefix", "depth", "prefix").join(leaves, ["depth", "prefix"])
+    leaves = fits.join(above.hint("merge"), ["depth", "prefix"], "left_semi").unionByName(roots)
+    placed = levels.select("long_prefix", "depth", "prefix").join(leaves.hint("merge"), ["depth", "prefix"])
     return placed, sized.filter((F.col("depth") == high) & (F.col("shard_bytes") > limit))
 
 
 def _pages(rows: DataFrame, over: DataFrame, limit: int) -> DataFrame:
     """Rows of single hash values that are over the limit, in pages along a running sum."""
     over = over.select(F.col("prefix").alias("__p"), "prefix", "depth")
-    work = rows.withColumn("__p", _prefix(F.col("__hash"), BITS)).join(over, "__p").drop("__p")
+    work = rows.withColumn("__p", _prefix(F.col("__hash"), BITS)).join(over.hint("merge"), "__p").drop("__p")
     order = [F.col("n_bytes"), F.col("__text")]
     work = ranked(work, ["prefix"], F.col("n_bytes"), order, "__at", F.shiftright("__text", 44))
     whole = work.filter(F.col("n_bytes") >= limit).withColumn("page", F.col("__at"))
     small = work.filter(F.col("n_bytes") < limit)
     most = small.groupBy("prefix").agg(F.max("n_bytes").alias("__most")).withColumnRenamed("prefix", "__q")
     small = running_total(small, ["prefix"], "__at", F.col("n_bytes"), "__sum")
-    small = small.join(most, F.col("prefix") == F.col("__q")).drop("__q")
+    small = small.join(most.hint("merge"), F.col("prefix") == F.col("__q")).drop("__q")
     # Pages of (limit - most) started bytes hold at most limit bytes.
     step = F.lit(limit) - F.col("__most") + 1
     small = small.withColumn("page", -1 - F.floor((F.col("__sum") - F.col("n_bytes")) / step))
@@ -122,7 +125,7 @@ def _pages(rows: DataFrame, over: DataFrame, limit: int) -> DataFrame:
     sums = both.groupBy("prefix", "page").agg(F.sum("n_bytes").alias("shard_bytes")).select(
         F.col("prefix").alias("__q"), F.col("page").alias("__g"), "shard_bytes"
     )
-    both = both.join(sums, (F.col("prefix") == F.col("__q")) & (F.col("page") == F.col("__g")))
+    both = both.join(sums.hint("merge"), (F.col("prefix") == F.col("__q")) & (F.col("page") == F.col("__g")))
     return both.withColumn("page", F.col("page").cast("long"))
 
 
