@@ -260,9 +260,8 @@ def e7(degrees: Column) -> Column:
 
 
 def without_repeats(values: Column) -> Column:
-    """Consecutive equal values collapse to one."""
-    return F.aggregate(
-        values, F.slice(values, 1, 0),
-        lambda acc, v: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1)) == v, F.lit(False)), acc)
-        .otherwise(F.concat(acc, F.array(v))),
-    )
+    """Consecutive equal values collapse to one; a null is kept."""
+    steps = F.greatest(F.size(values) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(values, 1, steps), F.slice(values, 2, steps), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    changes = F.filter(pairs, lambda x: ~F.coalesce(x["a"] == x["b"], F.lit(False)))
+    return F.concat(F.slice(values, 1, 1), F.transform(changes, lambda x: x["b"]))

@@ -179,3 +179,11 @@ def test_text_helpers(spark):
     assert one(spark, attrs.number_tag(F.lit(float("nan")))) is None
     assert one(spark, attrs.postcode(F.lit("4052 Basel"))) == "4052"
     assert one(spark, attrs.locality(F.lit("Basel Stadt"))) == "Basel Stadt"
+
+
+def test_without_repeats(spark):
+    cases = [[], [1], [1, 1, 1], [1, 1, 2, 2, 1], [None, None, 3, 3, None], [2, 3]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)] + [(99, None)], "i int, v array<int>")
+    got = {r.i: r.out for r in df.select("i", shapes.without_repeats(F.col("v")).alias("out")).collect()}
+    want = [[], [1], [1], [1, 2, 1], [None, None, 3, None], [2, 3]]
+    assert got == {**dict(enumerate(want)), 99: None}
