@@ -1,13 +1,16 @@
 """Nearest neighbours by a forest of hash strings.
 
 Every tree gives a vector a long string of symbols; a symbol is the axis, with its sign,
-that a random projection of the vector is nearest to. A tree is the sorted array of its
-strings. A query descends each tree to its longest prefix match, and all trees then
-ascend together, one symbol at a time, until the prefix ranges hold enough rows; those
-are scored exactly. How many are enough is measured on each table: some queries are
-answered by a scan of all rows, and the least number of candidates with which the forest
-finds ``RECALL`` of their neighbours holds for all queries, ``min_candidates`` at least.
-Where no number does, and at the root, all rows are scanned, once.
+that a random projection of the vector is nearest to. The first symbol tells many axes
+apart, all others a few, so that one step of the ascent widens a range only some times. A
+tree is the sorted array of its strings. A query goes into each tree with ``PROBES``
+strings, which start with the axes that it is nearest to, in order; they descend to their
+longest prefix matches, and all strings of all trees then ascend together, one symbol at a
+time, until the prefix ranges hold enough rows; those are scored exactly. How many are
+enough is measured on each table: some queries are answered by a scan of all rows, and the
+least number of candidates with which the forest finds ``RECALL`` of their neighbours
+holds for all queries, ``min_candidates`` at least. Where no number does, and for queries
+whose ranges hold less than ``k`` rows, all rows are scanned, once.
 
 Largest inner product becomes nearest angle by one more coordinate that brings all
 vectors to the same norm. Equal vectors are one row of the index. A tree's array is cut
@@ -28,11 +31,13 @@ from pyspark.sql.window import Window
 
 from terrakit.session import written
 
-TREES = 24
-SYMBOLS = 8
-AXES = 32
-WIDTH = 6  # bits of a symbol: an axis and a sign
-MIN_CANDIDATES = 8_000
+TREES = 16
+PROBES = 5  # strings of a query in a tree
+AXES = (128, *[4] * 12)  # of each symbol
+SYMBOLS = len(AXES)
+WIDTHS = [axes.bit_length() for axes in AXES]  # bits of a symbol: an axis and a sign
+LEFT = [sum(WIDTHS[s:]) for s in range(SYMBOLS + 1)]  # bits behind the first s symbols
+MIN_CANDIDATES = 0
 BLOCK_ROWS = 65_536
 RECALL = 0.94  # of the measured queries; the error of that measure is kept from 0.9
 MEASURED = 256  # queries per dimension
@@ -58,44 +63,54 @@ def _hasher(trees: int, greatest: dict[int, float]):
             for dim, part in frame.groupby(sizes):
                 dim = int(dim)
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(SEED).standard_normal((dim + 1, trees * SYMBOLS * AXES))
+                    planes[dim] = np.random.default_rng(SEED).standard_normal((dim + 1, trees * sum(AXES)))
                 v = np.stack(part["v"].to_numpy())
                 rest = np.sqrt(np.maximum(0.0, greatest[dim] - (v * v).sum(1)))
                 for start in range(0, len(v), 256):
                     some = np.column_stack([v[start : start + 256], rest[start : start + 256]])
-                    projected = (some @ planes[dim]).reshape(len(some), trees, SYMBOLS, AXES)
-                    axis = np.abs(projected).argmax(3)
-                    sign = np.take_along_axis(projected, axis[..., None], 3)[..., 0] > 0
-                    symbol = 2 * axis + sign
-                    code = np.zeros((len(some), trees), np.int64)
-                    for s in range(SYMBOLS):
-                        code = (code << WIDTH) | symbol[:, :, s]
                     own = part.iloc[start : start + 256]
-                    yield pd.DataFrame({"rep": own["rep"], "asks": own["asks"], "codes": list(code)})
+                    codes, strings = _strings((some @ planes[dim]).reshape(len(some), trees, -1))
+                    strings = [x if asks else None for x, asks in zip(strings, own["asks"])]
+                    yield pd.DataFrame({"rep": own["rep"], "codes": list(codes), "strings": strings})
 
     return run
 
 
-def _shared(codes: np.ndarray, code: int) -> np.ndarray:
-    """Rows of a sorted array that share at least 0, 1, ... SYMBOLS symbols with ``code``:
-    the two ends of each range."""
-    shifts = WIDTH * np.arange(SYMBOLS, -1, -1)
-    low = (code >> shifts) << shifts
-    high = low + (np.int64(1) << shifts)
-    return np.stack([np.searchsorted(codes, low), np.searchsorted(codes, high)])
+def _strings(projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tree) strings of projections (row, tree, axis), and the (row, probe x tree)
+    strings with which a row asks: the nearest first axes, then its own symbols."""
+    rows, trees, _ = projected.shape
+    code, at = np.zeros((rows, trees), np.int64), 0
+    for axes, width in zip(AXES, WIDTHS):
+        some = projected[:, :, at : at + axes]
+        signed = np.stack([-some, some], 3).reshape(rows, trees, 2 * axes)
+        if at == 0:
+            first = np.argsort(-signed, 2, kind="stable")[:, :, :PROBES].astype(np.int64)
+        symbol = first[:, :, 0] if at == 0 else signed.argmax(2)
+        code, at = (code << width) | symbol, at + axes
+    tail = code & ((1 << LEFT[1]) - 1)
+    asking = (first << LEFT[1]) | tail[:, :, None]
+    return code, asking.transpose(0, 2, 1).reshape(rows, PROBES * trees)
+
+
+def _ends(codes: np.ndarray, asked: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The two ends of the ranges of a sorted array that agree with the asked strings but
+    for the last ``left`` bits."""
+    low = (asked >> left) << left
+    return np.stack([np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << left))])
 
 
 def _counts(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """How many rows of this part share at least each number of symbols with each query."""
     codes = np.sort(index["code"].to_numpy(np.int64))
-    rows = [np.diff(_shared(codes, c), axis=0)[0] for c in asked["code"].to_numpy(np.int64)]
-    n = len(rows)
+    low, high = _ends(codes, asked["code"].to_numpy(np.int64)[:, None], np.array(LEFT)[None, :])
     out = pd.DataFrame({
-        "rep": np.repeat(asked["rep"].to_numpy(), SYMBOLS + 1), "depth": np.tile(np.arange(SYMBOLS + 1), n),
-        "n": np.concatenate(rows) if rows else np.zeros(0, np.int64),
+        "rep": np.repeat(asked["rep"].to_numpy(), SYMBOLS + 1), "depth": np.tile(np.arange(SYMBOLS + 1, dtype=np.int32), len(asked)),
+        "n": (high - low).ravel(),
     })
     # Rows that share less than the block does are in other blocks, too.
-    return out[out["depth"].to_numpy() >= np.repeat(asked["lead"].to_numpy(), SYMBOLS + 1)]
+    out = out[out["depth"].to_numpy() >= np.repeat(asked["lead"].to_numpy(), SYMBOLS + 1)]
+    return out.groupby(["rep", "depth"], as_index=False)["n"].sum()
 
 
 def _finder(k: int):
@@ -106,7 +121,7 @@ def _finder(k: int):
             order = np.argsort(index["code"].to_numpy(np.int64), kind="stable")
             codes, reps = index["code"].to_numpy(np.int64)[order], index["rep"].to_numpy()[order]
             vectors = np.stack(index["v"].to_numpy())[order]
-            ends = np.stack([_shared(codes, x)[:, d] for x, d in zip(asked["code"], asked["depth"])])
+            ends = _ends(codes, asked["code"].to_numpy(np.int64), np.array(LEFT)[asked["depth"].to_numpy()]).T
             ranges, own = np.unique(ends, axis=0, return_inverse=True)
             asking, wanted = asked["rep"].to_numpy(), np.stack(asked["v"].to_numpy())
             for at, (low, high) in enumerate(ranges):
@@ -136,7 +151,7 @@ def _renewed(side: DataFrame) -> DataFrame:
 
 
 def _leading(code: Column, symbols: Column) -> Column:
-    return F.call_function("shiftright", code, (F.lit(WIDTH) * (F.lit(SYMBOLS) - symbols)).cast("int"))
+    return F.call_function("shiftright", code, F.element_at(F.array(*[F.lit(bits) for bits in LEFT]), symbols.cast("int") + 1))
 
 
 class _Forest:
@@ -152,24 +167,29 @@ class _Forest:
         )
         large = F.col("n") > self.floor
         # Blocks share leading symbols: as many as an even spread of the dimension needs.
-        lead = sum((F.col("n") > block_rows * (1 << (WIDTH * s))).cast("int") for s in range(SYMBOLS))
+        lead = sum((F.col("n") > block_rows * (1 << (LEFT[0] - LEFT[s]))).cast("int") for s in range(SYMBOLS))
         facts = facts.withColumns({"large": large, "lead": F.when(large, lead).otherwise(0)})
         self.facts = written(facts, "ann-facts")
         known = self.facts.filter("large").select("dim", "most", "lead", "n").collect()
         self.lead = max([row["lead"] for row in known], default=0)
         self.most = max([row["n"] for row in known], default=0)
         sides = classes.join(self.facts.select("dim", "large", "lead"), "dim")
-        places = sides.filter("not large").select(
-            "rep", "asks", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("code"), "dim", "lead"
+        small = sides.filter("not large").select(
+            "rep", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("code"), "dim", "lead", "asks"
         )
+        places, strings = small.drop("asks"), small.filter("asks").drop("asks").withColumn("probe", F.lit(0))
         self.coded = None
         if known:
             self.coded = written(sides.filter("large").select("rep", "asks", "v").mapInPandas(
-                _hasher(trees, {row["dim"]: row["most"] for row in known}), "rep long, asks boolean, codes array<long>"
+                _hasher(trees, {row["dim"]: row["most"] for row in known}), "rep long, codes array<long>, strings array<long>"
             ), "ann-codes")
-            hashed = self.coded.select("rep", "asks", F.posexplode("codes").alias("tree", "code"))
-            places = places.unionByName(hashed.join(sides.select("rep", "dim", "lead"), "rep"))
-        self.places = written(places, "ann-places")
+            of = sides.select("rep", "dim", "lead")
+            places = places.unionByName(self.coded.select("rep", F.posexplode("codes").alias("tree", "code")).join(of, "rep"))
+            asking = self.coded.select("rep", F.posexplode("strings").alias("at", "code")).select(
+                "rep", (F.col("at") % trees).alias("tree"), F.floor(F.col("at") / trees).cast("int").alias("probe"), "code"
+            )
+            strings = strings.unionByName(asking.join(of, "rep"))
+        self.places, self.strings = written(places, "ann-places"), written(strings, "ann-strings")
 
     def dealt(self, index: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
         """Rows and queries (dim, tree, level, block, rep, ...) with the parts they meet in."""
@@ -196,16 +216,21 @@ class _Forest:
     def totals(self) -> DataFrame:
         """``rep, depth, n``: rows that share at least so many symbols with each query of a
         large dimension, summed over the trees."""
-        large = self.places.join(self.facts.filter("large").select("dim"), "dim", "left_semi")
-        placed = large.withColumn("level", F.col("lead")).withColumn("block", _leading(F.col("code"), F.col("lead")))
-        index, asked, full = self.dealt(placed, placed.filter("asks"))
+        def of_large(side: DataFrame) -> DataFrame:
+            return side.join(self.facts.filter("large").select("dim"), "dim", "left_semi")
+
+        def blocked(side: DataFrame, level: Column) -> DataFrame:
+            return side.withColumns({"level": level, "block": _leading(F.col("code"), level)})
+
+        lead = F.col("lead")
+        index, asked, full = self.dealt(blocked(of_large(self.places), lead), blocked(of_large(self.strings), lead))
         counts = index.select(*full, "rep", "code").groupBy(*full).cogroup(
             _renewed(asked.select(*full, "rep", "code", "lead")).groupBy(*full)
         ).applyInPandas(_counts, "rep long, depth int, n long")
         for depth in range(1, self.lead):
-            short = large.filter(F.col("lead") > depth).withColumn("block", _leading(F.col("code"), F.lit(depth)))
+            short, asking = (blocked(of_large(x).filter(lead > depth), F.lit(depth)) for x in (self.places, self.strings))
             sums = short.groupBy("dim", "tree", "block").agg(F.count(F.lit(1)).alias("n"))
-            met = _renewed(short.filter("asks").select("dim", "tree", "block", "rep")).join(sums, ["dim", "tree", "block"])
+            met = _renewed(asking.select("dim", "tree", "block", "rep")).join(sums, ["dim", "tree", "block"])
             counts = counts.unionByName(met.select("rep", F.lit(depth).alias("depth"), "n"))
         return written(counts.groupBy("rep", "depth").agg(F.sum("n").alias("n")), "ann-counts")
 
@@ -213,7 +238,7 @@ class _Forest:
         """``dim, enough``: the candidates with which the measured queries of each large
         dimension have ``RECALL``; null where only all rows are enough."""
         ladder = [self.floor]
-        while ladder[-1] < self.trees * self.most:
+        while ladder[-1] < self.trees * PROBES * self.most:
             ladder.append(2 * ladder[-1])
         every = F.greatest(F.lit(1), F.floor(F.col("asking") / MEASURED))
         some = self.classes.filter("asks").join(self.facts.filter("large"), "dim")
@@ -222,15 +247,14 @@ class _Forest:
         exact = self.found(some.select("rep", F.lit(0).alias("depth"))).groupBy("rep", "found").agg(F.max("score").alias("score"))
         best = Window.partitionBy("rep").orderBy(F.desc("score"), "found")
         exact = exact.filter("rep <> found").withColumn("at", F.row_number().over(best)).filter(F.col("at") <= self.k)
-        codes = self.coded.select("rep", "codes")
-        pairs = exact.select("rep", "found").join(codes, "rep").join(
-            codes.select(F.col("rep").alias("found"), F.col("codes").alias("others")), "found"
+        pairs = exact.select("rep", "found").join(self.coded.select("rep", "strings"), "rep").join(
+            self.coded.select(F.col("rep").alias("found"), F.flatten(F.array_repeat("codes", PROBES)).alias("others")), "found"
         )
 
         def shared(a: Column, b: Column) -> Column:
-            return sum((F.shiftright(a.bitwiseXOR(b), WIDTH * (SYMBOLS - s)) == 0).cast("int") for s in range(1, SYMBOLS + 1))
+            return sum((F.shiftright(a.bitwiseXOR(b), LEFT[s]) == 0).cast("int") for s in range(1, SYMBOLS + 1))
 
-        pairs = pairs.select("rep", F.array_max(F.zip_with("codes", "others", shared)).alias("shared"))
+        pairs = pairs.select("rep", F.array_max(F.zip_with("strings", "others", shared)).alias("shared"))
         depths = some.join(totals, "rep", "left").groupBy("rep", "dim").agg(*[
             F.coalesce(F.max(F.when(F.col("n") >= m, F.col("depth"))), F.lit(0)).alias(f"d{at}") for at, m in enumerate(ladder)
         ])
@@ -252,8 +276,8 @@ class _Forest:
 
     def found(self, depths: DataFrame) -> DataFrame:
         """``rep, found, score``: the best of each part that the queries' prefixes meet."""
-        asked = self.places.filter("asks").join(depths, "rep").withColumn("level", F.least("depth", "lead"))
-        asked = asked.filter("depth > 0 or tree = 0")  # at the root all trees are the same
+        asked = self.strings.join(depths, "rep").withColumn("level", F.least("depth", "lead"))
+        asked = asked.filter("depth > 0 or (tree = 0 and probe = 0)")  # at the root all are the same
         asked = asked.withColumn("block", _leading(F.col("code"), F.col("level")))
         index = self.places.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("lead"))))
         index = index.withColumn("block", _leading(F.col("code"), F.col("level")))
@@ -263,6 +287,20 @@ class _Forest:
             _renewed(asked.select(*full, "rep", "code", "depth").join(own, "rep")).groupBy(*full)
         ).applyInPandas(_finder(self.k + 1), "rep long, found long, score double")
 
+    def best(self) -> DataFrame:
+        """``rep, found, score`` with a full list for each query."""
+        depths = self.depths()
+        pair = F.max("score").alias("score")
+        found = written(self.found(depths).groupBy("rep", "found").agg(pair), "ann-found")
+        if self.coded is None:
+            return found
+        counts = found.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        short = depths.filter("depth > 0").join(counts, "rep", "left").filter(F.coalesce("n", F.lit(0)) <= self.k)
+        short = written(short.select("rep", F.lit(0).alias("depth")), "ann-short")
+        if short.isEmpty():
+            return found
+        return found.unionByName(self.found(short)).groupBy("rep", "found").agg(pair)
+
 
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
@@ -280,7 +318,8 @@ def nearest(
     - Rows that repeat a ``vec_id`` with the same vector are one row; with different
       vectors each counts, and the best one is listed.
     - Fewer than k candidates: all of them. Empty table: empty result.
-    - A dimension of at most ``min_candidates`` different vectors is scanned whole.
+    - A dimension of at most ``trees * (k + 1)``, or ``min_candidates``, different vectors
+      is scanned whole: that many rows are the least that its ranges must hold.
     """
     keyed = usable(vectors).distinct().select(
         "*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.size("v").alias("dim")
@@ -292,9 +331,7 @@ def nearest(
     ).withColumn("rep", F.xxhash64("h1", "h2"))
     classes = written(classes, "ann-classes")
     forest = _Forest(classes, k, trees, min_candidates, block_rows)
-    found = forest.found(forest.depths())
-    best = found.groupBy("rep", "found").agg(F.max("score").alias("score"))
-    best = best.join(classes.select(F.col("rep").alias("found"), "first", "h1", "h2"), "found")
+    best = forest.best().join(classes.select(F.col("rep").alias("found"), "first", "h1", "h2"), "found")
     ordered = Window.partitionBy("rep").orderBy(F.desc("score"), "first")
     best = best.withColumn("at", F.row_number().over(ordered)).filter(F.col("at") <= k + 1)
     small = Window.partitionBy("h1", "h2").orderBy("vec_id")

@@ -336,3 +336,39 @@ def test_one_of_each_keeps_unlike_texts_of_an_id(spark):
     kept = pairs(ngram_join.one_of_each(docs, 5, 80))
     want = [(None, texts[n]) for n in range(4)] + [(3, texts[4]), (7, texts[5]), (7, texts[6]), (None, ""), (7, " ")]
     assert ordered(kept) == ordered(want)
+
+
+def test_forest_strings_against_a_loop():
+    rng = np.random.default_rng(2)
+    projected = rng.standard_normal((6, 3, sum(ann_forest.AXES)))
+    codes, asking = ann_forest._strings(projected)
+    for row in range(6):
+        for tree in range(3):
+            at, symbols = 0, []
+            for axes in ann_forest.AXES:
+                signed = {2 * a + s: (1 if s else -1) * projected[row, tree, at + a] for a in range(axes) for s in (0, 1)}
+                symbols.append(sorted(signed, key=lambda x: -signed[x]))
+                at += axes
+            for probe in range(ann_forest.PROBES):
+                want = symbols[0][probe]
+                for width, ordered_symbols in zip(ann_forest.WIDTHS[1:], symbols[1:]):
+                    want = want * 2**width + ordered_symbols[0]
+                assert asking[row, probe * 3 + tree] == want
+            assert codes[row, tree] == asking[row, tree]
+    some = np.sort(codes[:, 0])
+    for left in ann_forest.LEFT:
+        low, high = ann_forest._ends(some, codes[:, 0], np.int64(left))
+        for code, a, b in zip(codes[:, 0], low, high):
+            assert b - a == sum(int(x) >> left == int(code) >> left for x in some)
+
+
+def test_forest_lists_stay_full_where_ranges_hold_too_little(spark):
+    # A query far from a tight crowd shares strings with nothing; copies of one row fill no list.
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.eye(12)[0] * 4 + 0.01 * rng.standard_normal(12)).tolist(), 0) for i in range(1, 900)]
+    rows += [(0, (-np.eye(12)[0] * 4).tolist(), 0)] + [(2000 + i, np.eye(12)[3].tolist(), 0) for i in range(5)]
+    got = defaultdict(list)
+    for r in ann_forest.nearest(vectors(spark, rows), every=100).collect():
+        got[r["query_id"]].append(r["rank"])
+    assert set(got) == {q for q, _, _ in rows if q % 100 == 0}
+    assert all(sorted(ranks) == list(range(1, 21)) for ranks in got.values())
