@@ -17,11 +17,14 @@ from pyspark.sql.window import Window
 
 from terrakit.functions.shapes import crosses, edges, segment_distance_sq
 from terrakit.operators.cells import around, cell_of, cells_over
+from terrakit.session import written
 
 EDGE_LIMIT = 20_000
 CROWD, FINE = 1_000, 8
 CELL = 1000.0
 SMALL = -1
+#: Nearest targets: a cell's parts are cells 2 ** STEP times narrower, or LEAF targets.
+STEP, LEAF = 3, 64
 #: Full cells are 1, 8 or 64 cells tall: lv is the number of binary digits left out.
 TALL = (0, 3, 6)
 c = F.col
@@ -331,48 +334,115 @@ def boundary_segments(rings: DataFrame, radius: Column) -> DataFrame:
     )
 
 
-def _levels(points: DataFrame, targets: DataFrame, finest: float) -> int:
-    """Levels until a cell is as wide as the points and targets lie apart."""
+def _levels(points: DataFrame, targets: DataFrame, finest: float) -> list[int]:
+    """Every ``STEP``-th level, up to one whose cells are as wide as the points and targets
+    lie apart."""
     both = points.select("e", "n").unionByName(targets.select("e", "n"))
     both = both.filter("abs(e) < double('inf') and abs(n) < double('inf')")
     row = both.agg((F.max("e") - F.min("e")).alias("w"), (F.max("n") - F.min("n")).alias("h")).first()
-    return 1 + max(0, math.ceil(math.log2(max(row["w"] or 0.0, row["h"] or 0.0, finest) / finest)))
+    most = max(0, math.ceil(math.log2(max(row["w"] or 0.0, row["h"] or 0.0, finest) / finest)))
+    return list(range(0, most + STEP, STEP))
+
+
+def _at_levels(e: Column, n: Column, levels: list[int], finest: float) -> Column:
+    return F.array(*[
+        F.struct(F.lit(k).alias("lv"), cell_of(e, finest * 2**k).alias("cx"), cell_of(n, finest * 2**k).alias("cy")) for k in levels
+    ])
+
+
+def _parts(leveled: DataFrame, cells: DataFrame) -> DataFrame:
+    """(lv, cx, cy, parts): what a cell is made of, each with its box.
+
+    Of a cell with at most ``LEAF`` targets the parts are the targets; of a larger one its
+    occupied cells a level below. The targets of a crowded finest cell are dealt out to
+    several rows.
+    """
+    key = ["lv", "cx", "cy"]
+    up = F.lit(STEP)
+    below = cells.select(
+        (c("lv") + up).alias("lv"), F.shiftright("cx", STEP).alias("cx"), F.shiftright("cy", STEP).alias("cy"),
+        F.struct("e0", "n0", "e1", "n1", c("lv").alias("lv"), c("cx").alias("cx"), c("cy").alias("cy")).alias("part"))
+    large = cells.filter((c("lv") > 0) & (c("count") > LEAF)).select(*key)
+    below = below.join(large, key).groupBy(*key).agg(F.collect_list("part").alias("parts"))
+    rest = cells.filter((c("lv") == 0) | (c("count") <= LEAF)).select(*key, F.ceil(c("count") / LEAF).alias("rows"))
+    one = F.struct(
+        c("te").alias("e0"), c("tn").alias("n0"), c("te").alias("e1"), c("tn").alias("n1"),
+        F.lit(None).cast("int").alias("lv"), F.lit(None).cast("bigint").alias("cx"), F.lit(None).cast("bigint").alias("cy"))
+    last = leveled.join(rest, key).groupBy(*key, F.pmod(F.xxhash64("te", "tn"), "rows").alias("row"))
+    return below.unionByName(last.agg(F.collect_list(one).alias("parts")).drop("row"))
+
+
+def _least_and_most(x: Column) -> tuple[Column, Column]:
+    """The least distance from (e, n) to a tight box, and one within which it has a target:
+    each side of the box touches one."""
+    e, n = c("e"), c("n")
+    least = F.hypot(F.greatest(x["e0"] - e, e - x["e1"], F.lit(0.0)), F.greatest(x["n0"] - n, n - x["n1"], F.lit(0.0)))
+    near_e, far_e = F.least(F.abs(e - x["e0"]), F.abs(e - x["e1"])), F.greatest(F.abs(e - x["e0"]), F.abs(e - x["e1"]))
+    near_n, far_n = F.least(F.abs(n - x["n0"]), F.abs(n - x["n1"])), F.greatest(F.abs(n - x["n0"]), F.abs(n - x["n1"]))
+    return least, F.least(F.hypot(near_e, far_n), F.hypot(far_e, near_n))
+
+
+def _descended(state: DataFrame, parts: DataFrame, level: int) -> DataFrame:
+    """One row (id, e, n, bound, distance, lv, cx, cy) for each part of a point's cells that
+    may hold its nearest target; a row without a cell where there is none."""
+    key = ["lv", "cx", "cy"]
+    seen = F.transform("parts", lambda x: F.struct(
+        _least_and_most(x)[0].alias("least"), _least_and_most(x)[1].alias("most"), x["lv"].alias("lv"), x["cx"].alias("cx"), x["cy"].alias("cy")))
+    rows = state.join(parts.filter(c("lv") == level), key, "left").select("id", "e", "n", "bound", "distance", seen.alias("seen"))
+    ends = F.array_min(F.transform(F.filter("seen", lambda x: x["lv"].isNull()), lambda x: x["least"]))
+    rows = rows.select(
+        "id", "e", "n", "seen", F.least("bound", F.array_min(F.transform("seen", lambda x: x["most"]))).alias("bound"),
+        F.least("distance", ends).alias("distance"))
+
+    def may_win(x: Column) -> Column:
+        return x["lv"].isNotNull() & (x["least"] <= c("bound") * (1 + 1e-12))
+
+    rows = rows.withColumn("seen", F.filter("seen", may_win)).groupBy("id", "e", "n").agg(
+        F.min("bound").alias("bound"), F.min("distance").alias("distance"), F.flatten(F.collect_list("seen")).alias("seen"))
+    rows = rows.withColumn("seen", F.filter("seen", may_win))
+    return rows.select("id", "e", "n", "bound", "distance", F.inline_outer("seen")).drop("least", "most")
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0) -> DataFrame:
     """(id, distance) from points (id, e, n) to the nearest target (e, n), exactly.
 
-    A pyramid of cells holds one target per cell and level. The closest of the targets in
-    a point's own cells, on every second level, is an upper bound; on a level whose cells
-    are at least that wide, every nearer target lies in the 3x3 neighbourhood. The top
-    level's cells are as wide as all the data, so every point has its target, however far.
+    Branch and bound over a pyramid of cells. The closest of one target each from a
+    point's own cells is a first bound; on a level whose cells are at least that wide,
+    every nearer target lies in the 3x3 neighbourhood. From there points descend: of the
+    occupied parts of their cells they keep those that are no farther than the bound, and
+    each part's box makes the bound smaller. The top level's cells are as wide as all the
+    data, so every point has its target, however far. Levels below which no cell has more
+    than ``LEAF`` targets take no round. No target: no row.
     """
     levels = _levels(points, targets, finest)
-    sizes = [finest * 2**k for k in range(levels)]
-
-    def at_levels(e, n, step):
-        return F.array(*[
-            F.struct(F.lit(k).alias("lv"), cell_of(e, s).alias("cx"), cell_of(n, s).alias("cy"))
-            for k, s in enumerate(sizes) if k % step == 0 or k == levels - 1
-        ])
-
     spots = targets.select(c("e").alias("te"), c("n").alias("tn")).distinct()
-    leveled = spots.select("te", "tn", F.inline(at_levels(c("te"), c("tn"), 1)))
-    one = leveled.groupBy("lv", "cx", "cy").agg(F.min(F.struct("te", "tn")).alias("t"))
-    gap = F.hypot(c("te") - c("e"), c("tn") - c("n"))
+    leveled = spots.select("te", "tn", F.inline(_at_levels(c("te"), c("tn"), levels, finest)))
+    cells = written(leveled.groupBy("lv", "cx", "cy").agg(
+        F.count(F.lit(1)).alias("count"), F.min("te").alias("e0"), F.min("tn").alias("n0"), F.max("te").alias("e1"),
+        F.max("tn").alias("n1"), F.min(F.struct("te", "tn")).alias("one")), "nearest-cells")
     bound = (
-        points.select("id", "e", "n", F.inline(at_levels(c("e"), c("n"), 2)))
-        .join(one, ["lv", "cx", "cy"], "left")
+        points.select("id", "e", "n", F.inline(_at_levels(c("e"), c("n"), levels, finest)))
+        .join(cells.select("lv", "cx", "cy", "one"), ["lv", "cx", "cy"], "left")
         .groupBy("id", "e", "n")
-        .agg(F.min(F.hypot(c("t.te") - c("e"), c("t.tn") - c("n"))).alias("bound"))
+        .agg(F.min(F.hypot(c("one.te") - c("e"), c("one.tn") - c("n"))).alias("bound"))
     )
     # Without any target in its own cells a point searches the top level.
-    level = F.coalesce(
-        F.when(c("bound").isNull(), F.lit(levels - 1)),
-        F.coalesce(*[F.when(c("bound") <= s, F.lit(k)) for k, s in enumerate(sizes)], F.lit(levels - 1)),
-    )
+    level = F.coalesce(*[F.when(c("bound") <= finest * 2**k, F.lit(k)) for k in levels], F.lit(levels[-1]))
     width = F.lit(finest) * F.pow(F.lit(2.0), c("lv"))
     search = bound.withColumn("lv", level).select(
-        "id", "e", "n", "lv", F.inline(around(F.floor(c("e") / width), F.floor(c("n") / width), "cx", "cy"))
-    )
-    return search.join(leveled, ["lv", "cx", "cy"]).groupBy("id").agg(F.min(gap).alias("distance"))
+        "id", "e", "n", "bound", F.lit(None).cast("double").alias("distance"), "lv",
+        F.inline(around(F.floor(c("e") / width), F.floor(c("n") / width), "cx", "cy")))
+    search = written(search, "nearest-search")
+    starts = {row["lv"] for row in search.select("lv").distinct().collect()}
+    split = {row["lv"] for row in cells.filter((c("count") > LEAF) & (c("lv") > 0)).select("lv").distinct().collect()}
+    parts = written(_parts(leveled, cells), "nearest-parts")
+    state = None
+    for k in reversed(levels):
+        fresh = search.filter(c("lv") == k)
+        if k in starts:
+            state = fresh if state is None else state.unionByName(fresh)
+        if state is not None and (k in starts or k + STEP in split):
+            state = _descended(state, parts, k)
+    if state is None:
+        return points.select("id", F.lit(0.0).alias("distance")).limit(0)
+    return state.filter("distance is not null").groupBy("id").agg(F.min("distance").alias("distance"))

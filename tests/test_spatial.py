@@ -90,6 +90,42 @@ def test_nearest_is_exact(spark):
         assert got[i] == pytest.approx(min(math.hypot(p[0] - e, p[1] - n) for e, n in targets))
 
 
+@pytest.mark.parametrize("points_at", ["far", "beside"])
+def test_nearest_in_a_cluster(spark, points_at):
+    # All targets in one cell of 1 km, three of them in one of 1 m; copies; points on targets.
+    rng = random.Random(3)
+    targets = [(rng.uniform(0, 1000), rng.uniform(0, 1000)) for _ in range(3000)] + [(500.0 + i / 200, 500.5) for i in range(150)]
+    away = 100_000.0 if points_at == "far" else 300.0
+    spots = [(away + rng.uniform(0, 1000), rng.uniform(-500, 1500)) for _ in range(120)] + targets[:5] + [(500.2, 500.4)]
+    df = spark.createDataFrame(targets + targets[:50], "e double, n double")
+    seen = []
+    descended = spatial._descended
+
+    def counted(state, parts, level):
+        out = descended(state, parts, level)
+        seen.append(out.count())
+        return out
+
+    spatial._descended = counted
+    try:
+        got = {r.id: r.distance for r in spatial.nearest_distance(points_df(spark, spots), df).collect()}
+    finally:
+        spatial._descended = descended
+    assert len(got) == len(spots)
+    for i, p in enumerate(spots):
+        assert got[i] == min(math.hypot(p[0] - e, p[1] - n) for e, n in targets) or got[i] == pytest.approx(
+            min(math.hypot(p[0] - e, p[1] - n) for e, n in targets), rel=1e-15)
+    assert max(seen) <= 12 * len(spots)
+
+
+def test_nearest_without_rows(spark):
+    none = spark.createDataFrame([], "e double, n double")
+    some = spark.createDataFrame([(1.0, 2.0)], "e double, n double")
+    assert spatial.nearest_distance(points_df(spark, [(0.0, 0.0)]), none).count() == 0
+    assert spatial.nearest_distance(points_df(spark, [(0.0, 0.0)]).limit(0), some).count() == 0
+    assert spatial.nearest_distance(points_df(spark, [(1.0, 2.0)]), some).first().distance == 0.0
+
+
 @pytest.mark.parametrize("crowd", [0, 1000])
 def test_corridor_has_round_ends_and_single_points_are_discs(spark, crowd):
     table = spark.createDataFrame(
