@@ -351,7 +351,8 @@ def _at_levels(e: Column, n: Column, levels: list[int], finest: float) -> Column
 
 
 def _parts(leveled: DataFrame, cells: DataFrame) -> DataFrame:
-    """(lv, cx, cy, parts): what a cell is made of, each with its box.
+    """(lv, cx, cy, parts, e0, n0, e1, n1): what a cell is made of, each with its box, and
+    the box around these.
 
     Of a cell with at most ``LEAF`` targets the parts are the targets; of a larger one its
     occupied cells a level below. The targets of a crowded finest cell are dealt out to
@@ -363,13 +364,14 @@ def _parts(leveled: DataFrame, cells: DataFrame) -> DataFrame:
         (c("lv") + up).alias("lv"), F.shiftright("cx", STEP).alias("cx"), F.shiftright("cy", STEP).alias("cy"),
         F.struct("e0", "n0", "e1", "n1", c("lv").alias("lv"), c("cx").alias("cx"), c("cy").alias("cy")).alias("part"))
     large = cells.filter((c("lv") > 0) & (c("count") > LEAF)).select(*key)
-    below = below.join(large, key).groupBy(*key).agg(F.collect_list("part").alias("parts"))
+    around_all = [F.min("part.e0").alias("e0"), F.min("part.n0").alias("n0"), F.max("part.e1").alias("e1"), F.max("part.n1").alias("n1")]
+    below = below.join(large, key).groupBy(*key).agg(F.collect_list("part").alias("parts"), *around_all)
     rest = cells.filter((c("lv") == 0) | (c("count") <= LEAF)).select(*key, F.ceil(c("count") / LEAF).alias("rows"))
     one = F.struct(
         c("te").alias("e0"), c("tn").alias("n0"), c("te").alias("e1"), c("tn").alias("n1"),
         F.lit(None).cast("int").alias("lv"), F.lit(None).cast("bigint").alias("cx"), F.lit(None).cast("bigint").alias("cy"))
-    last = leveled.join(rest, key).groupBy(*key, F.pmod(F.xxhash64("te", "tn"), "rows").alias("row"))
-    return below.unionByName(last.agg(F.collect_list(one).alias("parts")).drop("row"))
+    last = leveled.join(rest, key).withColumn("part", one).groupBy(*key, F.pmod(F.xxhash64("te", "tn"), "rows").alias("row"))
+    return below.unionByName(last.agg(F.collect_list("part").alias("parts"), *around_all).drop("row"))
 
 
 def _least_and_most(x: Column) -> tuple[Column, Column]:
@@ -382,25 +384,27 @@ def _least_and_most(x: Column) -> tuple[Column, Column]:
     return least, F.least(F.hypot(near_e, far_n), F.hypot(far_e, near_n))
 
 
-def _descended(state: DataFrame, parts: DataFrame, level: int) -> DataFrame:
+def _descended(state: DataFrame, parts: DataFrame) -> DataFrame:
     """One row (id, e, n, bound, distance, lv, cx, cy) for each part of a point's cells that
-    may hold its nearest target; a row without a cell where there is none."""
+    may hold its nearest target; a row with a cell of no level where there is none."""
     key = ["lv", "cx", "cy"]
-    seen = F.transform("parts", lambda x: F.struct(
-        _least_and_most(x)[0].alias("least"), _least_and_most(x)[1].alias("most"), x["lv"].alias("lv"), x["cx"].alias("cx"), x["cy"].alias("cy")))
-    rows = state.join(parts.filter(c("lv") == level), key, "left").select("id", "e", "n", "bound", "distance", seen.alias("seen"))
-    ends = F.array_min(F.transform(F.filter("seen", lambda x: x["lv"].isNull()), lambda x: x["least"]))
-    rows = rows.select(
-        "id", "e", "n", "seen", F.least("bound", F.array_min(F.transform("seen", lambda x: x["most"]))).alias("bound"),
-        F.least("distance", ends).alias("distance"))
-
-    def may_win(x: Column) -> Column:
-        return x["lv"].isNotNull() & (x["least"] <= c("bound") * (1 + 1e-12))
-
-    rows = rows.withColumn("seen", F.filter("seen", may_win)).groupBy("id", "e", "n").agg(
-        F.min("bound").alias("bound"), F.min("distance").alias("distance"), F.flatten(F.collect_list("seen")).alias("seen"))
-    rows = rows.withColumn("seen", F.filter("seen", may_win))
-    return rows.select("id", "e", "n", "bound", "distance", F.inline_outer("seen")).drop("least", "most")
+    reach = c("bound") * (1 + 1e-12)
+    box = F.struct("e0", "n0", "e1", "n1")
+    rows = state.join(parts, key, "left").select(
+        "id", "e", "n", "bound", "distance", F.posexplode_outer(F.when(_least_and_most(box)[0] <= reach, c("parts"))).alias("at", "x"))
+    least, most = _least_and_most(c("x"))
+    rows = rows.select("id", "e", "n", "bound", "distance", "at", "x", least.alias("least"), most.alias("most"))
+    # The first part stands for its cell, so that no point is lost.
+    rows = rows.filter((c("least") <= reach) | (F.coalesce("at", F.lit(0)) == 0))
+    cell = F.struct("least", c("x.lv").alias("lv"), c("x.cx").alias("cx"), c("x.cy").alias("cy"))
+    rows = rows.groupBy("id", "e", "n").agg(
+        F.min(F.least("bound", "most")).alias("bound"),
+        F.min(F.least("distance", F.when(c("x").isNotNull() & c("x.lv").isNull(), c("least")))).alias("distance"),
+        F.collect_list(F.when(c("x.lv").isNotNull(), cell)).alias("cells"))
+    rows = rows.withColumn("cells", F.filter("cells", lambda x: x["least"] <= reach))
+    rows = rows.select("id", "e", "n", "bound", "distance", F.inline_outer("cells")).drop("least")
+    return rows.withColumns({
+        "lv": F.coalesce("lv", F.lit(-1)), "cx": F.coalesce("cx", F.xxhash64("e", "n")), "cy": F.coalesce("cy", F.lit(0))})
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0) -> DataFrame:
@@ -411,8 +415,8 @@ def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0)
     every nearer target lies in the 3x3 neighbourhood. From there points descend: of the
     occupied parts of their cells they keep those that are no farther than the bound, and
     each part's box makes the bound smaller. The top level's cells are as wide as all the
-    data, so every point has its target, however far. Levels below which no cell has more
-    than ``LEAF`` targets take no round. No target: no row.
+    data, so every point has its target, however far. All levels descend in one round; there
+    are as many as cells of more than ``LEAF`` targets lie in each other. No target: no row.
     """
     levels = _levels(points, targets, finest)
     spots = targets.select(c("e").alias("te"), c("n").alias("tn")).distinct()
@@ -430,19 +434,14 @@ def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0)
     level = F.coalesce(*[F.when(c("bound") <= finest * 2**k, F.lit(k)) for k in levels], F.lit(levels[-1]))
     width = F.lit(finest) * F.pow(F.lit(2.0), c("lv"))
     search = bound.withColumn("lv", level).select(
-        "id", "e", "n", "bound", F.lit(None).cast("double").alias("distance"), "lv",
+        "id", "e", "n", F.coalesce("bound", F.lit(math.inf)).alias("bound"), F.lit(None).cast("double").alias("distance"), "lv",
         F.inline(around(F.floor(c("e") / width), F.floor(c("n") / width), "cx", "cy")))
     search = written(search, "nearest-search")
     starts = {row["lv"] for row in search.select("lv").distinct().collect()}
     split = {row["lv"] for row in cells.filter((c("count") > LEAF) & (c("lv") > 0)).select("lv").distinct().collect()}
     parts = written(_parts(leveled, cells), "nearest-parts")
-    state = None
-    for k in reversed(levels):
-        fresh = search.filter(c("lv") == k)
-        if k in starts:
-            state = fresh if state is None else state.unionByName(fresh)
-        if state is not None and (k in starts or k + STEP in split):
-            state = _descended(state, parts, k)
-    if state is None:
-        return points.select("id", F.lit(0.0).alias("distance")).limit(0)
+    state = search
+    while starts:
+        state = _descended(state, parts)
+        starts = {k - STEP for k in starts & split}
     return state.filter("distance is not null").groupBy("id").agg(F.min("distance").alias("distance"))

@@ -101,8 +101,8 @@ def test_nearest_in_a_cluster(spark, points_at):
     seen = []
     descended = spatial._descended
 
-    def counted(state, parts, level):
-        out = descended(state, parts, level)
+    def counted(state, parts):
+        out = descended(state, parts)
         seen.append(out.count())
         return out
 
