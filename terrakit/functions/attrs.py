@@ -117,19 +117,20 @@ def image_file_name(name: Column, exact: Column, several: Column) -> Column:
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact value as printf does;
+    ``format_string`` rounds the shortest text of the number once more."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def tile_request(layer: str, west, south, east, north, width, height) -> Column:
     """Picture request for one tile; the box is latitude first."""
     head = (
         f"{WMS_ENDPOINT}?SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS={layer}"
         "&STYLES=&CRS=EPSG:4326&BBOX="
     )
-    return F.concat(
-        F.lit(head),
-        F.format_string(
-            "%.8f,%.8f,%.8f,%.8f&WIDTH=%d&HEIGHT=%d&FORMAT=image/jpeg",
-            south, west, north, east, width, height,
-        ),
-    )
+    box = F.concat_ws(",", *[fixed(v, 8) for v in (south, west, north, east)])
+    return F.concat(F.lit(head), box, F.format_string("&WIDTH=%d&HEIGHT=%d&FORMAT=image/jpeg", width, height))
 
 
 def multihash_reason(text: Column) -> Column:
