@@ -7,6 +7,9 @@ addresses, wrist. A sample adds actual_bytes.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,18 +70,27 @@ def terms(get=_get) -> list[Column]:
 def adjustment(get=_get) -> Column:
     """Bytes of slope areas, roads and addresses: added to a prediction, taken off an
     observation before fitting."""
+    slope, roads, doors = adjustments(get)
+    return slope + roads + doors
+
+
+def adjustments(get=_get) -> list[Column]:
+    """The parts of the adjustment: slope areas, roads, addresses."""
     style = F.when(get("wrist"), F.lit(WRIST_SLOPE_FACTOR)).otherwise(F.lit(1.0))
     slope = F.when(get("slope_classes"), get("area_km2") * SLOPE_BYTES_PER_KM2 * style).otherwise(0.0)
     roads = F.when(get("routing"), get("transport") * ROUTING_BYTES_PER_TRANSPORT).otherwise(0.0)
     doors = F.when(get("addresses"), get("built") * ADDRESSES_PER_BUILDING * ADDRESS_BYTES).otherwise(0.0)
-    return slope + roads + doors
+    return [slope, roads, doors]
 
 
 def predict(coefficients: list[float] | None = None, get=_get) -> Column:
-    """Predicted bytes, never negative, truncated."""
-    total = adjustment(get)
-    for x, b in zip(terms(get), coefficients or PRIOR):
-        total = total + x * float(b)
+    """Predicted bytes, never negative, truncated.
+
+    The model's terms come first and the adjustments after them, one by one: truncation
+    shows in which order doubles were added.
+    """
+    products = [x * float(b) for x, b in zip(terms(get), coefficients or PRIOR)]
+    total = functools.reduce(operator.add, [*products, *adjustments(get)])
     return F.floor(F.greatest(total, F.lit(0.0))).cast("bigint")
 
 
