@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrakit.functions.boxes import box_meets
 from terrakit.operators.cells import cell_of, cells_over
+from terrakit.session import dealt
 
 CELL = 2_000.0
 TOP = 9
@@ -78,7 +79,7 @@ def _core_counts(features: DataFrame, areas: DataFrame, frame: tuple[int, int, i
         .select("area_id", "kind", *keys[:2], F.inline(_blocks_up_to(c("y"), high, "ly", "ky")))
     )
     signed = F.element_at(F.array(c("n0"), -c("n1"), -c("n2"), c("n3")), c("kind") + 1)
-    return asked.join(sums, keys).groupBy("area_id", "layer").agg(F.sum(signed).alias("n"))
+    return asked.join(sums.hint("merge"), keys).groupBy("area_id", "layer").agg(F.sum(signed).alias("n"))
 
 
 def _rim_counts(features: DataFrame, areas: DataFrame, size: float) -> DataFrame:
@@ -116,7 +117,7 @@ def _rim_counts(features: DataFrame, areas: DataFrame, size: float) -> DataFrame
         & (c("y0") < c("a_y1")) & (c("y1") > c("a_y0")) & (c("a_y1") - c("a_y0") > 1)
     )
     meets = box_meets(*[c(b) for b in BOX], *[c(f"a_{b}") for b in BOX])
-    return left.join(right, ["lv", "cx", "cy"]).filter(meets & corner & ~core).groupBy("area_id", "layer").agg(F.count(F.lit(1)).alias("n"))
+    return left.join(right.hint("merge"), ["lv", "cx", "cy"]).filter(meets & corner & ~core).groupBy("area_id", "layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def counts_in_areas(features: DataFrame, areas: DataFrame, size: float = CELL) -> DataFrame:
@@ -126,7 +127,8 @@ def counts_in_areas(features: DataFrame, areas: DataFrame, size: float = CELL) -
     its rim are compared one by one. Rows without a whole box count nowhere; a pair with
     no feature has no row. An empty table of areas gives no row.
     """
-    ranged, asked = _ranges(features, size), _ranges(areas, size)
+    # Neither table shows its size to the engine before its cells are made.
+    ranged, asked = dealt(_ranges(features, size)), dealt(_ranges(areas, size))
     frame = asked.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
     if frame[0] is None:
         return _rim_counts(ranged, asked, size)
@@ -141,7 +143,7 @@ def group_counts(counts: DataFrame, areas: DataFrame, specs: DataFrame, presets:
     reads = areas.select("area_id", "preset", "excluded").join(allowed, "preset").join(
         specs.select("layer", "needs", "grp"), "needs"
     ).filter(~F.array_contains("excluded", c("layer"))).select("area_id", "layer", "grp")
-    return reads.join(counts, ["area_id", "layer"], "left").groupBy("area_id", "grp").agg(
+    return reads.join(counts.hint("merge"), ["area_id", "layer"], "left").groupBy("area_id", "grp").agg(
         F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 

@@ -63,6 +63,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out to as many tasks as shuffles have, before a step makes many of each.
+
+    The number is given, so that the engine, which sees the few rows and not what will
+    come of them, does not put them back into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from the files."""
     spark = df.sparkSession
