@@ -9,6 +9,7 @@ from terrakit.operators import spatial
 from terrakit.plans import areas, devices, layers
 from terrakit.queries.geometry import AREA_SQL, LAT, LON, area_table, rings
 from terrakit.registry import query
+from terrakit.session import dealt
 
 c = F.col
 
@@ -252,8 +253,8 @@ def _(t):
     extents, _, segs = corridor_areas(t, 1000.0)
     west, south, east, north = projection.box_to_wgs84(c("min_e"), c("min_n"), c("max_e"), c("max_n"))
     grid = F.sequence(F.lit(0), F.lit(3))
-    tiles = (extents.select("area_id", west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"))
-             .withColumn("col", F.explode(grid)).withColumn("row", F.explode(grid)))
+    frames = extents.select("area_id", west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"))
+    tiles = (dealt(frames).withColumn("col", F.explode(grid)).withColumn("row", F.explode(grid)))
     w, s = (c("e") - c("w")) / 4, (c("n") - c("s")) / 4
     tiles = tiles.select("area_id", "col", "row", (c("w") + w * c("col")).alias("west"), (c("s") + s * c("row")).alias("south"),
                          (c("w") + w * (c("col") + 1)).alias("east"), (c("s") + s * (c("row") + 1)).alias("north"))
