@@ -173,7 +173,7 @@ def _(t):
 def _(t):
     extents, rings, segs = corridor_areas(t, 3000.0)
     tiles = coverage.cells_needed(extents, rings, segs).groupBy("area_id").agg(F.count(F.lit(1)).alias("k"))
-    joined = extents.join(tiles, "area_id", "left")
+    joined = extents.join(tiles.hint("merge"), "area_id", "left")
     return joined.select("area_id", coverage.disk_need(F.coalesce("k", F.lit(0)), c("area_id") % 4 != 0).alias("bytes"))
 
 
