@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrakit.functions import boxes, shapes
+from terrakit.functions.attrs import fixed
 from terrakit.functions.projection import to_wgs84
 from terrakit.plans.units import selectable_units
+from terrakit.session import dealt
 
 MASKED = ["corridor", "polygon", "circle", "adminUnits"]
 
@@ -104,7 +106,7 @@ def unit_masks(areas: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame
 def _ring_text(ring: Column) -> Column:
     def position(p):
         lon, lat = to_wgs84(p["e"], p["n"])
-        return F.concat(F.lit("["), F.format_string("%.7f", lon), F.lit(","), F.format_string("%.7f", lat), F.lit("]"))
+        return F.concat(F.lit("["), fixed(lon, 7), F.lit(","), fixed(lat, 7), F.lit("]"))
 
     return F.concat(F.lit("["), F.array_join(F.transform(ring, position), ","), F.lit("]"))
 
@@ -131,4 +133,4 @@ def to_geojson(areas: DataFrame) -> DataFrame:
         F.lit('{"type":"Feature","properties":{"kind":"'), F.col("kind"),
         F.lit('"},"geometry":{"type":"Polygon","coordinates":['), _ring_text(F.col("ring")), F.lit("]}}"),
     )
-    return areas.withColumn("ring", outline()).select("area_id", "part", text.alias("geojson"))
+    return dealt(areas).withColumn("ring", outline()).select("area_id", "part", text.alias("geojson"))

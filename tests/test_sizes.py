@@ -94,3 +94,13 @@ def test_fixed_rounds_by_the_exact_value(spark):
     numbers = [47.111322395, 8.763737185, 46.000000005, -0.000000015, 7.5, 1234.123456785, 2.5 / 2**9]
     rows = spark.createDataFrame([(x,) for x in numbers], "x double").select(attrs.fixed(F.col("x"), 8).alias("t")).collect()
     assert [r.t for r in rows] == [f"{x:.8f}" for x in numbers]
+
+
+def test_areas_are_dealt_out_before_their_text(spark):
+    """One small file of areas is one task's input, but its rings are many tasks' work."""
+    from terrakit.plans import areas
+    from terrakit.queries.geometry import area_table
+    from terrakit.registry import Tables
+
+    text = areas.to_geojson(area_table(Tables(spark, SF)))
+    assert text.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
