@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrakit.functions import projection
 from terrakit.queries.geometry import rings
 from terrakit.registry import query
-from terrakit.session import shared_path
+from terrakit.session import dealt, shared_path
 
 c = F.col
 ONE_LINE = "array(named_struct('poly', 0, 'ring', 0, 'pts', array(named_struct('e', ax, 'n', ay), named_struct('e', bx, 'n', b_y))))"
@@ -79,7 +79,7 @@ def _(t):
 def _(t):
     from terrakit.sources import encode, shapefile
     folder = shared_path(t.spark, "shp")
-    encode.write_shapes(t.b_segments.selectExpr("'road ' || sid name", "cast(sid as string) nr", "'LineString' kind", f"{ONE_LINE} parts"), folder)
+    encode.write_shapes(dealt(t.b_segments).selectExpr("'road ' || sid name", "cast(sid as string) nr", "'LineString' kind", f"{ONE_LINE} parts"), folder)
     pts = c("parts")[0]["pts"]
     return shapefile.read_shapes(t.spark, folder, BOX).select(
         "kind", "name", "nr", pts[0]["e"].alias("first_e"), F.element_at(pts, -1)["n"].alias("last_n"))
@@ -107,22 +107,10 @@ def _(t):
 def _(t):
     from terrakit.sources import addresses, names
     path = shared_path(t.spark, "names")
-    line = F.concat_ws(";", c("uuid").cast("string"), c("name"), c("code"))
-    t.b_names.select(line.alias("value")).write.text(path)
-    # Each file needs its own header line, so the lines are written behind one.
-    body = t.spark.read.text(path)
-    with_head = shared_path(t.spark, "names")
-
-    def headed(frames):
-        first = True
-        for frame in frames:
-            if first:
-                yield frame.iloc[:0].assign(value=[]).reindex([0]).assign(value=addresses.BOM + "UUID;NAME;SPRACHCODE")
-                first = False
-            yield frame
-
-    body.mapInPandas(headed, "value string").write.text(with_head)
-    read = names.read_names(t.spark, with_head)
+    # A header line in each file, and the lines as they are: nothing quoted, nothing trimmed.
+    t.b_names.select("uuid", "name", "code").toDF(addresses.BOM + "UUID", "NAME", "SPRACHCODE").write.csv(
+        path, sep=";", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = names.read_names(t.spark, path)
     return names.first_names(names.in_language(read, "french"), ["file", "block", "line"]).select(
         c("uuid").cast("bigint").alias("uuid"), "name")
 
