@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from terrakit.functions.shapes import crosses, edges, segment_distance_sq
 from terrakit.operators.cells import around, cell_of, cells_over
-from terrakit.session import written
+from terrakit.session import dealt, written
 
 EDGE_LIMIT = 20_000
 CROWD, FINE = 1_000, 8
@@ -66,8 +66,8 @@ def _cells(rows: DataFrame, keys: list[str], crowd: int | None) -> tuple[DataFra
     full = stats.filter(c("full") & (c("m") > 0)).select(*where, F.lit(True).alias("full"))
     quiet = stats.filter(~c("full") & (c("m") <= most)).select(*where)
     crowded = stats.filter(~c("full") & (c("m") > most)).select(*where)
-    part = rows.join(quiet, where, "left_semi").select(*where, "full", "ax", "ay", "bx", "by", "r2")
-    return part.unionByName(full, allowMissingColumns=True), crowded, rows.join(crowded, where, "left_semi")
+    part = rows.join(quiet.hint("merge"), where, "left_semi").select(*where, "full", "ax", "ay", "bx", "by", "r2")
+    return part.unionByName(full, allowMissingColumns=True), crowded, rows.join(crowded.hint("merge"), where, "left_semi")
 
 
 def near_cells(
@@ -203,7 +203,7 @@ def polygon_cells(rings: DataFrame, size: float = CELL, edge_limit: int = EDGE_L
     where = [*column, "cy"]
     rows = _edge_rows(rings, size)
     crowded = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("m")).filter(c("m") > edge_limit).select(*where, F.lit(True).alias("heavy"))
-    local = rows.join(crowded, where, "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    local = rows.join(crowded.hint("merge"), where, "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     edge = F.struct("ae", "an", "be", "bn", "rn")
     events = local.select(
         *where, "ring", F.lit(0).alias("met"), (c("row_x") > c("cy")).cast("int").alias("above"), "heavy",
@@ -270,7 +270,8 @@ def _found(points: DataFrame, cells: DataFrame, size: float, levels: tuple[int,
     sure = F.when(c("full"), True).when(c("r2").isNotNull(), _near_test()).when(c("heavy"), False).otherwise(_inside_test())
     # Of a heavy cell a row tells one edge, or the parity of each ring there.
     part = F.when(c("heavy"), F.transform("rings", lambda r: F.struct(r["ring"].alias("ring"), _odd(r).cast("int").alias("odd"))))
-    hits = placed.join(cells.withColumnsRenamed(names), match).select("mask_id", "poly", "id", sure.alias("sure"), part.alias("part"))
+    # By its input a table looks small, however many cells come of it: never sent to all tasks.
+    hits = placed.join(cells.withColumnsRenamed(names).hint("merge"), match).select("mask_id", "poly", "id", sure.alias("sure"), part.alias("part"))
     hits = hits.filter("sure or exists(part, x -> x.odd = 1)").repartition("mask_id", "id")
     hits = hits.select("mask_id", "poly", "id", "sure", F.explode_outer("part").alias("x"))
     by_ring = hits.groupBy("mask_id", "id", "poly", c("x.ring").alias("ring")).agg(
@@ -288,9 +289,9 @@ def _mask_cells(rings: DataFrame | None, segments: DataFrame | None, size: float
     names = [k.strip().split(" ", 1) for k in kinds.split(", ")]
     tables = []
     if rings is not None:
-        tables.append(polygon_cells(rings, size, edge_limit))
+        tables.append(polygon_cells(dealt(rings), size, edge_limit))
     if segments is not None:
-        tables.append(_segment_cells(segments, ["mask_id"], c("radius"), size, crowd))
+        tables.append(_segment_cells(dealt(segments), ["mask_id"], c("radius"), size, crowd))
     out = None
     for table in tables:
         table = table.select("mask_id", "lv", "kx", "ky", *[
