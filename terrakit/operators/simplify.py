@@ -4,7 +4,7 @@ from the chord (as a segment) between its kept neighbours.
 The work is level by level: all open chords of all lines are measured at once, the chord
 with a far vertex is split there, the others are finished. Inside a task this is numpy
 over one Arrow batch; for lines too long for one row the same rounds run as DataFrame
-jobs. Both give the same vertices.
+jobs until the chords are short enough. Both give the same vertices.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from terrakit.functions.shapes import segment_distance_sq
 from terrakit.session import cut_lineage
 
-ROW_LIMIT = 50_000
+#: Vertices of a line or chord in one array row. Lines that repeat a pattern are split at its
+#: first repeat, one round each: in numpy 400,000 vertices of such a line take seconds.
+ROW_LIMIT = 500_000
 
 
 def kept_vertices(e, n, first, last, tolerance):
@@ -93,18 +95,19 @@ def simplify_column(df: DataFrame, column: str, tolerance) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def _by_rounds(points: DataFrame, key: str, tolerance: float) -> DataFrame:
+def _by_rounds(points: DataFrame, key: str, tolerance: float, row_limit: int) -> DataFrame:
     """The same rounds as DataFrame jobs. Every open vertex carries its chord; a round is
-    one partial aggregation per chord and one join with the chords that split."""
+    one partial aggregation per chord and one join with the chords that split. Chords with
+    up to ``row_limit`` vertices inside leave the rounds and become one array row each."""
+    c = F.col
     ends = points.groupBy(key).agg(
         F.min("i").alias("lo"), F.max("i").alias("hi"),
         F.min_by(F.struct("e", "n"), "i").alias("a"), F.max_by(F.struct("e", "n"), "i").alias("b"),
     )
     joined = points.join(ends, key)
     done = joined.filter("i = lo or i = hi").select(key, "i")
-    live = cut_lineage(joined.filter("i > lo and i < hi"))
+    live = cut_lineage(joined.filter("i > lo and i < hi").select(key, "i", "e", "n", "lo", "hi", "a", "b"))
     while not live.isEmpty():
-        c = F.col
         gap = F.sqrt(segment_distance_sq(c("e"), c("n"), c("a.e"), c("a.n"), c("b.e"), c("b.n")))
         best = live.groupBy(key, "lo").agg(
             F.max_by(F.struct("i", "e", "n"), F.struct(gap, -c("i"))).alias("far"), F.max(gap).alias("top")
@@ -113,7 +116,7 @@ def _by_rounds(points: DataFrame, key: str, tolerance: float) -> DataFrame:
         done = done.unionByName(moved.filter("i = far.i").select(key, "i"))
         left = c("i") < c("far.i")
         at = F.struct("far.e", "far.n")
-        live = cut_lineage(
+        split = cut_lineage(
             moved.filter("i <> far.i").select(
                 key, "i", "e", "n",
                 F.when(left, c("lo")).otherwise(c("far.i")).alias("lo"),
@@ -122,7 +125,14 @@ def _by_rounds(points: DataFrame, key: str, tolerance: float) -> DataFrame:
                 F.when(left, at).otherwise(c("b")).alias("b"),
             )
         )
-        done = cut_lineage(done)
+        large = split.groupBy(key, "lo").agg(F.count(F.lit(1)).alias("inside")).filter(c("inside") > row_limit).select(key, "lo")
+        chords = split.join(large, [key, "lo"], "left_anti").groupBy(key, "lo", "hi", "a", "b").agg(
+            F.array_sort(F.collect_list(F.struct("i", "e", "n"))).alias("pts"))
+        first, last = (F.array(F.struct(c(k).alias("i"), c(f"{v}.e").alias("e"), c(f"{v}.n").alias("n"))) for k, v in (("lo", "a"), ("hi", "b")))
+        chords = chords.select(key, F.concat(first, "pts", last).alias("pts"))
+        short = simplify_column(chords, "pts", tolerance).select(key, F.inline("pts")).select(key, "i")
+        done = cut_lineage(done.unionByName(short))
+        live = cut_lineage(split.join(large, [key, "lo"], "left_semi").select(*live.columns))
     return points.join(done, [key, "i"], "left_semi")
 
 
@@ -143,4 +153,4 @@ def simplify_points(
     if not has_long:
         return out
     rest = base.join(long_keys, key, "left_semi")
-    return out.unionByName(_by_rounds(rest, key, tolerance))
+    return out.unionByName(_by_rounds(rest, key, tolerance, row_limit))

@@ -141,6 +141,21 @@ def test_short_and_long_lines_simplify_alike(spark):
             assert [(r.e, r.n) for r in sorted(got, key=lambda r: r.i) if r.line == k] == want[k]
 
 
+def test_long_rings_of_one_pattern_take_few_rounds(spark, monkeypatch):
+    """There and back along 40 equal waves: peeled off a wave a round they took over 40 rounds."""
+    side = [(float(20 * (k % 3)), float(k)) for k in range(121)]
+    ring = side + [(e + 100.0, n) for e, n in reversed(side)] + side[:1]
+    calls = []
+    monkeypatch.setattr(simplify, "cut_lineage", lambda df: calls.append(1) or df.checkpoint())
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getCheckpointDir() or "/tmp/spark-checkpoints")
+    points = spark.createDataFrame([(1, i, e, n) for i, (e, n) in enumerate(ring)], "line long, i long, e double, n double")
+    got = sorted(simplify.simplify_points(points, "line", 8.0, row_limit=150).collect(), key=lambda r: r.i)
+    flat = np.array(ring)
+    keep = simplify.kept_vertices(flat[:, 0], flat[:, 1], np.array([0]), np.array([len(ring) - 1]), np.array([8.0]))
+    assert [r.i for r in got] == np.flatnonzero(keep).tolist()
+    assert len(calls) <= 10
+
+
 def test_simplify_column_keeps_other_columns_and_nulls(spark):
     df = spark.createDataFrame(
         [(1, [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0)], 1.0), (2, None, 1.0), (3, [(0.0, 0.0), (1.0, 5.0), (2.0, 0.0)], 0.0)],
