@@ -12,11 +12,14 @@ from terrakit.streaming import calibration, stage_clock
 
 c = F.col
 
+TRIGGER_BYTES = str(128 << 20)
+
 
 def updates(t):
-    """The events as a stream of build updates, a bounded number of files per trigger."""
+    """The events as a stream of build updates, a bounded size per trigger: with a number of
+    files instead, triggers grow with the files, and each writes the states it meets anew."""
     schema = t.events.schema
-    raw = (t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    raw = (t.spark.readStream.schema(schema).option("maxBytesPerTrigger", TRIGGER_BYTES)
            .parquet(f"{t.sf_dir}/events.parque[t]"))  # a pattern may be a file or a folder, a plain path a folder only
     return raw.select(c("user_id").alias("run"), c("event_type").alias("stage"), "ts", "event_id")
 

@@ -1,10 +1,12 @@
 """Build updates as streams: stage durations and a progress throttle.
 
-Updates may come in any order and in any trigger. Each run's updates wait in its state
-until the watermark has passed them and are looked at in time order then, so the result
-does not depend on how the source deals them out. ``lateness`` is how far an update may
-come behind the latest one seen; the engine drops what comes later still and counts it in
-the progress of the query. A state holds a run's updates of one lateness at most.
+Updates may come in any order and in any trigger. Each run's updates wait in state until
+the watermark has passed them and are looked at in time order then, so the result does
+not depend on how the source deals them out. ``lateness`` is how far an update may come
+behind the latest one seen; the engine drops what comes later still and counts it in the
+progress of the query. Runs are dealt out to ``buckets`` states, as the engine takes some
+milliseconds for a state whatever it holds; a state holds its runs' updates of one
+lateness at most.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FINISHED = "finished"
 SPANS = "run long, k long, stage string, since timestamp, until timestamp, seconds double"
-WAITING = "us array<long>, pos array<long>, names array<string>"
-CLOCK = "k long, stage string, since long, " + WAITING
+WAITING = "runs array<long>, us array<long>, pos array<long>, names array<string>, clocked array<long>, "
+CLOCK = WAITING + "k array<long>, stage array<string>, since array<long>"
 PROGRESS = "run long, stage string, ts timestamp, changed boolean"
-THROTTLE = "stage string, shown long, " + WAITING
+THROTTLE = WAITING + "stage array<string>, shown array<long>"
+BUCKETS = 1024
 INTERVAL_US = 250_000
 LATENESS = "1 hour"
+LAST = np.iinfo(np.int64).max
 
 #: Event time of the row that ends a replay; later than any update.
 CLOSING = "2190-01-01"
@@ -32,32 +36,57 @@ CLOSING = "2190-01-01"
 SHIFT_US = 70 * 365 * 86_400 * 1_000_000
 
 
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us - SHIFT_US, unit="us")
+def _time(us: int) -> np.datetime64:
+    return np.datetime64(us - SHIFT_US, "us")
 
 
 def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
-def _passed(waiting: tuple, frames, watermark_ms: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Times and stages that the watermark has passed, in order, and what still waits."""
-    parts = [pd.DataFrame({"us": waiting[0], "pos": waiting[1], "stage": waiting[2]}), *frames]
-    parts = [p[["us", "pos", "stage"]] for p in parts if len(p)]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, object), ([], [], [])
-    rows = pd.concat(parts).sort_values(["us", "pos"], kind="stable")
-    us, names = rows["us"].to_numpy(np.int64), rows["stage"].to_numpy(object)
-    cut = int(np.searchsorted(us, watermark_ms * 1000, side="right"))
-    left = rows.iloc[cut:]
-    return us[:cut], names[:cut], (us[cut:].tolist(), left["pos"].tolist(), left["stage"].tolist())
+def _places(pos: pd.Series) -> np.ndarray:
+    """Event numbers; updates without one come last at their time."""
+    values = pos.to_numpy()
+    if values.dtype == np.int64:
+        return values
+    none = pd.isna(values)
+    out = np.full(len(values), LAST)
+    out[~none] = values[~none].astype(np.int64)
+    return out
 
 
-def _keep(state: GroupState, own: tuple, waiting: tuple, watermark_ms: int) -> None:
-    """Store a run's state and ask to be called when the watermark has passed its next row."""
-    state.update((*own, *waiting))
-    if waiting[0]:
-        state.setTimeoutTimestamp(max(waiting[0][0] // 1000, watermark_ms) + 1)
+def _by_bucket(key, frames, state: GroupState, step, schema: str):
+    """Put each run's updates that the watermark has passed, in time order, through
+    ``step(run, clock, us, names)``, which gives rows and the run's new clock, or none."""
+    watermark = state.getCurrentWatermarkMs()
+    *waiting, clocked = state.get[:5] if state.exists else ([], [], [], [], [])
+    clocks = dict(zip(clocked, zip(*state.get[5:]))) if clocked else {}
+    parts = [[np.array(v, object if at == 3 else np.int64) for at, v in enumerate(waiting)]]
+    parts += [[f["run"].to_numpy(np.int64), f["us"].to_numpy(np.int64), _places(f["pos"]), f["stage"].to_numpy(object)]
+              for f in frames if len(f)]
+    runs, us, pos, names = (np.concatenate(column) for column in zip(*parts))
+    due = us <= watermark * 1000
+    waiting = [v[~due] for v in (runs, us, pos, names)]
+    runs, us, pos, names = (v[due] for v in (runs, us, pos, names))
+    order = np.lexsort((pos, us, runs))
+    runs, us, names = runs[order], us[order], names[order]
+    starts = np.flatnonzero(np.diff(runs, prepend=runs[:1] - 1))
+    rows = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(runs)]):
+        run = int(runs[a])
+        made, clock = step(None if key[0] < 0 else run, clocks.pop(run, None), us[a:b], names[a:b])
+        rows += made
+        if clock is not None:
+            clocks[run] = clock
+    if clocks or len(waiting[1]):
+        own = list(zip(*clocks.values())) or [()] * (schema[1].count(",") - 4)
+        state.update((*(v.tolist() for v in waiting), list(clocks), *(list(v) for v in own)))
+        if len(waiting[1]):
+            state.setTimeoutTimestamp(max(int(waiting[1].min()) // 1000, watermark) + 1)
+    elif state.exists:
+        state.remove()
+    if rows:
+        yield _table(rows, schema[0])
 
 
 def _changes(names: np.ndarray, stage: str | None) -> np.ndarray:
@@ -66,23 +95,16 @@ def _changes(names: np.ndarray, stage: str | None) -> np.ndarray:
     return np.flatnonzero(names != before)
 
 
-def _spans(key, frames, state: GroupState):
-    k, stage, since, *waiting = state.get if state.exists else (0, None, 0, [], [], [])
-    watermark = state.getCurrentWatermarkMs()
-    us, names, waiting = _passed(waiting, frames, watermark)
+def _spans(run, clock, us: np.ndarray, names: np.ndarray):
+    k, stage, since = clock or (0, None, 0)
     rows = []
     for at in _changes(names, stage).tolist():
         now = int(us[at])
         if stage is not None:
-            rows.append((key[0], k, stage, _time(since), _time(now), (now - since) / 1e6))
+            rows.append((run, k, stage, _time(since), _time(now), (now - since) / 1e6))
         # What follows the end of a run starts its clock anew.
         k, stage, since = (0, None, 0) if names[at] == FINISHED else (k + 1, names[at], now)
-    if stage is None and not waiting[0]:
-        if state.exists:
-            state.remove()
-    else:
-        _keep(state, (k, stage, since), waiting, watermark)
-    yield _table(rows, SPANS)
+    return rows, None if stage is None else (k, stage, since)
 
 
 def _micros(updates: DataFrame, lateness: str) -> DataFrame:
@@ -91,20 +113,28 @@ def _micros(updates: DataFrame, lateness: str) -> DataFrame:
     return stream.select("run", "stage", "clock", us.alias("us"), F.col("event_id").alias("pos"))
 
 
-def stage_spans(updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def _bucketed(updates: DataFrame, lateness: str, step, rows: str, state: str, buckets: int) -> DataFrame:
+    # Updates of no run are a bucket of their own.
+    bucket = F.when(F.col("run").isNull(), -1).otherwise(F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
+    stream = _micros(updates, lateness).withColumn("bucket", bucket).withColumn("run", F.coalesce("run", F.lit(0)).cast("bigint"))
+
+    def each(key, frames, group):
+        yield from _by_bucket(key, frames, group, step, (rows, state))
+
+    return stream.groupBy("bucket").applyInPandasWithState(each, rows, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stage_spans(updates: DataFrame, lateness: str = LATENESS, buckets: int = BUCKETS) -> DataFrame:
     """Closed stages of a stream of updates (run, stage, ts, event_id).
 
     A stage closes when another one starts; an update of stage ``finished`` closes the
     last one and frees the run's state. The batch form is operators.stages.stage_spans.
     """
-    return _micros(updates, lateness).groupBy("run").applyInPandasWithState(
-        _spans, SPANS, CLOCK, "append", GroupStateTimeout.EventTimeTimeout)
+    return _bucketed(updates, lateness, _spans, SPANS, CLOCK, buckets)
 
 
-def _shown(key, frames, state: GroupState, interval: int):
-    stage, shown, *waiting = state.get if state.exists else (None, 0, [], [], [])
-    watermark = state.getCurrentWatermarkMs()
-    us, names, waiting = _passed(waiting, frames, watermark)
+def _shown(run, clock, us: np.ndarray, names: np.ndarray, interval: int):
+    stage, shown = clock or (None, 0)
     changes = _changes(names, stage)
     rows, at = [], 0
     while at < len(us):
@@ -115,20 +145,20 @@ def _shown(key, frames, state: GroupState, interval: int):
         if at == len(us):
             break
         shown = int(us[at])
-        rows.append((key[0], names[at], _time(shown), at == changed))
+        rows.append((run, names[at], _time(shown), at == changed))
         at += 1
-    _keep(state, (names[-1] if len(names) else stage, shown), waiting, watermark)
-    yield _table(rows, PROGRESS)
+    return rows, (names[-1], shown)
 
 
-def throttled(updates: DataFrame, interval_us: int = INTERVAL_US, lateness: str = LATENESS) -> DataFrame:
+def throttled(
+    updates: DataFrame, interval_us: int = INTERVAL_US, lateness: str = LATENESS, buckets: int = BUCKETS
+) -> DataFrame:
     """Updates worth showing: every stage change, and progress inside a stage at most once
     per interval since the last row shown."""
-    def step(key, frames, state):
-        yield from _shown(key, frames, state, interval_us)
+    def step(run, clock, us, names):
+        return _shown(run, clock, us, names, interval_us)
 
-    return _micros(updates, lateness).groupBy("run").applyInPandasWithState(
-        step, PROGRESS, THROTTLE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _bucketed(updates, lateness, step, PROGRESS, THROTTLE, buckets)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:

@@ -210,3 +210,18 @@ def test_streams_of_events_in_shuffled_part_files(spark):
         query = __spark_entry__.queries()[name]
         one, many = (sorted(map(tuple, query(spark, p).collect()), key=repr) for p in ("/root/testdata/sf0.001", folder))
         assert one and many == one, name
+
+
+def test_runs_that_share_a_state_stay_apart(spark):
+    """Whole batches meet a few states, whatever the number of runs, with the same rows as a state each."""
+    import tempfile
+
+    rows = [(run, "abc"[(run or 0) * k % 3], k * 0.2 + (run or 0) * 0.01, k) for k in range(12) for run in (1, 2, 7, None, 5)]
+    parts = [rows[1::2], rows[::2]]
+    for operator in (stage_clock.stage_spans, stage_clock.throttled):
+        got = []
+        for buckets in (1, 100_000):
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            out = stage_clock.replay(updates(spark, folder, parts), lambda u: operator(u, buckets=buckets), folder)
+            got.append(sorted(map(tuple, out.collect()), key=repr))
+        assert got[0] == got[1] and {r[0] for r in got[0]} >= {1, 2, 7, 5}
