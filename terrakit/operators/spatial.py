@@ -366,12 +366,15 @@ def _parts(leveled: DataFrame, cells: DataFrame) -> DataFrame:
         F.struct("e0", "n0", "e1", "n1", c("lv").alias("lv"), c("cx").alias("cx"), c("cy").alias("cy")).alias("part"))
     large = cells.filter((c("lv") > 0) & (c("count") > LEAF)).select(*key)
     around_all = [F.min("part.e0").alias("e0"), F.min("part.n0").alias("n0"), F.max("part.e1").alias("e1"), F.max("part.n1").alias("n1")]
-    below = below.join(large, key).groupBy(*key).agg(F.collect_list("part").alias("parts"), *around_all)
+    # Lists are collected after the rows are dealt out: before that, few tasks of the scan would sort them all.
+    below = dealt(below.join(large, key), *key).groupBy(*key).agg(F.collect_list("part").alias("parts"), *around_all)
     rest = cells.filter((c("lv") == 0) | (c("count") <= LEAF)).select(*key, F.ceil(c("count") / LEAF).alias("rows"))
     one = F.struct(
         c("te").alias("e0"), c("tn").alias("n0"), c("te").alias("e1"), c("tn").alias("n1"),
         F.lit(None).cast("int").alias("lv"), F.lit(None).cast("bigint").alias("cx"), F.lit(None).cast("bigint").alias("cy"))
-    last = leveled.join(rest, key).withColumn("part", one).groupBy(*key, F.pmod(F.xxhash64("te", "tn"), "rows").alias("row"))
+    # By its input ``leveled`` looks small, however many levels are made of it: never sent to all tasks.
+    last = leveled.join(rest.hint("merge"), key).select(*key, F.pmod(F.xxhash64("te", "tn"), "rows").alias("row"), one.alias("part"))
+    last = dealt(last, *key, "row").groupBy(*key, "row")
     return below.unionByName(last.agg(F.collect_list("part").alias("parts"), *around_all).drop("row"))
 
 
@@ -420,7 +423,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, finest: float = 1.0)
     are as many as cells of more than ``LEAF`` targets lie in each other. No target: no row.
     """
     levels = _levels(points, targets, finest)
-    spots = targets.select(c("e").alias("te"), c("n").alias("tn")).distinct()
+    spots = dealt(targets.select(c("e").alias("te"), c("n").alias("tn")), "te", "tn").distinct()
     leveled = spots.select("te", "tn", F.inline(_at_levels(c("te"), c("tn"), levels, finest)))
     cells = written(leveled.groupBy("lv", "cx", "cy").agg(
         F.count(F.lit(1)).alias("count"), F.min("te").alias("e0"), F.min("tn").alias("n0"), F.max("te").alias("e1"),

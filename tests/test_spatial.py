@@ -210,3 +210,25 @@ def test_touching_rings_and_nested_holes(spark):
         got = {(r.poly, r.id) for r in spatial.in_polygons(points_df(spark, spots), df, size).collect()}
         want = {(1, i) for i, p in enumerate(spots) if inside(p, outer) and not any(inside(p, h) for h in holes)}
         assert got == want | {(2, i) for i, p in enumerate(spots) if inside(p, island)}
+
+
+def test_targets_on_all_levels_are_never_broadcast(spark, monkeypatch):
+    """Rows for each level are made from few targets and look as small as these."""
+    import contextlib
+    import io
+
+    plans, write = [], spatial.written
+
+    def kept(df, label):
+        out = write(df, label)
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            df.explain()
+        plans.append((label, text.getvalue()))
+        return out
+
+    monkeypatch.setattr(spatial, "written", kept)
+    spots = points_df(spark, [(float(k * 37 % 1009), float(k * 91 % 1013)) for k in range(400)])
+    assert spatial.nearest_distance(spots, spots.select("e", "n")).filter("distance <> 0").count() == 0
+    plan = dict(plans)["nearest-parts"]
+    last = plan[plan.index("Union"):]
+    assert "SortMergeJoin" in last
