@@ -13,9 +13,12 @@ holds for all queries, ``min_candidates`` at least. Where no number does, and fo
 whose ranges hold less than ``k`` rows, all rows are scanned, once.
 
 Largest inner product becomes nearest angle by one more coordinate that brings all
-vectors to the same norm. Equal vectors are one row of the index. A tree's array is cut
+vectors to the same norm. Equal vectors are one row of the index. Rows are dealt out to
+parts, each with its share of all trees' arrays; a query meets each part once, with all its
+strings, and takes the best of all its ranges there. In a dimension with more rows than
+``ROOT_PARTS`` parts hold, that would copy queries too often: there a tree's array is cut
 into blocks of rows that share leading symbols, as many as a query asks for up to what an
-even spread of its dimension needs, and a block that is still large into parts; a block's
+even spread of the dimension needs, and a block that is still large into parts; a block's
 queries meet each of its parts, so no task holds a whole tree.
 """
 
@@ -41,9 +44,10 @@ MIN_CANDIDATES = 0
 BLOCK_ROWS = 65_536
 RECALL = 0.94  # of the measured queries; the error of that measure is kept from 0.9
 MEASURED = 256  # queries per dimension
-ROOT_PARTS, ROOT_ROWS = 16, 1_024  # the root is cut finer: one tree has to fill all cores
+ROOT_PARTS, ROOT_ROWS = 16, 1_024  # whole trees are cut finer: their parts have to fill all cores
 SALTS = 16
 SEED = 11
+HASHED = ["rep", "dim", "asks", "v", "codes", "strings"]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -62,6 +66,9 @@ def _hasher(trees: int, greatest: dict[int, float]):
             sizes = frame["v"].map(len)
             for dim, part in frame.groupby(sizes):
                 dim = int(dim)
+                if dim not in greatest:
+                    yield part.assign(codes=None, strings=None)[HASHED]
+                    continue
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(SEED).standard_normal((dim + 1, trees * sum(AXES)))
                 v = np.stack(part["v"].to_numpy())
@@ -71,7 +78,7 @@ def _hasher(trees: int, greatest: dict[int, float]):
                     own = part.iloc[start : start + 256]
                     codes, strings = _strings((some @ planes[dim]).reshape(len(some), trees, -1))
                     strings = [x if asks else None for x, asks in zip(strings, own["asks"])]
-                    yield pd.DataFrame({"rep": own["rep"], "codes": list(codes), "strings": strings})
+                    yield own.assign(codes=list(codes), strings=strings)[HASHED]
 
     return run
 
@@ -113,10 +120,78 @@ def _counts(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFram
     return out.groupby(["rep", "depth"], as_index=False)["n"].sum()
 
 
+def _root_counts(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """How many rows of this part share at least each number of symbols with each query,
+    summed over the trees."""
+    if not len(index) or not len(asked):
+        return pd.DataFrame({"rep": [], "depth": [], "n": []})
+    codes = np.sort(np.stack(index["codes"].to_numpy()), 0)
+    strings = np.stack(asked["strings"].to_numpy()).reshape(len(asked), -1, codes.shape[1])
+    n = np.zeros((len(asked), SYMBOLS + 1), np.int64)
+    for tree in range(codes.shape[1]):
+        low, high = _ends(codes[:, tree], strings[:, :, tree, None], np.array(LEFT)[None, None, :])
+        n += (high - low).sum(1)
+    depths = np.tile(np.arange(SYMBOLS + 1, dtype=np.int32), len(asked))
+    return pd.DataFrame({"rep": np.repeat(asked["rep"].to_numpy(), SYMBOLS + 1), "depth": depths, "n": n.ravel()})
+
+
+def _k_best(rough: np.ndarray, among: np.ndarray, names: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and exact scores of the k best rows, nearest first."""
+    near = np.arange(len(rough))
+    if len(rough) > k:
+        # Rounding of the product must not decide what is exactly scored.
+        least = np.partition(rough, len(rough) - k)[len(rough) - k]
+        near = np.flatnonzero(rough >= least - 1e-9 * (1 + np.abs(rough).max()))
+    score = (among[near] * wanted).sum(1)
+    best = np.lexsort([names[near], -score])[:k]
+    return names[near][best], score[best]
+
+
+def _listed(out: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    reps = np.repeat([rep for rep, _, _ in out], [len(names) for _, names, _ in out]) if out else np.zeros(0, np.int64)
+    names, scores = ([np.zeros(0, kind), *(row[at] for row in out)] for at, kind in ((1, np.int64), (2, float)))
+    return pd.DataFrame({"rep": reps, "found": np.concatenate(names), "score": np.concatenate(scores)})
+
+
+def _root_finder(k: int):
+    def run(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """The k best of this part's rows in all of each query's ranges."""
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if len(index) and len(asked):
+            vectors, reps = np.stack(index["v"].to_numpy()), index["rep"].to_numpy()
+            depth, asking, wanted = asked["depth"].to_numpy(), asked["rep"].to_numpy(), np.stack(asked["v"].to_numpy())
+            whole, deep = np.flatnonzero(depth == 0), np.flatnonzero(depth > 0)
+            some = max(1, (4 << 20) // len(reps))
+            for start in range(0, len(whole), some):
+                group = whole[start : start + some]
+                for q, rough in zip(group, wanted[group] @ vectors.T):
+                    out.append((asking[q], *_k_best(rough, vectors, reps, wanted[q], k)))
+            if len(deep):
+                codes = np.stack(index["codes"].to_numpy())
+                orders = [np.argsort(codes[:, tree], kind="stable") for tree in range(codes.shape[1])]
+                sorted_codes = [codes[order, tree] for tree, order in enumerate(orders)]
+            for start in range(0, len(deep), 1024):
+                group = deep[start : start + 1024]
+                strings = np.stack(asked["strings"].to_numpy()[group]).reshape(len(group), -1, len(orders))
+                left = np.array(LEFT)[depth[group]][:, None]
+                ends = [_ends(own, strings[:, :, tree], left) for tree, own in enumerate(sorted_codes)]
+                for at, q in enumerate(group):
+                    met = np.zeros(len(reps), bool)
+                    for order, (low, high) in zip(orders, ends):
+                        for a, b in zip(low[at].tolist(), high[at].tolist()):
+                            met[order[a:b]] = True
+                    met = np.flatnonzero(met)
+                    among = vectors[met]
+                    out.append((asking[q], *_k_best(among @ wanted[q], among, reps[met], wanted[q], k)))
+        return _listed(out)
+
+    return run
+
+
 def _finder(k: int):
     def run(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """The k best of this part's rows in each query's range."""
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
         if len(index) and len(asked):
             order = np.argsort(index["code"].to_numpy(np.int64), kind="stable")
             codes, reps = index["code"].to_numpy(np.int64)[order], index["rep"].to_numpy()[order]
@@ -131,16 +206,8 @@ def _finder(k: int):
                 for start in range(0, len(mine), some):
                     group = mine[start : start + some]
                     for q, rough in zip(group, wanted[group] @ among.T):
-                        near = np.arange(len(rough))
-                        if len(rough) > k:
-                            # Rounding of the product must not decide what is exactly scored.
-                            least = np.partition(rough, len(rough) - k)[len(rough) - k]
-                            near = np.flatnonzero(rough >= least - 1e-9 * (1 + np.abs(rough).max()))
-                        score = (among[near] * wanted[q]).sum(1)
-                        best = np.lexsort([names[near], -score])[:k]
-                        out.append((np.full(len(best), asking[q]), names[near][best], score[best]))
-        parts = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
-        return pd.DataFrame(dict(zip(("rep", "found", "score"), parts)))
+                        out.append((asking[q], *_k_best(rough, among, names, wanted[q], k)))
+        return _listed(out)
 
     return run
 
@@ -167,39 +234,37 @@ class _Forest:
         )
         large = F.col("n") > self.floor
         # Blocks share leading symbols: as many as an even spread of the dimension needs.
-        lead = sum((F.col("n") > block_rows * (1 << (LEFT[0] - LEFT[s]))).cast("int") for s in range(SYMBOLS))
-        facts = facts.withColumns({"large": large, "lead": F.when(large, lead).otherwise(0)})
+        most = [block_rows * max(ROOT_PARTS, 1 << (LEFT[0] - LEFT[s])) for s in range(SYMBOLS)]
+        lead = sum((F.col("n") > rows).cast("int") for rows in most)
+        parts = F.greatest(F.ceil(F.col("n") / block_rows), F.least(F.lit(ROOT_PARTS), F.ceil(F.col("n") / ROOT_ROWS)))
+        facts = facts.withColumns({"large": large, "lead": F.when(large, lead).otherwise(0), "parts": parts.cast("int")})
         self.facts = written(facts, "ann-facts")
         known = self.facts.filter("large").select("dim", "most", "lead", "n").collect()
         self.lead = max([row["lead"] for row in known], default=0)
         self.most = max([row["n"] for row in known], default=0)
-        sides = classes.join(self.facts.select("dim", "large", "lead"), "dim")
-        small = sides.filter("not large").select(
-            "rep", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("code"), "dim", "lead", "asks"
-        )
-        places, strings = small.drop("asks"), small.filter("asks").drop("asks").withColumn("probe", F.lit(0))
-        self.coded = None
+        greatest = {row["dim"]: row["most"] for row in known}
+        self.rows = classes.select("rep", "dim", "asks", "v")
         if known:
-            self.coded = written(sides.filter("large").select("rep", "asks", "v").mapInPandas(
-                _hasher(trees, {row["dim"]: row["most"] for row in known}), "rep long, codes array<long>, strings array<long>"
-            ), "ann-codes")
-            of = sides.select("rep", "dim", "lead")
-            places = places.unionByName(self.coded.select("rep", F.posexplode("codes").alias("tree", "code")).join(of, "rep"))
-            asking = self.coded.select("rep", F.posexplode("strings").alias("at", "code")).select(
-                "rep", (F.col("at") % trees).alias("tree"), F.floor(F.col("at") / trees).cast("int").alias("probe"), "code"
-            )
-            strings = strings.unionByName(asking.join(of, "rep"))
-        self.places, self.strings = written(places, "ann-places"), written(strings, "ann-strings")
+            self.rows = written(self.rows.mapInPandas(
+                _hasher(trees, greatest), "rep long, dim int, asks boolean, v array<double>, codes array<long>, strings array<long>"
+            ), "ann-rows")
+        else:
+            none = F.lit(None).cast("array<long>")
+            self.rows = self.rows.withColumns({"codes": none, "strings": none})
+        self.known = bool(known)
+        if self.lead:
+            far = self.rows.join(self.facts.filter("lead > 0").select("dim", "lead"), "dim")
+            self.places = written(far.select("rep", "dim", "lead", F.posexplode("codes").alias("tree", "code")), "ann-places")
+            asking = far.filter("asks").select("rep", "dim", "lead", F.posexplode("strings").alias("at", "code"))
+            self.strings = written(asking.select(
+                "rep", "dim", "lead", (F.col("at") % trees).alias("tree"), F.floor(F.col("at") / trees).cast("int").alias("probe"), "code"
+            ), "ann-strings")
 
     def dealt(self, index: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
         """Rows and queries (dim, tree, level, block, rep, ...) with the parts they meet in."""
         key = ["dim", "tree", "level", "block"]
         rows = F.count(F.lit(1))
-        parts = F.ceil(rows / self.block_rows)
-        fine = F.least(F.lit(ROOT_PARTS), F.ceil(rows / ROOT_ROWS))
-        sizes = index.groupBy(*key).agg(
-            F.greatest(parts, F.when(F.col("level") == 0, fine).otherwise(1)).cast("int").alias("parts")
-        ).join(_renewed(asked.groupBy(*key).agg(F.ceil(rows / self.block_rows).cast("int").alias("askers"))), key)
+        sizes = index.groupBy(*key).agg(F.ceil(rows / self.block_rows).cast("int").alias("parts")).join(_renewed(asked.groupBy(*key).agg(F.ceil(rows / self.block_rows).cast("int").alias("askers"))), key)
         sizes = written(sizes, "ann-blocks").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         mixed = F.xxhash64("rep", "tree")
         salt = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SALTS)).cast("int")
@@ -213,26 +278,52 @@ class _Forest:
         })
         return index, asked, [*key, "part", "asker"]
 
+    def at_root(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Rows with all their strings, and queries (rep, depth) with all of theirs, with the
+        parts they meet in; a row is in one part for each full part of the queries."""
+        asked = asked.join(self.rows.select("rep", "dim", "v", "strings"), "rep")
+        askers = F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int")
+        sizes = asked.groupBy("dim").agg(askers.alias("askers")).join(self.facts.select("dim", "parts"), "dim")
+        sizes = written(sizes, "ann-parts")
+        mixed = F.xxhash64("rep", F.lit(5))
+        index = self.rows.select("rep", "dim", "v", "codes").join(sizes, "dim").withColumns({
+            "part": F.pmod(mixed, "parts").cast("int"),
+            "asker": F.explode(F.sequence(F.lit(0), F.col("askers") - 1)),
+        })
+        asked = asked.join(_renewed(sizes), "dim").withColumns({
+            "asker": F.pmod(mixed, "askers").cast("int"),
+            "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
+        })
+        return index, asked, ["dim", "part", "asker"]
+
     def totals(self) -> DataFrame:
         """``rep, depth, n``: rows that share at least so many symbols with each query of a
         large dimension, summed over the trees."""
-        def of_large(side: DataFrame) -> DataFrame:
-            return side.join(self.facts.filter("large").select("dim"), "dim", "left_semi")
+        near = self.rows.filter("asks").join(self.facts.filter("large and lead = 0").select("dim"), "dim", "left_semi")
+        index, asked, full = self.at_root(near.select("rep", F.lit(0).alias("depth")))
+        counts = index.select(*full, "codes").groupBy(*full).cogroup(
+            _renewed(asked.select(*full, "rep", "strings")).groupBy(*full)
+        ).applyInPandas(_root_counts, "rep long, depth int, n long")
+        if self.lead:
+            counts = counts.unionByName(self.block_totals())
+        return written(counts.groupBy("rep", "depth").agg(F.sum("n").alias("n")), "ann-counts")
 
+    def block_totals(self) -> DataFrame:
+        """The same of each tree, where trees are cut into blocks."""
         def blocked(side: DataFrame, level: Column) -> DataFrame:
             return side.withColumns({"level": level, "block": _leading(F.col("code"), level)})
 
         lead = F.col("lead")
-        index, asked, full = self.dealt(blocked(of_large(self.places), lead), blocked(of_large(self.strings), lead))
+        index, asked, full = self.dealt(blocked(self.places, lead), blocked(self.strings, lead))
         counts = index.select(*full, "rep", "code").groupBy(*full).cogroup(
             _renewed(asked.select(*full, "rep", "code", "lead")).groupBy(*full)
         ).applyInPandas(_counts, "rep long, depth int, n long")
         for depth in range(1, self.lead):
-            short, asking = (blocked(of_large(x).filter(lead > depth), F.lit(depth)) for x in (self.places, self.strings))
+            short, asking = (blocked(x.filter(lead > depth), F.lit(depth)) for x in (self.places, self.strings))
             sums = short.groupBy("dim", "tree", "block").agg(F.count(F.lit(1)).alias("n"))
             met = _renewed(asking.select("dim", "tree", "block", "rep")).join(sums, ["dim", "tree", "block"])
             counts = counts.unionByName(met.select("rep", F.lit(depth).alias("depth"), "n"))
-        return written(counts.groupBy("rep", "depth").agg(F.sum("n").alias("n")), "ann-counts")
+        return counts
 
     def enough(self, totals: DataFrame) -> DataFrame:
         """``dim, enough``: the candidates with which the measured queries of each large
@@ -247,8 +338,8 @@ class _Forest:
         exact = self.found(some.select("rep", F.lit(0).alias("depth"))).groupBy("rep", "found").agg(F.max("score").alias("score"))
         best = Window.partitionBy("rep").orderBy(F.desc("score"), "found")
         exact = exact.filter("rep <> found").withColumn("at", F.row_number().over(best)).filter(F.col("at") <= self.k)
-        pairs = exact.select("rep", "found").join(self.coded.select("rep", "strings"), "rep").join(
-            self.coded.select(F.col("rep").alias("found"), F.flatten(F.array_repeat("codes", PROBES)).alias("others")), "found"
+        pairs = exact.select("rep", "found").join(self.rows.select("rep", "strings"), "rep").join(
+            self.rows.select(F.col("rep").alias("found"), F.flatten(F.array_repeat("codes", PROBES)).alias("others")), "found"
         )
 
         def shared(a: Column, b: Column) -> Column:
@@ -267,7 +358,7 @@ class _Forest:
     def depths(self) -> DataFrame:
         """``rep, depth`` of each query: its longest prefixes that hold enough rows."""
         asks = self.classes.filter("asks").select("rep", "dim")
-        if self.coded is None:
+        if not self.known:
             return asks.select("rep", F.lit(0).alias("depth"))
         self.counted = self.totals()
         asks = asks.join(self.enough(self.counted), "dim", "left").join(self.counted, "rep", "left")
@@ -276,10 +367,21 @@ class _Forest:
 
     def found(self, depths: DataFrame) -> DataFrame:
         """``rep, found, score``: the best of each part that the queries' prefixes meet."""
+        if self.lead:
+            far = self.rows.join(self.facts.filter("lead > 0").select("dim"), "dim", "left_semi").select("rep", F.lit(True).alias("far"))
+            depths = depths.join(far, "rep", "left").withColumn("far", F.coalesce("far", F.lit(False)) & (F.col("depth") > 0))
+            met = depths.filter("not far").select("rep", "depth")
+        index, asked, full = self.at_root(met if self.lead else depths)
+        found = index.select(*full, "rep", "v", "codes").groupBy(*full).cogroup(
+            _renewed(asked.select(*full, "rep", "v", "strings", "depth")).groupBy(*full)
+        ).applyInPandas(_root_finder(self.k + 1), "rep long, found long, score double")
+        return found.unionByName(self.found_in_blocks(depths.filter("far").select("rep", "depth"))) if self.lead else found
+
+    def found_in_blocks(self, depths: DataFrame) -> DataFrame:
+        """The same of queries whose prefixes are looked up in the blocks of each tree."""
         asked = self.strings.join(depths, "rep").withColumn("level", F.least("depth", "lead"))
-        asked = asked.filter("depth > 0 or (tree = 0 and probe = 0)")  # at the root all are the same
         asked = asked.withColumn("block", _leading(F.col("code"), F.col("level")))
-        index = self.places.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("lead"))))
+        index = self.places.withColumn("level", F.explode(F.sequence(F.lit(1), F.col("lead"))))
         index = index.withColumn("block", _leading(F.col("code"), F.col("level")))
         index, asked, full = self.dealt(index, asked)
         own = self.classes.select("rep", "v")
@@ -292,7 +394,7 @@ class _Forest:
         depths = self.depths()
         pair = F.max("score").alias("score")
         found = written(self.found(depths).groupBy("rep", "found").agg(pair), "ann-found")
-        if self.coded is None:
+        if not self.known:
             return found
         counts = found.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
         short = depths.filter("depth > 0").join(counts, "rep", "left").filter(F.coalesce("n", F.lit(0)) <= self.k)
