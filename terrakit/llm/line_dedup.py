@@ -32,12 +32,16 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
         "__ld_id": id_or_least(F.col("doc_id")),
         "__ld_text": F.coalesce("text", F.lit("")),
     }).withColumn("__ld_hash", F.xxhash64("__ld_text"))
-    keys = rows.select(
+    lines = rows.select(
         "__ld_id", "__ld_hash", F.posexplode(F.split("__ld_text", "\n")).alias("pos", "line")
-    ).select("__ld_id", "__ld_hash", "pos", ascii_lower(stripped(F.col("line"))).alias("key"))
-    keys = keys.filter(F.char_length("key") >= min_chars).select(
-        "__ld_id", "__ld_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")
+    ).withColumn("line", stripped(F.col("line")))
+    # Letters keep their number when they are folded, so only lines that stay are.
+    key = ascii_lower(F.col("line"))
+    keys = lines.filter(F.char_length("line") >= min_chars).select(
+        "__ld_id", "__ld_hash", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")
     )
+    # Read twice, to count and to find the lines again: hashes are far smaller than the texts they are made of.
+    keys = written(keys, "line-keys")
     repeated = (
         keys.groupBy("h1", "h2", "__ld_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count("one").alias("held_by"), F.max("__ld_id").alias("keeper"))

@@ -30,11 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from terrakit.llm.common import free_worker_store, held, id_or_least, passing, raw_texts, sieve, steps
+from terrakit.llm.common import free_worker_store, held, id_or_least, passing, raw_texts, sieve, steps, stripped
 from terrakit.llm.components import components
-from terrakit.session import written
+from terrakit.session import dealt, written
 
 WORDS = 3
 PERCENT = 90
@@ -77,6 +76,17 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, _mixed(np.add.reduceat(keys, offsets) + lengths.astype(np.uint64))
 
 
+def _shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words, from the words' hashes."""
+    n = len(hashes) - width + 1
+    if not width or n < 1:
+        return np.zeros(0, np.uint64)
+    joint = np.full(n, width, np.uint64)
+    for k in range(width):
+        joint = _mixed(joint * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
+    return joint
+
+
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of ``words`` words.
 
@@ -88,19 +98,13 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]
         starts, hashes = _word_hashes(data)
         bounds = np.cumsum([len(t) + 1 for t in part])
         cuts = np.searchsorted(starts, bounds)
+        # Of all texts of the step at once: what begins in one text and ends in another is not taken.
+        joint = _shingles(hashes, words)
         first = 0
         for stop in cuts.tolist():
-            own = hashes[first:stop]
+            whole = stop - first >= words
+            yield np.unique(joint[first : stop - words + 1] if whole else _shingles(hashes[first:stop], stop - first))
             first = stop
-            width = min(words, len(own))
-            if not width:
-                yield np.zeros(0, np.uint64)
-                continue
-            n = len(own) - width + 1
-            joint = np.full(n, width, np.uint64)
-            for k in range(width):
-                joint = _mixed(joint * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n])
-            yield np.unique(joint)
 
 
 def _prefix_size(n: np.ndarray | int, percent: int):
@@ -128,36 +132,18 @@ def _described(words: int, percent: int):
             flat = np.concatenate(regions) if regions else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)),
                 ],
-                ["doc_id", "n", "cls", "cls2", "region"],
-            )
-
-    return run
-
-
-def _keys(words: int, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker_store()
-        for batch in batches:
-            sizes, one, two = [], [], []
-            for s in shingle_sets(list(raw_texts(batch.column(at))), words):
-                sizes.append(len(s))
-                one.append(_class_key(s, 0x5851F42D4C957F2D))
-                two.append(_class_key(s, 0x14057B7EF767814F))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(x, pa.int64()) for x in (sizes, one, two))],
-                [*batch.schema.names, "__n", "__cls", "__cls2"],
+                ["doc_id", "hash", "n", "cls", "cls2", "region"],
             )
 
     return run
 
 
-def keyed(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with the size of each text's shingle set and the key of its class."""
-    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("__n", "__cls", "__cls2"))])
-    return docs.mapInArrow(_keys(words, docs.columns.index("text")), schema)
+def text_hash() -> Column:
+    """Tells the texts of one id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _all_shingles(words: int):
@@ -213,22 +199,23 @@ class _Join:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, crowd: int):
         self.words, self.percent, self.crowd = words, percent, crowd
-        self.docs = docs.select("doc_id", "text")
+        self.docs = docs.select("doc_id", "text", text_hash().alias("hash"))
         described = self.docs.mapInArrow(
-            _described(words, percent), "doc_id long, n long, cls long, cls2 long, region array<long>"
+            _described(words, percent), "doc_id long, hash long, n long, cls long, cls2 long, region array<long>"
         )
         # Regions are most of what is written; they go as soon as the next step has them.
         described, drop_described = passing(described, "join-described")
         self.rows = written(described.drop("region"), "join-rows")
         classes = described.filter("n > 0").withColumn("id", id_or_least(F.col("doc_id")))
         classes = classes.groupBy("cls", "cls2").agg(
-            F.min("id").alias("node"), F.first("n").alias("n"), F.first("region").alias("region")
+            F.min(F.struct("id", "hash")).alias("least"), F.first("n").alias("n"), F.first("region").alias("region")
         )
+        classes = classes.select("cls", "cls2", F.col("least.id").alias("node"), "least.hash", "n", "region")
         p = F.expr(f"n - cast(ceil(n * {percent} / 100) as long) + 1")
         self.regions, self.drop_regions = passing(classes.withColumn("p", p), "join-regions")
         drop_described()
         self.classes = written(
-            self.regions.select("cls", "cls2", "node", "n", "p", F.size("region").alias("r")), "join-classes"
+            self.regions.select("cls", "cls2", "node", "hash", "n", "p", F.size("region").alias("r")), "join-classes"
         )
 
     def could_reach(self, shared: Column, n: Column, m: Column) -> Column:
@@ -237,12 +224,11 @@ class _Join:
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """``cls, text`` for wanted classes, by their smallest document. An id can be null or
-        repeated with unlike texts, so a text is found by its id and its class."""
-        own = written(wanted.join(self.classes.select("cls", "node"), "cls").distinct(), "join-wanted")
+        repeated with unlike texts, so a text is found by its id and its hash."""
+        own = written(wanted.join(self.classes.select("cls", "node", "hash"), "cls").distinct(), "join-wanted")
         rows = self.docs.withColumn("node", id_or_least(F.col("doc_id"))).drop("doc_id")
         rows = rows.filter(sieve(own, F.col("node"), F.col("node")))
-        rows = keyed(rows, self.words).withColumnRenamed("__cls", "cls")
-        return rows.join(own, ["node", "cls"]).select("cls", "text")
+        return rows.join(own, ["node", "hash"]).select("cls", "text")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes with what they share and whether that links them, from whole texts."""
@@ -323,7 +309,7 @@ class _Join:
         """Links among the classes that share crowded tokens, added to ``links``."""
         if poor.isEmpty():
             return links
-        tokens = written(self.texts(poor).mapInArrow(
+        tokens = written(dealt(self.texts(poor)).mapInArrow(
             _all_shingles(self.words), "cls long, token long, pos long"
         ).select("cls", "token").distinct(), "join-tokens")
         counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
@@ -443,11 +429,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Texts without shingles all stay. Unlike texts that share an id or have none are
     different components and each keeps a row.
     """
-    first = F.min(F.struct("node", "cls", "cls2")).alias("first")
+    first = F.min(F.struct("node", "cls", "cls2", "hash")).alias("first")
     stays = _Join(docs, words, percent, CROWD).rooted().groupBy("root").agg(first).select(
-        F.col("first.node").alias("__node"), F.col("first.cls").alias("__cls"), F.col("first.cls2").alias("__cls2")
+        F.col("first.node").alias("__node"), F.col("first.hash").alias("__hash")
     )
-    rows = keyed(docs, words)
-    full = rows.filter("__n > 0").withColumn("__node", id_or_least(F.col("doc_id")))
-    full = full.join(stays, ["__node", "__cls", "__cls2"]).dropDuplicates(["__cls", "__cls2"])
-    return full.select(*docs.columns).unionByName(rows.filter("__n = 0").select(*docs.columns))
+    keys = ["__node", "__hash"]
+    full = docs.withColumns({"__node": id_or_least(F.col("doc_id")), "__hash": text_hash()})
+    full = full.join(stays, keys).dropDuplicates(keys)
+    blank = docs.filter(stripped(F.coalesce("text", F.lit(""))) == "")
+    return full.select(*docs.columns).unionByName(blank)

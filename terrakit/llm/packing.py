@@ -125,11 +125,17 @@ class WordEncoder:
         yield from self.encode_group(group)
 
     def encode_group(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text. Copies that follow one another, as a mix makes them, are encoded once."""
         if self.held > MEMO_BYTES // 2:
             self.older, self.memo, self.held = self.memo, {}, 0
         new: set[bytes] = set()
         rows = []
+        last = None
         for text in texts:
+            if text == last:
+                rows.append(rows[-1])
+                continue
+            last = text
             if not (b"\xcc" in text or b"\xcd" in text or b"<|" in text):
                 text = text.lower()
             words = text.split()
@@ -144,10 +150,14 @@ class WordEncoder:
         unseen = [word for word in new if word not in again]
         if unseen:
             self.learn(unseen)
-        for coded, gaps, unknown in rows:
-            for i, word in zip(gaps, unknown):
-                coded[i] = self.memo[word]
-            yield b"".join(coded)
+        done, ids = None, b""
+        for row in rows:
+            if row is not done:
+                coded, gaps, unknown = done = row
+                for i, word in zip(gaps, unknown):
+                    coded[i] = self.memo[word]
+                ids = b"".join(coded)
+            yield ids
 
 
 def _pieces_of(path: str, capacity: int, end_id: int):

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrakit.llm.common import BLANKS, held, stripped, words_of
+from terrakit.llm.common import held, stripped, words_of
 from terrakit.session import written
 
 WINDOW = 8
@@ -59,12 +59,25 @@ def document_stats(docs: DataFrame) -> DataFrame:
 
     ``n_repeat_words`` counts the words that lie in an 8-word window found twice or more.
     Windows are compared by 64-bit hashes inside one document. A document without two
-    equal windows needs a hash set only; the others sort their windows.
+    equal windows needs a hash set only; the others sort their windows. Each step counts
+    what it can, so that the next generator need not copy texts, lines and words along.
     """
-    text = F.col("__qr_text")
-    rows = docs.withColumn("__qr_text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("__qr_words", held(words_of(text)))
-    rows = rows.withColumn("__qr_lines", held(F.filter(F.split(text, "\n"), lambda x: stripped(x) != "")))
+    text = F.coalesce("text", F.lit(""))
+    chars = F.char_length(text)
+    rows = docs.withColumn("__qr_lines", held(F.filter(F.split(text, "\n"), lambda x: stripped(x) != "")))
+    stats = {
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")),
+        "n_dup_lines": F.size("__qr_lines") - F.size(F.array_distinct("__qr_lines")),
+        "n_lines": F.size("__qr_lines"),
+        "n_upper": F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
+        "n_letters": chars - F.char_length(F.regexp_replace(text, r"\p{L}+", "")),
+        "n_chars_all": chars,
+        "n_marks": F.regexp_count(text, F.lit("[!?]")),
+        "n_ended": F.size(F.filter("__qr_lines", lambda x: F.rlike(x, F.lit(r"[.!?][ \t-\r]*$")))),
+    }
+    early = {f"__qr_{name}": value.cast("long") for name, value in stats.items()}
+    rows = rows.withColumns(early).withColumn("__qr_words", held(words_of(text)))
+    rows = rows.withColumn("__qr_word_chars", F.char_length(F.array_join("__qr_words", "")).cast("long"))
     rows = rows.withColumn("__qr_w1", held(F.transform("__qr_words", lambda w: F.xxhash64(w))))
     rows = rows.withColumn("__qr_w2", held(_merged(F.col("__qr_w1"), 1)))
     rows = rows.withColumn("__qr_w4", held(_merged(F.col("__qr_w2"), 2)))
@@ -89,24 +102,14 @@ def document_stats(docs: DataFrame) -> DataFrame:
     same = F.filter(
         F.zip_with(F.slice(w1, 1, m), F.slice(w1, 2, m), lambda a, b: a == b), lambda x: x
     )
-    chars = F.char_length(text)
-    stats = {
-        "n_words": F.size("__qr_words"),
-        "word_chars": F.char_length(F.translate(text, BLANKS, "")),
-        "n_symbols": chars - F.char_length(F.translate(text, "#*$%&|<>", "")),
-        "n_dup_lines": F.size("__qr_lines") - F.size(F.array_distinct("__qr_lines")),
+    stats = {name: F.col(f"__qr_{name}") for name in (*stats, "word_chars")} | {
+        "n_words": F.size("__qr_w1"),
         "n_repeat_words": covered,
         "n_distinct": F.size(F.array_distinct("__qr_w1")),
-        "n_lines": F.size("__qr_lines"),
-        "n_upper": F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-        "n_letters": F.char_length(F.regexp_replace(text, r"[^\p{L}]+", "")),
-        "n_chars_all": chars,
         "n_next_same": F.size(same),
-        "n_marks": chars - F.char_length(F.translate(text, "!?", "")),
-        "n_ended": F.size(F.filter("__qr_lines", lambda x: F.rlike(x, F.lit(r"[.!?][ \t-\r]*$")))),
     }
     inner = [c for c in rows.columns if c.startswith("__qr_")]
-    return rows.withColumns({name: value.cast("long") for name, value in stats.items()}).drop(*inner)
+    return rows.withColumns({name: stats[name].cast("long") for name in STATS}).drop(*inner)
 
 
 def vote_columns() -> list[Column]:
