@@ -46,10 +46,11 @@ MOST_LABELS = 6
 BATCH_BYTES = 8 << 20
 
 # The forms of the four kinds. A digit before cannot start an address that
-# the digits after it do not, so the rule for addresses looks at whole digit runs only.
+# the digits after it do not, so the rule for addresses looks at whole digit runs only. It
+# tests that behind the first digit: a pattern that starts with one skips all other text.
 _AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -57,6 +58,7 @@ _STRETCH = re.compile(r"[+(0-9](?:[\x20().+-]{0,3}[0-9])*+")
 _GROUPS = re.compile(r"[0-9]+")
 _WORD_BACK = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,4}$")
 _SPOKEN_AT = re.compile(r"\x20?[\[({]\x20?[aA][tT]\x20?[\])}]\x20?|\x20[aA][tT]\x20(?=[A-Za-z0-9-]+\x20[dD][oO][tT]\x20)")
+_IN_BRACKETS = re.compile(r"[\[({]\x20?[aA][tT]\x20?[\])}]")
 _DOT = r"(?:\.|\x20?[\[({]\x20?[dD][oO][tT]\x20?[\])}]\x20?|\x20[dD][oO][tT]\x20)"
 _LABELS_BEHIND = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{0,{MOST_LABELS}}}")
 _LABELS_AHEAD = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT}){{0,{MOST_LABELS}}}[A-Za-z0-9_%+-]+$")
@@ -105,6 +107,8 @@ def base_spans(text: str) -> list[Span]:
             found.append((at - back.end(), EMAIL, match.end()))
         free = match.end() if match else at + 1
         at = text.find("@", free)
+    if not _GROUPS.search(text):
+        return found
     for m in _IP.finditer(text):
         if all(map(_small, m.group().split("."))):
             found.append((m.start(), IP, m.end()))
@@ -201,6 +205,9 @@ def stretches(text: str) -> Iterator[Stretch]:
 
 def spoken_segments(text: str) -> Iterator[list[Segment]]:
     """Addresses with a written-out at sign, with every cut at a label on both sides."""
+    # Few texts hold what each of the sign's two forms needs, and that is found far sooner.
+    if " dot " not in text.lower() and not _IN_BRACKETS.search(text):
+        return
     for at in _SPOKEN_AT.finditer(text):
         ahead = _LABELS_AHEAD.search(text[max(0, at.start() - 160) : at.start()])
         behind = _LABELS_BEHIND.match(text, at.end())
@@ -329,10 +336,9 @@ def sure_forms(text: str) -> Iterator[str]:
     """Forms of the stretches where the rules leave no doubt: a match of a rule covers all
     candidates, or there is a single digit group that no rule takes. Lists of numbers are
     left out."""
-    base = base_spans(text)
-    for stretch in stretches(text):
-        if len(stretch.groups) > MOST_GROUPS:
-            continue
+    found = [stretch for stretch in stretches(text) if len(stretch.groups) <= MOST_GROUPS]
+    base = base_spans(text) if found else []
+    for stretch in found:
         some = list(stretch.segments())
         if not some:
             continue
@@ -491,9 +497,10 @@ def corpus_forms(docs: DataFrame, forms: int = FIT_FORMS) -> list[tuple[str, int
     return [(r["form"], r["n"]) for r in counted.orderBy(F.desc("n"), "form").limit(forms).collect()]
 
 
-def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def find_personal_data(docs: DataFrame, model: Model | None = None, masked: bool = True) -> DataFrame:
     """``doc_id, base, spans, masked``: what the rules find, all spans, and the text with
-    each stretch of spans replaced by its first kind in angle brackets.
+    each stretch of spans replaced by its first kind in angle brackets. Without ``masked``
+    that column is left out, and no text comes back from Python.
 
     Spans are ``kind, start, end`` in code points, by start and then kind; rules of
     several kinds may overlap, added spans overlap nothing. A null text counts as empty
@@ -505,28 +512,32 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
     model = model or fit(corpus_forms(docs))
     span = "array<struct<kind:string,start:long,end:long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    names, kinds = ["base", "spans", "masked"], [kind, kind, pa.string()]
+    if not masked:
+        names, kinds = names[:2], kinds[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
         for batch in batches:
             ids, start, size = batch.column(0), 0, 0
-            out: tuple[list, ...] = ([], [], [])
+            out: tuple[list, ...] = tuple([] for _ in kinds)
             for i, raw in enumerate(raw_texts(batch.column(1))):
                 text = raw.decode("utf-8", "replace")
                 base, spans = model.spans(text)
-                for column, value in zip(out, (named(base), named(spans), _masked(text, spans))):
-                    column.append(value)
+                out[0].append(named(base))
+                out[1].append(named(spans))
+                if masked:
+                    out[2].append(_masked(text, spans))
                 size += len(raw)
                 if size >= BATCH_BYTES or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(start, i + 1 - start), pa.array(out[0], kind), pa.array(out[1], kind),
-                         pa.array(out[2], pa.string())], ["doc_id", "base", "spans", "masked"],
+                        [ids.slice(start, i + 1 - start), *map(pa.array, out, kinds)], ["doc_id", *names]
                     )
-                    start, size, out = i + 1, 0, ([], [], [])
+                    start, size, out = i + 1, 0, tuple([] for _ in kinds)
 
     own = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {own}, base {span}, spans {span}, masked string"
+        run, f"doc_id {own}, base {span}, spans {span}" + ", masked string" * masked
     )
 
 

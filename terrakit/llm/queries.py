@@ -110,7 +110,7 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = personal_data.find_personal_data(_documents(spark, sf_dir))
+    rows = personal_data.find_personal_data(_documents(spark, sf_dir), masked=False)
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in personal_data.KINDS]
     return rows.select(
         "doc_id", *counts, F.sha2(personal_data.written_spans(F.col("base")), 256).alias("base_sha256"),
